@@ -79,7 +79,7 @@ def close_rings(vertex: DataFrame, keys: list[str], tol: float = 1e-6) -> DataFr
     return kept.select(*keys, "seq", "x", "y").unionByName(closing)
 
 
-def offset_lines(vertex: DataFrame, keys: list[str], d: float) -> DataFrame:
+def offset_lines(vertex: DataFrame, keys: list[str], d) -> DataFrame:
     """Each vertex moved ``d`` metres to the right of travel."""
     v = ordered.scan(vertex, keys, ["seq"], px=ordered.lag("x"), py=ordered.lag("y"), nx=ordered.lead("x"), ny=ordered.lead("y"))
     for n, base in (("px", "x"), ("py", "y"), ("nx", "x"), ("ny", "y")):

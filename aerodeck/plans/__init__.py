@@ -1,6 +1,6 @@
 """Runnable plans; importing the package registers every query."""
 
 from .registry import ORACLES, QUERIES
-from . import scalar
+from . import scalar, relational
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -19,13 +19,17 @@ class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self._made = spark, folder, {}
 
+    def _raw(self, name: str) -> DataFrame:
+        df = getattr(self, name)
+        return df.withColumnsRenamed({"ax": "x0", "ay": "y0", "bx": "x1", "by": "y1"}) if "ax" in df.columns else df
+
     def __getattr__(self, name: str) -> DataFrame:
         made = self.__dict__["_made"]
         if name not in made:
             if name in views.VIEWS:
                 text = views.VIEWS[name]
                 needs = sorted(set(re.findall(r"\{(\w+)\}", text)))
-                view = self.spark.sql(text, **{n: getattr(self, n) for n in needs})
+                view = self.spark.sql(text, **{n: self._raw(n) for n in needs})
                 # Segment ends are ax, ay, bx, by in the library; BY is a keyword in SQL text.
                 if {"x0", "y0", "x1", "y1"} <= set(view.columns):
                     view = view.withColumnsRenamed({"x0": "ax", "y0": "ay", "x1": "bx", "y1": "by"})

@@ -160,14 +160,14 @@ _BZ = """(power(1-u,3)*{0}0 + 3*power(1-u,2)*u*({0}0+{1}) + 3*(1-u)*u*u*(2*{0}1-
 
 @query("P10_bezier_tessellation", f"""WITH {SEGS}, k AS (SELECT *, greatest(4, least(48, cast(ceil(sqrt(power(x1-x0,2)+power(y1-y0,2))/2) AS int))) AS n
  FROM segs), e AS (SELECT *, unnest(generate_series(1, n)) AS i FROM k), p AS (SELECT *, cast(i AS double)/n AS u FROM e)
-SELECT icao, fid, count(*) AS points, {r(f"sum({_BZ.format('x', '10', '6')})", 2)} AS sum_x, {r(f"sum({_BZ.format('y', '-8', '5')})", 2)} AS sum_y
+SELECT icao, fid, count(*) AS points, {r(f"sum({_BZ.format('x', '10', '6')})/7", 3)} AS sum_x, {r(f"sum({_BZ.format('y', '-8', '5')})/7", 3)} AS sum_y
 FROM p GROUP BY icao, fid""")
 def p10(t):
     from ..operators.measure import tessellate
     s = vertex_segments(t).select("icao", "fid", "seq", "ax", "ay", "bx", "by", (F.col("ax") + 10).alias("acx"), (F.col("ay") - 8).alias("acy"),
                                   (F.col("bx") + 6).alias("bcx"), (F.col("by") + 5).alias("bcy"))
-    return tessellate(s).groupBy("icao", "fid").agg(F.count(F.lit(1)).alias("points"), rnd(F.sum("x"), 2).alias("sum_x"),
-                                                    rnd(F.sum("y"), 2).alias("sum_y"))
+    return tessellate(s).groupBy("icao", "fid").agg(F.count(F.lit(1)).alias("points"), rnd(F.sum("x") / 7, 3).alias("sum_x"),
+                                                    rnd(F.sum("y") / 7, 3).alias("sum_y"))
 
 
 @query("P11_close_ring", """WITH q AS (SELECT icao, fid, seq, floor(x/100)*100 AS x, floor(y/100)*100 AS y FROM b_vertex),

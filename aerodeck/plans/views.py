@@ -110,6 +110,13 @@ SELECT {_code('k')} AS icao, eid, cast((eid * 53) % 6001 - 3000 AS double) AS x,
        cast((eid * 97) % 6001 - 3000 AS double) AS y, m, seg
 FROM (SELECT c_custkey % {_N} AS k, c_custkey AS eid, cast(c_custkey % 24 AS int) AS m, c_mktsegment AS seg
       FROM {{customer}}) t""",
+    # Built features of five layers, enough for counting, ids, manifests and lookups.
+    "b_feature": """
+SELECT icao, 'parkingstandlocation' AS layer, sid AS fid, source, cast(x AS double) AS x, cast(y AS double) AS y, name AS idlin FROM {b_stand}
+UNION ALL SELECT icao, 'asrnnode', nid, 'xplane', cast(x AS double), cast(y AS double), NULL FROM {b_node}
+UNION ALL SELECT icao, 'runwayelement', rid, source, (x0 + x1) / 2, (y0 + y1) / 2, NULL FROM {b_strip}
+UNION ALL SELECT icao, 'taxiwayelement', pid, source, x, y, name FROM {b_pavement}
+UNION ALL SELECT icao, 'verticalpointstructure', eid, 'osm', x, y, NULL FROM {b_element}""",
 }
 
 
