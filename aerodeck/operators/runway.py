@@ -254,3 +254,9 @@ def helipad_layers(pads: DataFrame, areas: DataFrame, headers: DataFrame) -> dic
     }
 
 
+
+
+def helipad_outline(pads: DataFrame, areas: DataFrame) -> DataFrame:
+    """First mapped area of the same name as each helipad."""
+    first = areas.groupBy("icao", "name").agg(F.min("aid").alias("aid"))
+    return pads.join(first, ["icao", "name"], "left")

@@ -124,6 +124,9 @@ def position_cells(df: DataFrame, lat: str, lon: str, deg: float, reach_km: floa
     Longitude cells wrap; bands whose reach covers a pole take every longitude cell.
     """
     n = int(round(360 / deg))
+    if reach_km == 0:
+        return (df.withColumn("band", F.floor((F.col(lat) + 90) / deg).cast("int"))
+                .withColumn("cell", F.pmod(F.floor((F.col(lon) + 180) / deg).cast("int"), F.lit(n))))
     dlat = reach_km / 111.1 + 1e-9
     cols = df.withColumn("band", F.explode(F.sequence(F.floor((F.col(lat) - dlat + 90) / deg).cast("int"),
                                                       F.floor((F.col(lat) + dlat + 90) / deg).cast("int"))))
