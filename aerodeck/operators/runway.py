@@ -224,8 +224,8 @@ def build_landandholdshortoperationlocation(lahso: DataFrame, ends: DataFrame) -
 
 def build_runwaymarking(ends: DataFrame) -> DataFrame:
     from .marking import marking_rows
-    e = ends.select("icao", "rid", "idrwy", F.col("ident").alias("idthr"), "marking", F.col("width_m").alias("width"), "tx", "ty", "hdg", F.col("gap").alias("lda"),
-                    F.col("shift").alias("displaced"), F.coalesce("blastpad", F.lit(0.0)).alias("blastpad"))
+    e = ends.select("icao", "rid", "idrwy", F.col("ident").alias("idthr"), "marking", F.col("width_m").alias("width"), "tx", "ty", "hdg", rnd("gap", 6).alias("lda"),
+                    rnd("shift", 6).alias("displaced"), F.coalesce("blastpad", F.lit(0.0)).alias("blastpad"))
     return marking_rows(e).withColumnRenamed("marking", "rwymktyp").withColumn("source", F.lit("derived"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import codes, tags
 from ..functions.geo import rnd
 from ..operators import conflate
+from ..operators.ordered import durable
 from ..sources import geojson, osm, scenery, tables
 from .registry import query
 from .relational import registry_tables
@@ -29,14 +30,18 @@ def deg(v):
     return F.format_string("%.5f", v / 100000)
 
 
-def scenery_lines(t):
-    """Scenery rows of every airport as (icao, part, o1, o2, line), part giving the order."""
+def scenery_lines(t, wanted=None):
+    """Scenery rows of every airport as (icao, part, o1, o2, line), part giving the order.
+
+    ``wanted`` names the row families a query needs; the airport header is always there.
+    """
     c = F.col
     x, y = (c("x").cast("double"), c("y").cast("double"))
     parts = []
 
     def add(df, part, o1, o2, line):
-        parts.append(df.select("icao", F.lit(part).alias("part"), o1.cast("bigint").alias("o1"), o2.cast("bigint").alias("o2"), line.alias("line")))
+        if part == 0 or not wanted or part in wanted:
+            parts.append(df.select("icao", F.lit(part).alias("part"), o1.cast("bigint").alias("o1"), o2.cast("bigint").alias("o2"), line.alias("line")))
 
     zero = F.lit(0)
     a = t.b_airport
@@ -85,14 +90,14 @@ def scenery_lines(t):
     return reduce(lambda p1, p2: p1.unionByName(p2), parts)
 
 
-def blocks(t):
-    """Airport blocks as the reader cuts them: one text per airport."""
-    ln = scenery_lines(t).groupBy("icao").agg(F.array_sort(F.collect_list(F.struct("part", "o1", "o2", "line"))).alias("l"))
-    return ln.select(F.lit("custom/apt.dat").alias("path"), "icao", F.array_join(F.transform("l", lambda v: v.line), "\n").alias("block"))
+def blocks(t, *wanted):
+    """Airport blocks as the reader cuts them: one text per airport, kept as a table."""
+    ln = scenery_lines(t, wanted).groupBy("icao").agg(F.array_sort(F.collect_list(F.struct("part", "o1", "o2", "line"))).alias("l"))
+    return durable(ln.select(F.lit("custom/apt.dat").alias("path"), "icao", F.array_join(F.transform("l", lambda v: v.line), "\n").alias("block")))
 
 
-def lines(t):
-    return scenery.coded_lines(blocks(t))
+def lines(t, *wanted):
+    return scenery.coded_lines(blocks(t, *wanted))
 
 
 @query("S01_airport_blocks", """SELECT icao, 4 AS fields FROM b_airport""")
@@ -108,7 +113,7 @@ def s01(t):
 
 @query("S02_pick_airport", "SELECT icao, name FROM b_airport WHERE icao = 'X007'")
 def s02(t):
-    return scenery.headers(scenery.coded_lines(scenery.pick_airport(blocks(t), "x007"))).select("icao", "name")
+    return scenery.headers(scenery.coded_lines(scenery.pick_airport(blocks(t, 1), "x007"))).select("icao", "name")
 
 
 @query("S03_first_file_wins", "SELECT icao, CASE WHEN k % 3 = 0 THEN 'Custom/a' WHEN k % 3 = 1 THEN 'Custom/b' ELSE 'default' END AS path FROM b_airport")
@@ -120,35 +125,35 @@ def s03(t):
 
 @query("S04_row_dispatch", """SELECT icao, code, n FROM (SELECT icao, 1202 AS code, count(*) AS n FROM b_edge GROUP BY icao UNION ALL SELECT icao, 1201, count(*) FROM b_node GROUP BY icao UNION ALL SELECT icao, 1300, count(*) FROM b_stand GROUP BY icao UNION ALL SELECT icao, 110, count(*) FROM b_pavement GROUP BY icao UNION ALL SELECT icao, 100, count(*) FROM b_strip GROUP BY icao) q""")
 def s04(t):
-    return lines(t).filter(F.col("code").isin(100, 110, 1201, 1202, 1300)).groupBy("icao", "code").agg(F.count(F.lit(1)).alias("n"))
+    return lines(t, 2, 6, 8, 9, 10).filter(F.col("code").isin(100, 110, 1201, 1202, 1300)).groupBy("icao", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("S05_runway_rows", f"""SELECT icao, ident0, ident1, width_m, CASE surface WHEN 1 THEN 4 WHEN 2 THEN 2 WHEN 3 THEN 9 WHEN 4 THEN 6 ELSE 0 END AS surface, CASE WHEN shoulder_surface IS NOT NULL THEN 2 END AS shoulder_surface, centerline_lights, edge_lights, displaced0, blastpad1, approach0, tdz1, reil0,
  CASE marking1 WHEN 0 THEN 0 ELSE marking1 END AS marking1, {r("round(y0)/100000", 5)} AS lat0, {r("round(x1)/100000", 5)} AS lon1 FROM b_strip WHERE rid % 25 <> 7""".replace("round(y0)/100000", "y0/100000").replace("round(x1)/100000", "x1/100000"))
 def s05(t):
-    ok, _ = scenery.runways(lines(t))
+    ok, _ = scenery.runways(lines(t, 2))
     return ok.select("icao", "ident0", "ident1", "width_m", "surface", "shoulder_surface", "centerline_lights", "edge_lights", "displaced0", "blastpad1", "approach0", "tdz1", "reil0", "marking1", rnd("lat0", 5).alias("lat0"), rnd("lon1", 5).alias("lon1"))
 
 
 @query("S05_short_rows", "SELECT icao, 'short runway row: 100 ' || cast(width_m AS string) || ' 1 x' AS message FROM b_strip WHERE rid % 25 = 7")
 def s05b(t):
-    _, short = scenery.runways(lines(t))
+    _, short = scenery.runways(lines(t, 2))
     return short.select("icao", "message")
 
 
 @query("S06_water_runways", f"SELECT icao, width_m, '4' AS ident0, '22' AS ident1, {r('y0/100000', 5)} AS lat0, {r('x1/100000', 5)} AS lon1 FROM b_strip WHERE rid % 9 = 0")
 def s06(t):
-    return scenery.water_runways(lines(t)).select("icao", "width_m", "ident0", "ident1", rnd("lat0", 5).alias("lat0"), rnd("lon1", 5).alias("lon1"))
+    return scenery.water_runways(lines(t, 3)).select("icao", "width_m", "ident0", "ident1", rnd("lat0", 5).alias("lat0"), rnd("lon1", 5).alias("lon1"))
 
 
 @query("S07_helipads", "SELECT icao, 'H1' AS ident, hd AS heading, 25.0::double AS length_m, 0.0::double AS width_m, 2 AS surface FROM b_strip WHERE rid % 5 = 0")
 def s07(t):
-    return scenery.helipads(lines(t)).select("icao", "ident", "heading", "length_m", "width_m", "surface")
+    return scenery.helipads(lines(t, 4)).select("icao", "ident", "heading", "length_m", "width_m", "surface")
 
 
 @query("S08_pavement_rings", """SELECT icao, CASE WHEN pid % 5 = 0 AND pid % 6 > 0 THEN 1 WHEN pid % 6 = 0 THEN 9 ELSE 0 END AS holes, count(*) AS n, CASE WHEN pid % 6 = 0 THEN 0 ELSE 4 END AS outer_nodes FROM b_pavement WHERE pid % 6 > 0 GROUP BY 1, 2, 4""")
 def s08(t):
-    ln = lines(t)
+    ln = lines(t, 6)
     _, v = scenery.pavements(ln, scenery.rings(ln))
     p = v.groupBy("icao", "obj").agg(F.max("ring").alias("holes"), F.count_if(F.col("ring") == 0).cast("int").alias("outer_nodes"))
     return p.groupBy("icao", "holes", "outer_nodes").agg(F.count(F.lit(1)).alias("n"))
@@ -156,21 +161,21 @@ def s08(t):
 
 @query("S08_painted_lines", """SELECT icao, CASE WHEN fid % 4 > 0 THEN 'Line ' || fid END AS name, count(*) AS nodes, fid % 3 = 0 AS closed, cast(sum(CASE WHEN seq = mx AND fid % 3 > 0 THEN 0 ELSE line END) AS bigint) AS codes FROM (SELECT *, max(seq) OVER (PARTITION BY icao, fid) AS mx FROM b_vertex) q GROUP BY icao, fid""")
 def s08b(t):
-    ln = lines(t)
+    ln = lines(t, 5)
     v = scenery.painted_lines(ln, scenery.rings(ln))
     return v.groupBy("icao", "obj").agg(F.first("name").alias("name"), F.count(F.lit(1)).alias("nodes"), F.first("closed").alias("closed"), F.sum("line").alias("codes")).drop("obj")
 
 
 @query("S08_boundary", "SELECT icao, 3 AS nodes, 9.0::double AS top FROM b_airport")
 def s08c(t):
-    b = scenery.boundary(scenery.rings(lines(t)))
+    b = scenery.boundary(scenery.rings(lines(t, 7)))
     return b.groupBy("icao").agg(F.count(F.lit(1)).cast("int").alias("nodes"), F.max("lat").alias("top"))
 
 
 @query("S09_node_rows", f"""SELECT icao, {r('y/100000.0::double', 5)} AS lat, {r('x/100000.0::double', 5)} AS lon, CASE WHEN seq = 2 AND seq < mx THEN {r('(x+7)/100000.0::double', 5)} END AS ctrl_lon, CASE WHEN seq = mx AND fid % 3 > 0 THEN 0 ELSE line END AS line,
  CASE WHEN seq = mx AND fid % 3 = 0 THEN 101 WHEN seq = 2 AND seq < mx THEN 102 ELSE 0 END AS light FROM (SELECT *, max(seq) OVER (PARTITION BY icao, fid) AS mx FROM b_vertex) q""")
 def s09(t):
-    ln = lines(t)
+    ln = lines(t, 5)
     v = scenery.painted_lines(ln, scenery.rings(ln))
     return v.select("icao", rnd("lat", 5).alias("lat"), rnd("lon", 5).alias("lon"), rnd("ctrl_lon", 5).alias("ctrl_lon"), "line", "light")
 
@@ -178,7 +183,7 @@ def s09(t):
 @query("S10_point_objects", """SELECT icao, CASE m % 4 WHEN 0 THEN 'beacon' WHEN 1 THEN 'windsock' WHEN 2 THEN 'sign' ELSE 'aid' END AS what, CASE m % 4 WHEN 0 THEN 5 WHEN 1 THEN 6 WHEN 2 THEN m % 5 ELSE CASE m % 9 WHEN 1 THEN 2 WHEN 5 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 6 THEN 4 WHEN 7 THEN 3 WHEN 8 THEN 3 ELSE 0 END END AS code,
  CASE m % 4 WHEN 0 THEN 'BCN' WHEN 1 THEN 'WS A' WHEN 2 THEN '{@Y}A{^r}' ELSE '09R' END AS note FROM b_element""")
 def s10(t):
-    ln = lines(t)
+    ln = lines(t, 12)
     what = lambda df, w, code, note: df.select("icao", F.lit(w).alias("what"), F.col(code).alias("code"), F.col(note).alias("note"))
     return (what(scenery.beacons(ln), "beacon", "kind", "name").unionByName(what(scenery.windsocks(ln), "windsock", "kind", "name"))
             .unionByName(what(scenery.signs(ln), "sign", "size", "raw")).unionByName(what(scenery.visual_aids(ln), "aid", "kind", "runway")))
@@ -186,28 +191,28 @@ def s10(t):
 
 @query("S11_frequencies", """SELECT icao, CASE WHEN sid % 20 = 0 THEN 1 ELSE 5 END AS station, CASE WHEN sid % 20 = 0 THEN (118000 + sid % 900)/1000 ELSE (11800 + sid % 90)/100 END AS mhz, CASE WHEN sid % 20 = 0 THEN 'ATIS' ELSE 'TWR North' END AS name FROM b_stand WHERE sid % 10 = 0""")
 def s11(t):
-    return scenery.frequencies(lines(t)).select("icao", "station", "mhz", "name")
+    return scenery.frequencies(lines(t, 11)).select("icao", "station", "mhz", "name")
 
 
 @query("S12_route_rows", "SELECT icao, from_id, to_id, oneway, restriction, name FROM b_edge")
 def s12(t):
-    return scenery.route_edges(lines(t)).select("icao", "from_id", "to_id", "oneway", "restriction", "name")
+    return scenery.route_edges(lines(t, 10)).select("icao", "from_id", "to_id", "oneway", "restriction", "name")
 
 
 @query("S13_children_of_parents", """SELECT e.icao, from_id, to_id, z AS runway FROM b_edge e, unnest(['09L', CASE WHEN eid % 36 < 10 THEN '0' ELSE '' END || cast(eid % 36 AS string)]) u(z) WHERE eid % 10 = 1""")
 def s13(t):
-    ln = lines(t)
+    ln = lines(t, 10)
     return scenery.active_zones(ln).join(scenery.route_edges(ln), ["icao", "eid"]).select("icao", "from_id", "to_id", "runway")
 
 
 @query("S13_stand_details", """SELECT icao, CASE WHEN sid % 4 > 0 THEN 'Stand ' || sid ELSE '' END AS name, CASE sid % 3 WHEN 0 THEN 'gate' WHEN 1 THEN 'tie_down' ELSE 'misc' END AS kind, CASE WHEN sid % 2 = 0 THEN 'C' END AS size_code, CASE WHEN sid % 2 = 0 THEN 'DAL ' || CASE WHEN sid % 8 = 0 THEN 'AAL' ELSE 'KLM' END ELSE '' END AS airlines FROM b_stand""")
 def s13b(t):
-    return scenery.stands(lines(t)).select("icao", "name", "kind", "size_code", F.array_join("airlines", " ").alias("airlines"))
+    return scenery.stands(lines(t, 8)).select("icao", "name", "kind", "size_code", F.array_join("airlines", " ").alias("airlines"))
 
 
-@query("S14_header_values", "SELECT icao, iata, name, city, country, elev_ft, CASE WHEN k % 3 > 0 AND lat <> 0 AND lon <> 0 THEN lat END AS lat, CASE WHEN k % 3 > 0 AND lat <> 0 AND lon <> 0 THEN lon END AS lon FROM b_airport")
+@query("S14_header_values", "SELECT icao, iata, name, city, country, elev_ft, CASE WHEN k % 3 > 0 THEN round(lat*100)/100 END AS lat, CASE WHEN k % 3 > 0 THEN round(lon*100)/100 END AS lon FROM b_airport WHERE true")
 def s14(t):
-    return scenery.headers(lines(t)).select("icao", "iata", "name", "city", "country", "elev_ft", "lat", "lon")
+    return scenery.headers(lines(t, 1)).select("icao", "iata", "name", "city", "country", "elev_ft", "lat", "lon")
 
 
 # ---- map elements -------------------------------------------------------------------------
@@ -267,7 +272,7 @@ def m03b(t):
 
 # ---- tables -------------------------------------------------------------------------------
 
-@query("S20_text_index", "SELECT icao, lat, lon, elev_ft, CASE WHEN k % 4 = 0 THEN 18000.0::double END AS trans_alt_ft, CASE WHEN k % 5 > 0 THEN 'FL' || k END AS trans_level FROM b_airport WHERE k % 7 > 0")
+@query("S20_text_index", "SELECT icao, round(lat*100)/100 AS lat, round(lon*100)/100 AS lon, elev_ft, CASE WHEN k % 4 = 0 THEN 18000.0::double END AS trans_alt_ft, CASE WHEN k % 5 > 0 THEN 'FL' || k END AS trans_level FROM b_airport WHERE k % 7 > 0")
 def s20(t):
     k = F.col("k")
     full = row(F.lower("icao"), "K2", F.format_string("%.2f", "lat"), F.format_string("%.2f", "lon"), F.col("elev_ft"), "C", "9000", "0", F.when(k % 4 == 0, "18000").otherwise("-1"), F.when(k % 5 > 0, F.concat(F.lit("FL"), s("k"))).otherwise("-1"))
