@@ -1,13 +1,22 @@
-"""Client schema: the 36 served layers with their own property sets and code numbers."""
+"""Client schema: served layers with their own numbering and code translations."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codes import UNKNOWN
+from ..functions.codes import FEATURE_NUMBERS, UNKNOWN
 from ..functions.geo import FT_M, c, rnd
+from ..functions.text import lookup
+from .ordered import rank, scan
 
 
 def ft_to_m(v) -> Column:
     return F.coalesce(rnd(c(v) * FT_M, 2), F.lit(float(UNKNOWN)))
+
+
+def client_ids(features: DataFrame, order: list[str]) -> DataFrame:
+    """Feature number and client id of the 36 served layers; other layers drop out."""
+    no = lookup(FEATURE_NUMBERS, "layer")
+    served = features.withColumn("feattype", no).filter("feattype IS NOT NULL")
+    return scan(served, ["icao", "layer"], order, _n=rank()).withColumn("client_id", F.col("feattype").cast("bigint") * 1000000 + F.col("_n")).drop("_n")

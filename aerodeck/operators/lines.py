@@ -13,7 +13,7 @@ from ..functions import codes, shapes
 from ..functions.geo import dist, fold_angle, heading, right_of, rnd, seg_cross, seg_dist
 from . import overlay
 from .network import majority
-from .ordered import rank, running, scan
+from .ordered import durable, rank, running, scan
 from .spatial import SEG, as_segments, nearest, segment_cells, within
 
 MIN_RUN_M = 0.2
@@ -117,8 +117,8 @@ def exits_and_rest(parts: DataFrame, holds: DataFrame, rw: DataFrame) -> tuple[D
     neighbours claim one outside part, the earlier part takes its share first.
     """
     keys = ["icao", "lid", "part"]
-    p = with_measures(parts, keys, ["seq", "t0"])
-    facts = line_facts(p, keys)
+    p = durable(with_measures(parts, keys, ["seq", "t0"]))
+    facts = durable(line_facts(p, keys))
     side = p.groupBy(*keys).agg(F.first("inside").alias("inside"))
     ins = nearest_runway(facts.join(side.filter("inside"), keys), rw, 200.0)
     d0 = seg_dist("fx", "fy", "rax", "ray", "rbx", "rby")
@@ -136,7 +136,7 @@ def exits_and_rest(parts: DataFrame, holds: DataFrame, rw: DataFrame) -> tuple[D
     lim = lambda v: F.least(F.coalesce(v, F.lit(EXIT_M)), F.lit(EXIT_M), F.col("length"))
     f_to = F.when(F.col("f_exit").isNotNull(), lim(F.col("f_cut"))).otherwise(0.0)
     b_from = F.when(F.col("b_exit").isNotNull(), F.greatest(F.col("length") - lim(F.col("b_cut")), f_to)).otherwise(F.col("length"))
-    plan = plan.select(*keys, "f_exit", "b_exit", f_to.alias("_a"), b_from.alias("_b"), F.col("length").alias("_l"))
+    plan = durable(plan.select(*keys, "f_exit", "b_exit", f_to.alias("_a"), b_from.alias("_b"), F.col("length").alias("_l")))
     o = out.join(plan, keys)
     spans = F.array(F.struct(F.lit("f").alias("role"), F.lit(0.0).alias("lo"), F.col("_a").alias("hi")), F.struct(F.lit("r").alias("role"), F.col("_a").alias("lo"), F.col("_b").alias("hi")), F.struct(F.lit("b").alias("role"), F.col("_b").alias("lo"), F.col("_l").alias("hi")))
     o = o.withColumn("_s", F.explode(spans)).withColumn("_lo", F.greatest("from_m", "_s.lo")).withColumn("_hi", F.least("to_m", "_s.hi")).filter("_hi - _lo > 1e-9")
@@ -167,12 +167,15 @@ def build_lines(runs: DataFrame, edges: DataFrame, rw: DataFrame, stands: DataFr
     """
     named = edges.filter(F.col("name").isNotNull())
     keys = ["icao", "lid"]
-    segs = with_measures(runs, keys)
+    # Phases end in tables: each product below feeds several later joins.
+    segs = durable(with_measures(runs, keys))
     attrs = runs.groupBy(*keys).agg(*[F.first(n, True).alias(n) for n in ("line", "light", "desc", "source")])
     facts = keep_runs(line_facts(segs, keys).join(attrs, keys))
-    meant = classify_lines(facts, edges, rw)
+    facts = durable(facts)
+    meant = durable(classify_lines(facts, edges, rw))
     holds = meant.filter(F.col("meaning").isin("runway_hold", "ils_hold", "intersection_hold"))
     hold_segs = segs.join(holds.select(*keys, "meaning"), keys).select(*keys, "meaning", "seq", "from_m", "to_m", *SEG)
+    hold_segs = durable(hold_segs)
     votes = vote_edge_name(samples(hold_segs, keys, facts), named, keys, 40.0)
     h = nearest_runway(holds, rw, 500.0).join(votes, keys, "left").join(assemble(hold_segs, keys, ["seq"]), keys)
     stop = h.filter("meaning <> 'intersection_hold'").select(
@@ -185,12 +188,13 @@ def build_lines(runs: DataFrame, edges: DataFrame, rw: DataFrame, stands: DataFr
     lines = painted.select(*keys, "meaning", "light", "desc", "source").unionByName(mapped.groupBy(*keys).agg(F.lit("center").alias("meaning"), F.lit(0).alias("light"), F.first("desc", True).alias("desc"), F.lit("osm").alias("source")))
     line_segs = segs.join(painted.select(*keys), keys, "left_semi").select(*keys, "seq", *SEG).unionByName(mapped.select(*keys, "seq", *SEG))
     parts = overlay.split_lines(line_segs, ["lid"], rw.select("icao", *SEG, "width_m"))
-    exits, rest = exits_and_rest(parts, hold_segs.filter("meaning <> 'intersection_hold'"), rw)
+    exits, rest = exits_and_rest(durable(parts), hold_segs.filter("meaning <> 'intersection_hold'"), rw)
+    exits, rest = durable(exits), durable(rest)
     pk = ["icao", "lid", "part"]
 
     def described(rows, max_d):
-        m = with_measures(rows.withColumnRenamed("ord", "seq"), pk)
-        f = line_facts(m, pk)
+        m = durable(with_measures(rows.withColumnRenamed("ord", "seq"), pk))
+        f = durable(line_facts(m, pk))
         v = vote_edge_name(samples(m, pk, f), named, pk, max_d)
         return m, f.join(v, pk, "left").join(lines, keys)
 

@@ -160,7 +160,7 @@ class Airport:
     @cached_property
     def edges(self) -> DataFrame:
         e = network.edge_positions(self.t.b_edge, self.t.b_node).filter("restriction <> 'runway'").withColumn("wingspan", codes.restriction_wingspan("restriction"))
-        return e.select("icao", "eid", "name", "wingspan", "ax", "ay", "bx", "by")
+        return self.save(e.select("icao", "eid", "name", "wingspan", "ax", "ay", "bx", "by"))
 
     @cached_property
     def mids(self) -> DataFrame:
@@ -177,7 +177,7 @@ class Airport:
     @cached_property
     def movement(self) -> DataFrame:
         p = self.pieces.filter(F.col("class").isin("taxiway", "apron")).select("icao", "geom")
-        return p.unionByName(self.stand_layers["parkingstandarea"].select("icao", "geom"))
+        return self.save(p.unionByName(self.stand_layers["parkingstandarea"].select("icao", "geom")))
 
     @cached_property
     def extent(self) -> DataFrame:
@@ -190,11 +190,12 @@ class Airport:
 
     @cached_property
     def area_ids(self) -> DataFrame:
-        return self.captured(self.areas.select("icao", F.col("aid").alias("fid"), "geom"))
+        return self.save(self.captured(self.areas.select("icao", F.col("aid").alias("fid"), "geom")))
 
     @cached_property
     def stand_layers(self) -> dict[str, DataFrame]:
-        return structures.stand_layers(self.stands, pavement.build_apronelement(self.pieces))
+        built = structures.stand_layers(self.stands, pavement.build_apronelement(self.pieces))
+        return {n: self.save(df) for n, df in built.items()}
 
     @cached_property
     def line_layers(self) -> dict[str, DataFrame]:
@@ -461,7 +462,7 @@ def l25(t):
 from .spatial import overlap_sql  # noqa: E402
 
 
-@query("L26_runwayelement", f"""WITH {RW}, z AS (SELECT icao, rid, idrwy, x0 AS x, y0 AS y, hd, len, width_m AS wid FROM rk), sp AS (SELECT x.icao, x.rid AS l_rid, y.rid AS r_rid, x.icao || '-' || x.rid || '-' || y.rid AS pid, x AS a, y AS b FROM z x JOIN z y ON y.icao = x.icao AND (x.idrwy, x.rid) < (y.idrwy, y.rid)), @OV@,
+@query("L26_runwayelement", f"""WITH {RW}, z AS (SELECT icao, rid, idrwy, x0 AS x, y0 AS y, hd, len, width_m AS wid FROM rk), sp AS (SELECT z1.icao, z1.rid AS l_rid, z2.rid AS r_rid, z1.icao || '-' || z1.rid || '-' || z2.rid AS pid, z1 AS a, z2 AS b FROM z z1 JOIN z z2 ON z2.icao = z1.icao AND (z1.idrwy, z1.rid) < (z2.idrwy, z2.rid)), @OV@,
 w AS (SELECT icao, l_rid, r_rid, area FROM sp JOIN ov USING (pid) WHERE area > 1), c AS (SELECT icao, rid, sum(area) AS area FROM (SELECT icao, l_rid AS rid, area FROM w UNION ALL SELECT icao, r_rid, area FROM w) q GROUP BY 1, 2)
 SELECT z.icao, z.rid, z.idrwy, {r('z.len*z.wid - coalesce(c.area, 0)', 1)} AS area FROM z LEFT JOIN c ON c.icao = z.icao AND c.rid = z.rid""".replace("@OV@", overlap_sql("sp")))
 def l26(t):
@@ -504,7 +505,7 @@ def l30(t):
 
 @query("L31_runwaythreshold", f"""WITH {RW}, l AS (SELECT icao, ident0 AS k, arg_min(rid % 5, rid) AS kind FROM b_strip WHERE rid % 4 = 0 AND rid % 5 IN (1, 2, 3) GROUP BY 1, 2)
 SELECT en.icao, rid, ident AS idthr, idrwy, CASE WHEN shift > 0.5 THEN 2 ELSE 1 END AS thrtype, {r('hdg', 1)} AS brngtrue, {r('coalesce(tora, len)', 1)} AS tora, {r('coalesce(toda, len)', 1)} AS toda, {r('coalesce(asda, len + stopway)', 1)} AS asda, {r('coalesce(lda, gap)', 1)} AS lda, coalesce(tdze, elev_ft) AS tdze, marking AS rwymktyp, approach AS tohlight, tdz AS tdzlight, reil,
- cast(kind AS int) AS vasis, {r('tx')} AS x, {r('ty')} AS y FROM en JOIN b_airport a ON a.icao = en.icao LEFT JOIN l ON l.icao = en.icao AND l.k = ident""")
+ cast(l.kind AS int) AS vasis, {r('tx')} AS x, {r('ty')} AS y FROM en JOIN b_airport a ON a.icao = en.icao LEFT JOIN l ON l.icao = en.icao AND l.k = ident""")
 def l31(t):
     return place(Airport(t).layer("runwaythreshold"), "rid", "idthr", "idrwy", "thrtype", "brngtrue", "tora", "toda", "asda", "lda", "tdze", "rwymktyp", "tohlight", "tdzlight", "reil", "vasis")
 

@@ -20,7 +20,7 @@ ROOT = "/root/testdata"
 def session(name: str = "aerodeck-tests") -> SparkSession:
     return (SparkSession.builder.master("local[8]").appName(name)
             .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
-            .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
+            .config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
             .config("spark.sql.streaming.stateStore.providerClass",
                     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
