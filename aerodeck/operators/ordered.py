@@ -31,17 +31,34 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
+    input_bytes(df)
     return df.checkpoint()
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of a result as the optimizer estimates it; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+_read = {"bytes": 0}
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Upper bound of the bytes of the tables a result is made from; runs no job.
+
+    Sizes behind joins are products of guesses, so only the leaves count. A checkpointed
+    leaf stands for everything read before it.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.nodeName().startswith("Scan ExistingRDD") or "RDD" in leaf.nodeName():
+            total += _read["bytes"]
+        else:
+            total += int(leaf.stats().sizeInBytes())
+    _read["bytes"] = max(_read["bytes"], min(total, 1 << 62))
+    return total
 
 
 def has_hot_key(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
-    """True if a key may exceed ``hot_rows``; counts only when the input is not small."""
-    if hot_rows >= HOT_ROWS and estimated_bytes(df) < SMALL_BYTES:
+    """True if a key may exceed ``hot_rows``; counts only when the inputs are not small."""
+    if hot_rows >= HOT_ROWS and input_bytes(df) < SMALL_BYTES:
         return False
     top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     return (top or 0) > hot_rows
