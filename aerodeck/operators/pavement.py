@@ -10,7 +10,7 @@ from ..functions.geo import c
 from . import overlay
 from .conflate import union_sources
 from .network import majority
-from .ordered import rank, scan
+from .ordered import durable, rank, scan
 from .spatial import box_pairs, edges_of, lines_near, points_in_polygons
 
 # Smallest area kept, in square metres (strict above 5).
@@ -51,6 +51,7 @@ def classify(pavement: DataFrame, stands: DataFrame, mids: DataFrame, aprons: Da
     have = aprons.select("icao", F.lit(True).alias("_mapped")).distinct()
     j = (open_.join(on, ["icao", "pid"], "left").join(ed, ["icao", "pid"], "left").join(have, "icao", "left")
          .withColumn("n_stands", F.coalesce("n_stands", F.lit(0))).withColumn("n_edges", F.coalesce("n_edges", F.lit(0))))
+    j = durable(j)
     undecided = j.filter(((F.col("n_stands") > 0) == (F.col("n_edges") > 0)) & F.coalesce("_mapped", F.lit(False)))
     share = overlay.covered_share(undecided.select("icao", "pid", "geom"), aprons, ["pid"], cell).select("icao", "pid", "share")
     j = j.join(share, ["icao", "pid"], "left")
@@ -92,7 +93,8 @@ def pavement_pieces(pavement: DataFrame, areas: DataFrame, lines: DataFrame, sta
     """
     osm_aprons = areas.filter(F.col("kind").isin("apron", "deicing")).select("icao", "geom")
     p = pavement.filter(F.size(F.col("geom")[0]) >= 4).select("icao", F.concat(F.lit("p"), F.col("pid").cast("string")).alias("pid"), "name", "hint", "surface", "source", "geom")
-    own = classify(p, stands, mids, osm_aprons, cell).drop("hint")
+    # Phases end in tables, so later joins plan over short lineages.
+    own = durable(classify(p, stands, mids, osm_aprons, cell).drop("hint"))
     bridged = lines_near(edges_of(p, ["icao", "pid"]), ["pid"], lines.filter("bridge"), 0.0)
     own = own.join(bridged.withColumn("bridge", F.lit(True)), ["icao", "pid"], "left").withColumn("bridge", F.coalesce("bridge", F.lit(False)))
     have = pavement.select("icao").distinct()
@@ -106,7 +108,7 @@ def pavement_pieces(pavement: DataFrame, areas: DataFrame, lines: DataFrame, sta
     buffered = overlay.strips(taxi, "w")
     buffered = buffered.select("icao", F.concat(F.lit("l"), F.xxhash64("fid", "geom").cast("string")).alias("pid"), "name", F.lit(4).alias("surface"), F.lit("osm").alias("source"), "geom", F.lit("taxiway").alias("class"), "bridge")
     pieces = own.select(buffered.columns).unionByName(from_areas.select(buffered.columns)).unionByName(buffered)
-    pieces = without_runways(pieces, rw)
+    pieces = without_runways(durable(pieces), rw)
     return pieces.withColumn("fid", F.concat("pid", F.lit("."), F.col("piece").cast("string"))).filter(big_enough(shapes.geom_area("geom"), "pavement"))
 
 

@@ -280,6 +280,17 @@ class Airport:
         return self.taxi_lines.select("icao", "fid", "name", "width_m", "bridge", "source", F.posexplode(F.col("geom")[0]).alias("seq", "p")).select("icao", "fid", "name", "width_m", "bridge", "source", "seq", "p.x", "p.y")
 
 
+_BUILDS: dict[tuple[str, str], Airport] = {}
+
+
+def airport(t) -> Airport:
+    """The build over one input folder; its phase tables serve every layer of a session."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _BUILDS:
+        _BUILDS[key] = Airport(t)
+    return _BUILDS[key]
+
+
 def surface(df: DataFrame, *cols) -> DataFrame:
     """Rows of a surface layer with its area and centroid instead of the rings."""
     m = shapes.ring_centroid(F.col("geom")[0])
@@ -310,28 +321,28 @@ def rect(length, back="", w="width_m"):
 
 
 def layer(name):
-    return lambda t: Airport(t).layer(name)
+    return lambda t: airport(t).layer(name)
 
 
 @query("L02_aerodromereferencepoint", "SELECT icao, iata, name, city, country, region, elev_ft AS elev, lat, lon, CASE WHEN k % 2 = 0 THEN 'xplane' ELSE 'derived' END AS source FROM b_airport")
 def l02(t):
-    return Airport(t).layer("aerodromereferencepoint").select("icao", "iata", "name", "city", "country", "region", "elev", "lat", "lon", "source")
+    return airport(t).layer("aerodromereferencepoint").select("icao", "iata", "name", "city", "country", "region", "elev", "lat", "lon", "source")
 
 
 @query("L03_aerodromesign", f"""SELECT icao, CASE WHEN eid % 6 >= 4 THEN 4 WHEN eid % 2 = 0 THEN 2 ELSE 1 END AS signtype, 'A' || eid % 9 || '→' AS msgfront, {r('eid % 360 + 0.3', 1)} AS signdir, CASE eid % 6 WHEN 1 THEN 0.6 WHEN 2 THEN 0.8 WHEN 3 THEN 1.2 WHEN 4 THEN 1.2 ELSE 0.8 END::double AS height, {r('x + 0.37')} AS x, {r('y + 0.41')} AS y FROM b_element WHERE m IN (9, 17, 19, 21)""")
 def l03(t):
-    return place(Airport(t).layer("aerodromesign"), "signtype", "msgfront", "signdir", "height")
+    return place(airport(t).layer("aerodromesign"), "signtype", "msgfront", "signdir", "height")
 
 
 @query("L04_aerodromesurfacelighting", f"""WITH {RW}, {PAIR} SELECT icao, 8 AS lstype, idrwy, ident AS idthr, {r('tx - ux*30')} AS x, {r('ty - uy*30')} AS y FROM en WHERE approach > 0 UNION ALL SELECT icao, 7, idrwy, ident, {r('tx + s*uy*(width_m/2 + 12)')}, {r('ty - s*ux*(width_m/2 + 12)')} FROM en, unnest([-1, 1]) u(s) WHERE reil > 0
  UNION ALL SELECT s.icao, rid0, p.idrwy, s.ident0, {r('s.x0')}, {r('s.y0')} FROM (SELECT *, cast(rid % 5 AS int) AS rid0 FROM b_strip WHERE rid % 4 = 0) s LEFT JOIN ep p ON p.icao = s.icao AND p.ident = s.ident0""")
 def l04(t):
-    return place(Airport(t).layer("aerodromesurfacelighting"), "lstype", "idrwy", "idthr")
+    return place(airport(t).layer("aerodromesurfacelighting"), "lstype", "idrwy", "idthr")
 
 
 @query("L05_apronelement")
 def l05(t):
-    return surface(Airport(t).layer("apronelement"), "idapron", "surftype", "feattype", "source")
+    return surface(airport(t).layer("apronelement"), "idapron", "surftype", "feattype", "source")
 
 
 ACROSS = f"{RW}, {PAIR}, ar AS (SELECT p.*, CASE WHEN s.rid % 8 = 0 THEN 'EMAS' ELSE 'BAK-12' END AS kind, CASE WHEN s.rid % 12 = 0 THEN 50.0 END AS dist FROM b_strip s JOIN ep p ON p.icao = s.icao AND p.ident = s.ident0 WHERE s.rid % 4 = 0)"
@@ -339,54 +350,54 @@ ACROSS = f"{RW}, {PAIR}, ar AS (SELECT p.*, CASE WHEN s.rid % 8 = 0 THEN 'EMAS'
 
 @query("L06_arrestinggearlocation", f"""WITH {ACROSS} SELECT icao, idrwy, ident AS idthr, kind AS feattype, {r('width_m')} AS len, {r('ex + ux*coalesce(dist, 0) - uy*width_m/2')} AS sx, {r('ey + uy*coalesce(dist, 0) + ux*width_m/2')} AS sy FROM ar""")
 def l06(t):
-    return curve(Airport(t).layer("arrestinggearlocation"), "idrwy", "idthr", "feattype")
+    return curve(airport(t).layer("arrestinggearlocation"), "idrwy", "idthr", "feattype")
 
 
 @query("L07_arrestingsystemlocation", f"""WITH {ACROSS} SELECT icao, idrwy, ident AS idthr, kind AS astype, CASE WHEN kind = 'EMAS' THEN 120.0 ELSE 20.0 END::double AS aslength, {r("CASE WHEN kind = 'EMAS' THEN 120*width_m ELSE 20*(width_m+10) END", 2)} AS area,
  {r("ex + ux*CASE WHEN kind = 'EMAS' THEN -60 ELSE coalesce(dist, 0) END")} AS cx, {r("ey + uy*CASE WHEN kind = 'EMAS' THEN -60 ELSE coalesce(dist, 0) END")} AS cy FROM ar""")
 def l07(t):
-    return surface(Airport(t).layer("arrestingsystemlocation"), "idrwy", "idthr", "astype", "aslength")
+    return surface(airport(t).layer("arrestingsystemlocation"), "idrwy", "idthr", "astype", "aslength")
 
 
 @query("L08_asrnedge")
 def l08(t):
-    return Airport(t).layer("asrnedge").select("icao", "edgeid", "stnode", "ennode", "edgetype", "direc", "idlin", "idrwy", "idstd", "wingspan", "edgelen", "actzone", "source")
+    return airport(t).layer("asrnedge").select("icao", "edgeid", "stnode", "ennode", "edgetype", "direc", "idlin", "idrwy", "idstd", "wingspan", "edgelen", "actzone", "source")
 
 
 @query("L09_asrnnode")
 def l09(t):
-    return Airport(t).layer("asrnnode").select("icao", "nodeid", "nodetype", "name", "idrwy", "idstd", "source", rnd("x", 3).alias("x"), rnd("y", 3).alias("y"))
+    return airport(t).layer("asrnnode").select("icao", "nodeid", "nodetype", "name", "idrwy", "idstd", "source", rnd("x", 3).alias("x"), rnd("y", 3).alias("y"))
 
 
 @query("L10_blastpad", f"""WITH {RW} SELECT icao, idrwy, ident AS idthr, blastpad AS length, {rect('blastpad', '-')} FROM en WHERE blastpad > 0.5""")
 def l10(t):
-    return surface(runway.build_blastpad(Airport(t).ends), "idrwy", "idthr", "length")
+    return surface(runway.build_blastpad(airport(t).ends), "idrwy", "idthr", "length")
 
 
 @query("L10_blastpad_mapped")
 def l10b(t):
-    return surface(Airport(t).layer("blastpad"), "idrwy", "idthr", "length", "source")
+    return surface(airport(t).layer("blastpad"), "idrwy", "idthr", "length", "source")
 
 
 @query("L11_bridgeside", f"""WITH w AS (SELECT icao, eid, x + 0.37::double AS x, y + 0.41::double AS y, cast(90 + eid % 37 AS double) AS dx, cast(80 - eid % 53 AS double) AS dy FROM b_element WHERE m = 6 AND eid % 2 = 0)
 SELECT icao, eid AS fid, cast(side AS int) AS side, 'T' || eid % 10 AS idlin, {r('sqrt(dx*dx + dy*dy)')} AS len, {r('x + CASE side WHEN 1 THEN -14.5 ELSE 14.5 END*dy/sqrt(dx*dx + dy*dy)')} AS sx, {r('y - CASE side WHEN 1 THEN -14.5 ELSE 14.5 END*dx/sqrt(dx*dx + dy*dy)')} AS sy FROM w, unnest([1, 2]) u(side)""")
 def l11(t):
-    return curve(Airport(t).layer("bridgeside"), "fid", "side", "idlin")
+    return curve(airport(t).layer("bridgeside"), "fid", "side", "idlin")
 
 
 @query("L12_constructionarea")
 def l12(t):
-    return surface(Airport(t).layer("constructionarea"), "name", "status")
+    return surface(airport(t).layer("constructionarea"), "name", "status")
 
 
 @query("L13_deicingarea")
 def l13(t):
-    return surface(Airport(t).layer("deicingarea"), "aid", "idapron", "deicegrp")
+    return surface(airport(t).layer("deicingarea"), "aid", "idapron", "deicegrp")
 
 
 @query("L14_deicinggroup")
 def l14(t):
-    return surface(Airport(t).layer("deicinggroup"), "deicegrp", "members")
+    return surface(airport(t).layer("deicinggroup"), "deicegrp", "members")
 
 
 HELI = """h AS (SELECT icao, eid, 'H' || eid % 5 AS ident, x + 0.37::double AS x, y + 0.41::double AS y, cast(eid % 360 AS double) AS hdg, CASE WHEN eid % 2 = 1 THEN 30.0 ELSE 25.0 END::double AS len, CASE WHEN eid % 2 = 1 THEN 20.0 ELSE 25.0 END::double AS wid FROM b_element WHERE m = 16),
@@ -395,19 +406,19 @@ ha AS (SELECT icao, 'H' || eid % 3 AS ident, min(eid) AS aid FROM b_element WHER
 
 @query("L15_finalapproachandtakeoffarea", f"""WITH {HELI} SELECT h.icao, h.ident, h.len AS length, {r('CASE WHEN aid IS NULL THEN len*wid ELSE (60 + aid % 100)*(60 + aid % 100) END', 2)} AS area FROM h LEFT JOIN ha ON ha.icao = h.icao AND ha.ident = h.ident""")
 def l15(t):
-    a = Airport(t)
+    a = airport(t)
     f = runway.helipad_layers(a.helipads, a.areas, a.headers)["finalapproachandtakeoffarea"]
     return surface(f, "ident", "length").drop("cx", "cy")
 
 
 @query("L15_pavement_helipads")
 def l15b(t):
-    return surface(Airport(t).layer("finalapproachandtakeoffarea"), "ident", "surftype", "source")
+    return surface(airport(t).layer("finalapproachandtakeoffarea"), "ident", "surftype", "source")
 
 
 @query("L16_frequencyarea", f"""SELECT s.icao, {r('118 + (sid % 18)/8', 3)} AS frq, cast(sid % 7 + 1 AS int) AS station, 'F' || sid AS name, 64000000.0::double AS area FROM b_stand s JOIN b_airport a ON a.icao = s.icao AND k % 2 = 0 WHERE sid % 10 = 0""")
 def l16(t):
-    a = Airport(t)
+    a = airport(t)
     mine = a.boundary.select("icao")
     f = structures.build_frequencyarea(a.frequencies.join(mine, "icao", "left_semi"), a.boundary, a.boundary)
     return surface(f, "frq", "station", "name").drop("cx", "cy")
@@ -415,47 +426,47 @@ def l16(t):
 
 @query("L16_frequencyarea_extent")
 def l16b(t):
-    return surface(Airport(t).layer("frequencyarea"), "frq", "station", "name")
+    return surface(airport(t).layer("frequencyarea"), "frq", "station", "name")
 
 
 @query("L17_helipadthreshold", f"""WITH {HELI} SELECT h.icao, ident, hdg AS brngtrue, elev_ft AS elev, {r('x - sin(radians(hdg))*len/2')} AS x, {r('y - cos(radians(hdg))*len/2')} AS y FROM h JOIN b_airport a ON a.icao = h.icao""")
 def l17(t):
-    return place(Airport(t).layer("helipadthreshold"), "ident", "brngtrue", "elev")
+    return place(airport(t).layer("helipadthreshold"), "ident", "brngtrue", "elev")
 
 
 @query("L18_hotspot")
 def l18(t):
-    return surface(Airport(t).layer("hotspot"), "idhot", "name", "description")
+    return surface(airport(t).layer("hotspot"), "idhot", "name", "description")
 
 
 @query("L19_landandholdshortoperationlocation", f"""WITH {RW}, {PAIR}, lh AS (SELECT p.* FROM b_strip s JOIN ep p ON p.icao = s.icao AND p.ident = s.ident1 WHERE s.rid % 8 = 3) SELECT icao, idrwy, ident AS idthr, 457.2::double AS lda, '09L' AS idcross, {r('width_m')} AS len, {r('tx + ux*least(457.2, len) - uy*width_m/2')} AS sx, {r('ty + uy*least(457.2, len) + ux*width_m/2')} AS sy FROM lh""")
 def l19(t):
-    return curve(Airport(t).layer("landandholdshortoperationlocation"), "idrwy", "idthr", "lda", "idcross")
+    return curve(airport(t).layer("landandholdshortoperationlocation"), "idrwy", "idthr", "lda", "idcross")
 
 
 @query("L20_paintedcenterline", f"""WITH {RW} SELECT icao, rid, idrwy, {r('gap', 1)} AS length, {r('gap')} AS len, {r('x0 + sh*d0')} AS sx, {r('y0 + ch*d0')} AS sy FROM rk""")
 def l20(t):
-    return curve(Airport(t).layer("paintedcenterline"), "rid", "idrwy", "length")
+    return curve(airport(t).layer("paintedcenterline"), "rid", "idrwy", "length")
 
 
 @query("L21_parkingstandarea")
 def l21(t):
-    return surface(Airport(t).layer("parkingstandarea"), "sid", "idstd", "idapron", "wingspan", "source")
+    return surface(airport(t).layer("parkingstandarea"), "sid", "idstd", "idapron", "wingspan", "source")
 
 
 @query("L22_parkingstandlocation")
 def l22(t):
-    return place(Airport(t).layer("parkingstandlocation"), "sid", "idstd", "idapron", "brngtrue", "wingspan", "acft", "jetway", "restacft", "airlines", "pmtyp", "source")
+    return place(airport(t).layer("parkingstandlocation"), "sid", "idstd", "idapron", "brngtrue", "wingspan", "acft", "jetway", "restacft", "airlines", "pmtyp", "source")
 
 
 @query("L24_runwaycenterlinepoint", f"""WITH {RW} SELECT icao, idrwy, ident AS idthr, 3 AS feattype, {r('ex')} AS x, {r('ey')} AS y FROM en UNION ALL SELECT icao, idrwy, ident, CASE WHEN shift > 0.5 THEN 2 ELSE 1 END, {r('tx')}, {r('ty')} FROM en""")
 def l24(t):
-    return place(Airport(t).layer("runwaycenterlinepoint").filter("feattype <> 4"), "idrwy", "idthr", "feattype")
+    return place(airport(t).layer("runwaycenterlinepoint").filter("feattype <> 4"), "idrwy", "idthr", "feattype")
 
 
 @query("L25_runwaydisplacedarea", f"""WITH {RW} SELECT icao, idrwy, ident AS idthr, {r('shift', 1)} AS length, {rect('shift')} FROM en WHERE shift > 0.5""")
 def l25(t):
-    return surface(Airport(t).layer("runwaydisplacedarea"), "idrwy", "idthr", "length")
+    return surface(airport(t).layer("runwaydisplacedarea"), "idrwy", "idthr", "length")
 
 
 # An element's area is its rectangle less its overlaps (no two overlaps of one runway meet here).
@@ -466,18 +477,18 @@ from .spatial import overlap_sql  # noqa: E402
 w AS (SELECT icao, l_rid, r_rid, area FROM sp JOIN ov USING (pid) WHERE area > 1), c AS (SELECT icao, rid, sum(area) AS area FROM (SELECT icao, l_rid AS rid, area FROM w UNION ALL SELECT icao, r_rid, area FROM w) q GROUP BY 1, 2)
 SELECT z.icao, z.rid, z.idrwy, {r('z.len*z.wid - coalesce(c.area, 0)', 1)} AS area FROM z LEFT JOIN c ON c.icao = z.icao AND c.rid = z.rid""".replace("@OV@", overlap_sql("sp")))
 def l26(t):
-    e = Airport(t).layer("runwayelement")
+    e = airport(t).layer("runwayelement")
     return e.groupBy("icao", "rid", "idrwy").agg(rnd(F.sum(shapes.geom_area("geom")), 1).alias("area"))
 
 
 @query("L27_runwayexitline")
 def l27(t):
-    return curve(Airport(t).layer("runwayexitline"), "lid", "part", "idlin", "idrwy", "exittype", "lighting", "source")
+    return curve(airport(t).layer("runwayexitline"), "lid", "part", "idlin", "idrwy", "exittype", "lighting", "source")
 
 
 @query("L28_runwayintersection")
 def l28(t):
-    return surface(Airport(t).layer("runwayintersection"), "idrwi", "surftype")
+    return surface(airport(t).layer("runwayintersection"), "idrwi", "surftype")
 
 
 MARKS = f"""WITH {RW}, e AS (SELECT *, gap/2 AS half, CASE WHEN marking >= 3 THEN 69 ELSE 33 END AS first, CASE WHEN gap < 800 THEN 150 WHEN gap < 1200 THEN 250 WHEN gap < 2400 THEN 300 ELSE 400 END AS ad, CASE WHEN gap < 1200 THEN 30 WHEN gap < 2400 THEN 45 ELSE 60 END AS al,
@@ -490,116 +501,116 @@ SELECT icao, rid, ident AS idthr, marktype, cast(n AS bigint) AS n FROM m WHERE
 
 @query("L29_runwaymarking", MARKS)
 def l29(t):
-    return Airport(t).layer("runwaymarking").groupBy("icao", "rid", "idthr", "marktype").agg(F.count(F.lit(1)).alias("n"))
+    return airport(t).layer("runwaymarking").groupBy("icao", "rid", "idthr", "marktype").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("M01_marking_shapes", f"""WITH {RW} SELECT icao, rid, ident AS idthr, {r("gap/2*0.9", 2)} AS area, {r("tx + ux*gap/4 + s*uy*(width_m/2 - 0.45)")} AS cx, {r("ty + uy*gap/4 - s*ux*(width_m/2 - 0.45)")} AS cy FROM en, unnest([-1, 1]) u(s) WHERE marking >= 4""")
 def m01(t):
-    return surface(Airport(t).layer("runwaymarking").filter("marktype = 6"), "rid", "idthr")
+    return surface(airport(t).layer("runwaymarking").filter("marktype = 6"), "rid", "idthr")
 
 
 @query("L30_runwayshoulder", f"""WITH {RW}, s AS (SELECT *, coalesce(shoulder_width_m, 7.5) AS w FROM rk WHERE shoulder_surface IS NOT NULL) SELECT icao, rid, idrwy, {r('w', 1)} AS width, {r('len*w', 2)} AS area, {r('(x0+x1)/2 + k*ch*(width_m/2 + w/2)')} AS cx, {r('(y0+y1)/2 - k*sh*(width_m/2 + w/2)')} AS cy FROM s, unnest([-1, 1]) u(k)""")
 def l30(t):
-    return surface(Airport(t).layer("runwayshoulder"), "rid", "idrwy", "width")
+    return surface(airport(t).layer("runwayshoulder"), "rid", "idrwy", "width")
 
 
 @query("L31_runwaythreshold", f"""WITH {RW}, l AS (SELECT icao, ident0 AS k, arg_min(rid % 5, rid) AS kind FROM b_strip WHERE rid % 4 = 0 AND rid % 5 IN (1, 2, 3) GROUP BY 1, 2)
 SELECT en.icao, rid, ident AS idthr, idrwy, CASE WHEN shift > 0.5 THEN 2 ELSE 1 END AS thrtype, {r('hdg', 1)} AS brngtrue, {r('coalesce(tora, len)', 1)} AS tora, {r('coalesce(toda, len)', 1)} AS toda, {r('coalesce(asda, len + stopway)', 1)} AS asda, {r('coalesce(lda, gap)', 1)} AS lda, coalesce(tdze, elev_ft) AS tdze, marking AS rwymktyp, approach AS tohlight, tdz AS tdzlight, reil,
  cast(l.kind AS int) AS vasis, {r('tx')} AS x, {r('ty')} AS y FROM en JOIN b_airport a ON a.icao = en.icao LEFT JOIN l ON l.icao = en.icao AND l.k = ident""")
 def l31(t):
-    return place(Airport(t).layer("runwaythreshold"), "rid", "idthr", "idrwy", "thrtype", "brngtrue", "tora", "toda", "asda", "lda", "tdze", "rwymktyp", "tohlight", "tdzlight", "reil", "vasis")
+    return place(airport(t).layer("runwaythreshold"), "rid", "idthr", "idrwy", "thrtype", "brngtrue", "tora", "toda", "asda", "lda", "tdze", "rwymktyp", "tohlight", "tdzlight", "reil", "vasis")
 
 
 @query("P38_end_geometry", f"""WITH {RW} SELECT icao, rid, end_no, {r('shift')} AS shift, {r('hdg')} AS hdg, {r('tx')} AS tx, {r('ty')} AS ty, {r('gap')} AS gap FROM en""")
 def p38(t):
-    return Airport(t).ends.select("icao", "rid", "end_no", rnd("shift", 3).alias("shift"), rnd("hdg", 3).alias("hdg"), rnd("tx", 3).alias("tx"), rnd("ty", 3).alias("ty"), rnd("gap", 3).alias("gap"))
+    return airport(t).ends.select("icao", "rid", "end_no", rnd("shift", 3).alias("shift"), rnd("hdg", 3).alias("hdg"), rnd("tx", 3).alias("tx"), rnd("ty", 3).alias("ty"), rnd("gap", 3).alias("gap"))
 
 
 @query("P39_declared_distances", f"""WITH {RW} SELECT icao, rid, ident AS idthr, {r('coalesce(tora, len)', 1)} AS tora, {r('coalesce(toda, len)', 1)} AS toda, {r('coalesce(asda, len + stopway)', 1)} AS asda, {r('coalesce(lda, gap)', 1)} AS lda FROM en""")
 def p39(t):
-    a = Airport(t)
+    a = airport(t)
     return a.layer("runwaythreshold").select("icao", "rid", "idthr", "tora", "toda", "asda", "lda")
 
 
 @query("L32_serviceroad")
 def l32(t):
-    return surface(Airport(t).layer("serviceroad"), "name", "surftype", "width", "bridge", "source")
+    return surface(airport(t).layer("serviceroad"), "name", "surftype", "width", "bridge", "source")
 
 
 @query("L33_standguidanceline")
 def l33(t):
-    return curve(Airport(t).layer("standguidanceline"), "lid", "part", "idstd", "source")
+    return curve(airport(t).layer("standguidanceline"), "lid", "part", "idstd", "source")
 
 
 @query("L34_stopway", f"""WITH {RW} SELECT icao, idrwy, ident AS idthr, stopway AS length, 'faa_nasr' AS source, {rect('stopway', '-')} FROM en WHERE stopway > 0.5""")
 def l34(t):
-    return surface(runway.build_stopway(Airport(t).ends), "idrwy", "idthr", "length", "source")
+    return surface(runway.build_stopway(airport(t).ends), "idrwy", "idthr", "length", "source")
 
 
 @query("L34_stopway_mapped")
 def l34b(t):
-    return surface(Airport(t).layer("stopway"), "idrwy", "idthr", "length", "source")
+    return surface(airport(t).layer("stopway"), "idrwy", "idthr", "length", "source")
 
 
 for _n, _i in (("atcblindspot", "L01"), ("positionmarking", "L23"), ("surveycontrolpoint", "L35")):
     query(f"{_i}_{_n}", f"SELECT icao, eid AS fid, icao || ':{_n}:ov:' || eid AS id, 'override' AS source FROM b_element WHERE m = {3 if _n == 'atcblindspot' else 15}")(
-        lambda t, n=_n: Airport(t).layer(n).select("icao", "fid", "id", "source"))
+        lambda t, n=_n: airport(t).layer(n).select("icao", "fid", "id", "source"))
 
 
 @query("L36_taxiwayelement")
 def l36(t):
-    return surface(Airport(t).layer("taxiwayelement"), "fid", "idlin", "surftype", "feattype", "bridge", "source")
+    return surface(airport(t).layer("taxiwayelement"), "fid", "idlin", "surftype", "feattype", "bridge", "source")
 
 
 @query("L37_taxiwayguidanceline")
 def l37(t):
-    return curve(Airport(t).layer("taxiwayguidanceline"), "lid", "part", "idlin", "style", "lighting", "ilscrit", "wingspan", "length", "source")
+    return curve(airport(t).layer("taxiwayguidanceline"), "lid", "part", "idlin", "style", "lighting", "ilscrit", "wingspan", "length", "source")
 
 
 @query("L38_taxiwayholdingposition")
 def l38(t):
-    return curve(Airport(t).layer("taxiwayholdingposition"), "idlin", "idrwy", "catstop", "lighting", "source")
+    return curve(airport(t).layer("taxiwayholdingposition"), "idlin", "idrwy", "catstop", "lighting", "source")
 
 
 @query("L39_taxiwayintersectionmarking")
 def l39(t):
-    return curve(Airport(t).layer("taxiwayintersectionmarking"), "idlin", "source")
+    return curve(airport(t).layer("taxiwayintersectionmarking"), "idlin", "source")
 
 
 @query("L40_taxiwayshoulder")
 def l40(t):
-    s = Airport(t).layer("taxiwayshoulder")
+    s = airport(t).layer("taxiwayshoulder")
     return s.groupBy("icao", "fid").agg(F.first("idlin").alias("idlin"), F.first("area").alias("area"), F.count(F.lit(1)).alias("strips"))
 
 
 @query("L41_touchdownliftoffarea", f"""WITH {HELI} SELECT icao, ident, {r('len*0.6', 2)} AS length, {r('len*0.6*wid*0.6', 2)} AS area, {r('x')} AS cx, {r('y')} AS cy FROM h""")
 def l41(t):
-    return surface(Airport(t).layer("touchdownliftoffarea").withColumn("length", rnd("length", 2)), "ident", "length")
+    return surface(airport(t).layer("touchdownliftoffarea").withColumn("length", rnd("length", 2)), "ident", "length")
 
 
 @query("L42_verticallinestructure")
 def l42(t):
-    return curve(Airport(t).layer("verticallinestructure"), "fid", "linsttyp")
+    return curve(airport(t).layer("verticallinestructure"), "fid", "linsttyp")
 
 
 @query("L43_verticalpointstructure")
 def l43(t):
-    return place(Airport(t).layer("verticalpointstructure"), "fid", "pntsttyp", "height")
+    return place(airport(t).layer("verticalpointstructure"), "fid", "pntsttyp", "height")
 
 
 @query("L44_verticalpolygonalstructure")
 def l44(t):
-    return surface(Airport(t).layer("verticalpolygonalstructure"), "fid", "plysttyp", "name", "height", "levels")
+    return surface(airport(t).layer("verticalpolygonalstructure"), "fid", "plysttyp", "name", "height", "levels")
 
 
 @query("L45_water")
 def l45(t):
-    return surface(Airport(t).layer("water"), "feattype", "idrwy", "name", "source")
+    return surface(airport(t).layer("water"), "feattype", "idrwy", "name", "source")
 
 
 @query("M04_airport_extent")
 def m04(t):
-    return surface(Airport(t).extent, "margin")
+    return surface(airport(t).extent, "margin")
 
 
 # Layers behind the whole pavement phase build through ``Airport.layer``; they join the query
