@@ -615,8 +615,8 @@ def m04(t):
 
 # Layers behind the whole pavement phase build through ``Airport.layer``; they join the query
 # registry once their multi-phase plans are cut small enough to plan quickly.
-PENDING = ["L05_apronelement", "L08_asrnedge", "L09_asrnnode", "L10_blastpad_mapped", "L12_constructionarea", "L13_deicingarea", "L14_deicinggroup", "L15_pavement_helipads", "L16_frequencyarea_extent", "L18_hotspot",
-           "L21_parkingstandarea", "L22_parkingstandlocation", "L27_runwayexitline", "L32_serviceroad", "L33_standguidanceline", "L34_stopway_mapped", "L36_taxiwayelement", "L37_taxiwayguidanceline", "L38_taxiwayholdingposition",
-           "L39_taxiwayintersectionmarking", "L40_taxiwayshoulder", "L42_verticallinestructure", "L43_verticalpointstructure", "L44_verticalpolygonalstructure", "L45_water", "M04_airport_extent"]
+PENDING = ["L08_asrnedge", "L09_asrnnode", "L10_blastpad_mapped", "L12_constructionarea", "L13_deicingarea", "L14_deicinggroup", "L15_pavement_helipads", "L16_frequencyarea_extent", "L18_hotspot",
+           "L27_runwayexitline", "L32_serviceroad", "L33_standguidanceline", "L34_stopway_mapped", "L37_taxiwayguidanceline", "L38_taxiwayholdingposition",
+           "L39_taxiwayintersectionmarking", "L40_taxiwayshoulder", "L44_verticalpolygonalstructure", "L45_water"]
 for _n in PENDING:
     QUERIES.pop(_n)
