@@ -1,7 +1,7 @@
 """Operators on training-data corpora, and their queries."""
 
-from . import quality
+from . import decontaminate, jaccard, quality, search
 
-MODULES = [quality]
+MODULES = [quality, decontaminate, search, jaccard]
 QUERIES = {name: plan for m in MODULES for name, plan in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
