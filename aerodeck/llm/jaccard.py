@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, gather_sketch, in_bitmap, members, mixed, sketch_rows, stored, table, windows
+from .common import WordHashes, components, gather_sketch, in_bitmap, members, sketch_rows, stored, table, windows
 
 SKETCH = 1 << 17
 PAIR = ["a", "a_sig", "b", "b_sig"]
@@ -156,19 +156,16 @@ def with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(components(links).withColumnsRenamed({"id": "doc", "root": "_root"}), "doc", "left").withColumn("comp", F.coalesce("_root", "doc")).drop("_root")
 
 
-def jaccard_join(docs: DataFrame, rule: Rule = Rule(), star_rounds: int = 2) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
-    profile, counts = profiled(docs, rule)
-    with_id = profile.where("doc_id IS NOT NULL AND sig IS NOT NULL")
-    equal = with_id.groupBy("sig").agg(F.min("doc_id").alias("doc"))
-    links = with_id.join(equal, "sig").where("doc <> doc_id").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
+def length_band(n: str, rule: Rule):
+    """Sets in the same band can pass the length filter; pairs of neighbouring bands are left to the last round."""
+    return F.floor(F.log(n) / F.lit(math.log(rule.den / rule.num))).cast("int")
 
-    grams = prefixes(docs, counts, rule)
-    shared = grams.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    band = F.floor(F.log("n") / F.lit(math.log(rule.den / rule.num))).cast("int")
-    left = stored(grams.join(shared, "key").join(equal, "sig").select("key", "doc", "sig", "n", "pos", band.alias("band"), F.col("doc").alias("comp")))
-    sets = stored(sets_of(docs, left.select("doc").distinct(), rule))
 
+def link_rows(left: DataFrame, sets: DataFrame, links: DataFrame, rule: Rule, star_rounds: int = 2) -> DataFrame:
+    """Links (a, b) that give the components of all sets that share a key and reach the rule.
+
+    ``left`` has key, doc, sig, n, pos, band and comp (its component by ``links``); ``sets`` has doc, sig, grams.
+    """
     tested = None
     for turn in range(star_rounds + 1):
         if turn:
@@ -186,9 +183,24 @@ def jaccard_join(docs: DataFrame, rule: Rule = Rule(), star_rounds: int = 2) ->
         one, two = (F.struct(F.col(f"{side}.doc").alias("doc"), F.col(f"{side}.sig").alias("sig")) for side in ("x", "y"))
         pairs = met.select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).select(F.col("one.doc").alias("a"), F.col("one.sig").alias("a_sig"), F.col("two.doc").alias("b"), F.col("two.sig").alias("b_sig")).distinct()
         pairs = pairs if tested is None else pairs.join(tested, PAIR, "left_anti")
-        done = stored(verified(stored(pairs), sets, rule))
+        done = stored(verified(pairs, sets, rule))
         tested = done.select(*PAIR) if tested is None else tested.union(done.select(*PAIR))
         links = links.union(done.where("linked").select("a", "b"))
+    return links
+
+
+def jaccard_join(docs: DataFrame, rule: Rule = Rule(), star_rounds: int = 2) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+    profile, counts = profiled(docs, rule)
+    with_id = profile.where("doc_id IS NOT NULL AND sig IS NOT NULL")
+    equal = with_id.groupBy("sig").agg(F.min("doc_id").alias("doc"))
+    links = with_id.join(equal, "sig").where("doc <> doc_id").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
+
+    grams = prefixes(docs, counts, rule)
+    shared = grams.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    left = stored(grams.join(shared, "key").join(equal, "sig").select("key", "doc", "sig", "n", "pos", length_band("n", rule).alias("band"), F.col("doc").alias("comp")))
+    sets = stored(sets_of(docs, left.select("doc").distinct(), rule))
+    links = link_rows(left, sets, links, rule, star_rounds)
     return with_components(profile.select(F.col("doc_id").alias("doc"), "n"), links).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
 
 

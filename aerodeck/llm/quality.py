@@ -28,7 +28,7 @@ TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: labelled documents used for training at most; ``shards`` train side by side and are
+    """``sample``: labelled documents used for training, about; ``shards`` train side by side and are
     averaged after each of ``rounds`` passes; the rest are the usual FTRL constants."""
 
     bits: int = 18
@@ -134,13 +134,22 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))
 
 
+def sampled(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """About ``most`` of the rows, those with the smallest hashes of a column; all, if there are fewer.
+
+    The cut of the hash is set from a count, so nothing is sorted or gathered.
+    """
+    n = rows.count()
+    share = F.pmod(F.xxhash64(by, F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows if n <= most else rows.where(share < F.lit(most / n))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``most`` labelled documents, taken in the order of a hash of the id.
+    """(doc_id, text, y) of about ``most`` labelled documents.
 
     The ids are bounded by ``most``, so they are broadcast; a document labelled twice has the mean label.
     """
-    picked = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("y"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    picked = sampled(labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()), "doc_id", most).groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("y"))
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
 
 
