@@ -44,7 +44,7 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved. No license is granted without prior written permission."),
 ]
-NOTICE = r"(?i)[^\n]*(?:licen[sc]e|all rights reserved|permission is hereby)[^\n]*"
+NOTICE = "(?i)licen[sc]e|all rights reserved|permission is hereby"
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,7 @@ def template_vectors(spark: SparkSession, templates: list[tuple[str, str]]) -> t
 
 def notices(docs: DataFrame) -> DataFrame:
     """(path, key, line, total, n): the notices of whole texts, and the words of the text and of its notices."""
-    lines = F.when(F.coalesce(F.col("text").rlike("(?i)licen[sc]e|all rights reserved|permission is hereby"), F.lit(False)), F.regexp_extract_all("text", F.lit(NOTICE), F.lit(0)))
+    lines = F.when(F.coalesce(F.col("text").rlike(NOTICE), F.lit(False)), F.filter(F.split("text", "\n"), lambda line: line.rlike(NOTICE)))
     rows = docs.select("path", F.xxhash64("text").alias("key"), lines.alias("lines"), F.regexp_count("text", F.lit(r"\S+")).alias("total")).where("lines IS NOT NULL")
     return rows.select("path", "key", "total", F.explode("lines").alias("line")).withColumn("n", F.regexp_count("line", F.lit(r"\S+")))
 

@@ -7,7 +7,8 @@ in clean ones, weighted by their log-odds. Exception phrases are words and word
 lexicon hit but belong to clean documents; they take the hit away.
 
 A score is the sigmoid of bias + gain * log(1 + mass) where mass is the sum of weights of the hits
-(each entry counted with diminishing return) divided by the length of the text beyond a usual one.
+(each entry counted with diminishing return) divided by the root of the length of the text beyond a
+usual one; bias and gain are fitted to the labelled sample.
 
 Defined cases: a null text is empty; an empty text and a text without hits get the sigmoid of the bias;
 repeated rows are scored alike; without labels of both kinds the lexicon is empty; other columns of
@@ -40,17 +41,17 @@ DIGITS = str.maketrans(SUBSTITUTES)
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: labelled documents the lexicon is learnt from at most; ``support``: occurrences in toxic
-    documents an entry needs; ``odds``: smallest log-odds; ``entries``: size of the lexicon."""
+    """``sample``: labelled documents the lexicon is learnt from, about; ``support`` and ``share``: number and
+    share of toxic documents an entry needs, so that words of a few copies are none; ``odds``: smallest
+    log-odds; ``entries``: size of the lexicon."""
 
     sample: int = 20_000
-    support: int = 8
+    support: int = 5
+    share: float = 0.02
     odds: float = 2.5
     entries: int = 5_000
     stems: tuple[int, ...] = (4, 5, 6, 7)
     usual_words: int = 300
-    bias: float = -4.0
-    gain: float = 4.0
 
 
 def folded(text: str | None) -> str:
@@ -94,6 +95,8 @@ class Lexicon:
 
     weights: dict[str, float]
     exceptions: tuple[str, ...]
+    bias: float = -4.0
+    gain: float = 1.0
 
 
 def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str = "toxic") -> Lexicon:
@@ -107,7 +110,7 @@ def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: s
     forms = F.array(F.concat(F.lit(" "), "term", F.lit(" ")), *[F.when(F.length("term") >= n, F.concat(F.lit(" "), F.substring("term", 1, n))) for n in s.stems])
     entries = words.select(F.explode(F.array_compact(forms)).alias("entry"), "toxic", "clean").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n_clean + 1.0))
-    top = entries.where(F.col("toxic") >= s.support).withColumn("odds", odds).where(F.col("odds") >= s.odds).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "entry").limit(s.entries).collect()
+    top = entries.where(F.col("toxic") >= max(s.support, s.share * n_toxic)).withColumn("odds", odds).where(F.col("odds") >= s.odds).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "entry").limit(s.entries).collect()
     weights = {r["entry"]: float(r["odds"]) for r in top}
     # A longer entry that a shorter one of the same strength covers adds nothing.
     weights = {e: w for e, w in weights.items() if not any(weights.get(e[:n], -1.0) >= 0.8 * w for n in range(4, len(e)))}
@@ -115,7 +118,21 @@ def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: s
     clean = F.array(*[F.lit(e.strip()) for e in stems]) if stems else F.array().cast("array<string>")
     spared = words.where((F.col("clean") > 0) & (F.col("clean") * n_toxic >= F.col("toxic") * n_clean)).where(F.exists(clean, lambda e: F.startswith("term", e)))
     exceptions = spared.orderBy(F.desc("clean"), "term").limit(s.entries).select("term").collect()
-    return Lexicon(weights, tuple(f" {r[0]} " for r in exceptions))
+    lexicon = Lexicon(weights, tuple(f" {r[0]} " for r in exceptions))
+    bins = masses(sample, lexicon, s).groupBy(F.round(F.log1p("mass"), 1).alias("x"), (F.col("y") >= 0.5).cast("double").alias("y")).count().collect()
+    x, y, n = (np.array([float(r[c]) for r in bins]) for c in ("x", "y", "count"))
+    return Lexicon(lexicon.weights, lexicon.exceptions, *fitted(x, y, n))
+
+
+def fitted(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
+    """Bias and gain of a logistic curve through weighted points, by Newton steps."""
+    a, w = np.stack([np.ones_like(x), x], 1), np.array([-1.0, 1.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        hessian = (a * (n * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
+        step = np.linalg.solve(hessian, a.T @ (n * (y - p)) - ridge * w)
+        w = w + np.clip(step, -1, 1)
+    return float(w[0]), float(w[1])
 
 
 class Matcher:
@@ -153,20 +170,26 @@ class Matcher:
         return total / max(1.0, len(words) / usual_words) ** 0.5, sum(times.values())
 
 
-def score(docs: DataFrame, lexicon: Lexicon, s: Settings = Settings(), column: str = "score") -> DataFrame:
-    """``docs`` with the toxicity of each whole text, between 0 and 1."""
+def masses(docs: DataFrame, lexicon: Lexicon, s: Settings = Settings(), column: str = "mass") -> DataFrame:
+    """``docs`` with the mass of each whole text."""
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
     names = docs.columns
 
     def run(batches):
         matcher = Matcher(held.value)
         for b in batches:
-            mass = np.array([matcher.mass(t, s.usual_words)[0] for t in b.column(names.index("text")).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-(s.bias + s.gain * np.log1p(mass)))), pa.float64())], [*names, column])
+            mass = [matcher.mass(t, s.usual_words)[0] for t in b.column(names.index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mass, pa.float64())], [*names, column])
 
     return docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{column}` double")
 
 
+def score(docs: DataFrame, lexicon: Lexicon, s: Settings = Settings(), column: str = "score") -> DataFrame:
+    """``docs`` with the toxicity of each whole text, between 0 and 1."""
+    curve = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(lexicon.bias) + F.lit(lexicon.gain) * F.log1p("_mass"))))
+    return masses(docs, lexicon, s, "_mass").select(*docs.columns, curve.alias(column))
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     lexicon = learn(docs, labels.where(~held_out("doc_id", 4, 2)))
