@@ -19,6 +19,7 @@ links and has no component; other columns are ignored; an empty table gives an e
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,18 +114,23 @@ def possible(rule: Rule, a: str, b: str):
     return (rule.den * F.least(nx, ny) >= rule.num * F.greatest(nx, ny)) & (rest * (rule.num + rule.den) >= rule.num * (nx + ny))
 
 
+def packed(text: str | None) -> bytes:
+    return zlib.compress((text or "").encode(), 1)
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """(doc, sig, grams): the sets of the documents in ``ids``, recomputed from their texts."""
+    """(doc, sig, text): the packed texts of the documents in ``ids``; they are smaller than their sets."""
     seen = docs.sparkSession.sparkContext.broadcast(members(ids, "doc"))
 
     def run(batches):
         words, bitmap = WordHashes(), seen.value
         for b in batches:
             b = b.filter(pa.array(in_bitmap(np.asarray(b.column(0), np.int64).view(np.uint64), bitmap)))
-            grams = [gram_set(t, words, rule.k) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], ["doc", "sig", "grams"])
+            texts = b.column(1).to_pylist()
+            sigs = [signature(gram_set(t, words, rule.k)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.int64()), pa.array([packed(t) for t in texts], pa.binary())], ["doc", "sig", "text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc IS NOT NULL").mapInArrow(run, "doc long, sig long, grams binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc IS NOT NULL").mapInArrow(run, "doc long, sig long, text binary")
 
 
 def suffix_allows(x: np.ndarray, y: np.ndarray, need: int) -> bool:
@@ -135,21 +141,36 @@ def suffix_allows(x: np.ndarray, y: np.ndarray, need: int) -> bool:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """``pairs`` with ``linked``, by the exact intersection of the whole sets."""
+    """``pairs`` with ``linked``, by the exact intersection of the sets of the whole texts.
+
+    A bitmap of fixed size keeps texts of other documents out of the joins.
+    """
+    held = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+    seen = pairs.sparkSession.sparkContext.broadcast(members(held, "doc"))
+
+    def wanted(batches):
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(np.asarray(b.column(0), np.int64).view(np.uint64), seen.value)))
+
+    some = sets.select("doc", "sig", "text").mapInArrow(wanted, "doc long, sig long, text binary")
     for side in ("b", "a"):
-        pairs = pairs.join(sets.select(F.col("doc").alias(side), F.col("sig").alias(f"{side}_sig"), F.col("grams").alias(f"g{side}")), [side, f"{side}_sig"])
+        pairs = pairs.join(some.select(F.col("doc").alias(side), F.col("sig").alias(f"{side}_sig"), F.col("text").alias(f"t{side}")), [side, f"{side}_sig"])
 
     def run(batches):
+        words, last, of = WordHashes(), None, None
         for b in batches:
             linked = []
             for x, y in zip(b.column(4), b.column(5), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                need = rule.overlap(len(x), len(y))
-                ok = min(len(x), len(y)) >= need and suffix_allows(x, y, need)
-                linked.append(bool(ok and len(np.intersect1d(x, y, assume_unique=True)) >= need))
+                x, y = x.as_py(), y.as_py()
+                if x != last:  # pairs with the same first document follow one another
+                    last, of = x, gram_set(zlib.decompress(x).decode(), words, rule.k)
+                other = gram_set(zlib.decompress(y).decode(), words, rule.k)
+                need = rule.overlap(len(of), len(other))
+                ok = min(len(of), len(other)) >= need and suffix_allows(of, other, need)
+                linked.append(bool(ok and len(np.intersect1d(of, other, assume_unique=True)) >= need))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(linked, pa.bool_())], [*PAIR, "linked"])
 
-    return pairs.select(*PAIR, "ga", "gb").mapInArrow(run, "a long, a_sig long, b long, b_sig long, linked boolean")
+    return pairs.select(*PAIR, "ta", "tb").mapInArrow(run, "a long, a_sig long, b long, b_sig long, linked boolean")
 
 
 def with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -164,7 +185,7 @@ def length_band(n: str, rule: Rule):
 def link_rows(left: DataFrame, sets: DataFrame, links: DataFrame, rule: Rule, star_rounds: int = 2) -> DataFrame:
     """Links (a, b) that give the components of all sets that share a key and reach the rule.
 
-    ``left`` has key, doc, sig, n, pos, band and comp (its component by ``links``); ``sets`` has doc, sig, grams.
+    ``left`` has key, doc, sig, n, pos, band and comp (its component by ``links``); ``sets`` has doc, sig, text.
     """
     tested = None
     for turn in range(star_rounds + 1):
@@ -183,7 +204,7 @@ def link_rows(left: DataFrame, sets: DataFrame, links: DataFrame, rule: Rule, st
         one, two = (F.struct(F.col(f"{side}.doc").alias("doc"), F.col(f"{side}.sig").alias("sig")) for side in ("x", "y"))
         pairs = met.select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).select(F.col("one.doc").alias("a"), F.col("one.sig").alias("a_sig"), F.col("two.doc").alias("b"), F.col("two.sig").alias("b_sig")).distinct()
         pairs = pairs if tested is None else pairs.join(tested, PAIR, "left_anti")
-        done = stored(verified(pairs, sets, rule))
+        done = stored(verified(stored(pairs), sets, rule))
         tested = done.select(*PAIR) if tested is None else tested.union(done.select(*PAIR))
         links = links.union(done.where("linked").select("a", "b"))
     return links

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import P1, WordHashes, components, in_bitmap, members, mixed, stored, table, windows
-from .jaccard import Rule, length_band, link_rows
+from .jaccard import Rule, length_band, link_rows, packed
 
 UNITS = "doc_id long, start int, end int, unit long, n int, bands array<long>"
 WORD = re.compile(r"\S+")
@@ -78,9 +78,6 @@ class Cutter:
         keep = size >= self.s.least
         return line[:-1][keep], line[1:][keep]
 
-    def grams(self, h: np.ndarray, start: int, end: int) -> np.ndarray:
-        return np.unique(windows(h[start:end], self.s.rule.k))
-
     def unit(self, h: np.ndarray, start: int, end: int) -> int:
         return xxhash.xxh3_64_intdigest(h[start:end].tobytes()) - (1 << 63)
 
@@ -129,25 +126,26 @@ def picked(docs: DataFrame) -> DataFrame:
 
 
 def paragraph_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """(doc, sig, grams) of the paragraphs whose unit is in ``wanted``; doc is the unit here."""
+    """(doc, sig, text) of the paragraphs whose unit is in ``wanted``; doc is the unit here."""
     seen = docs.sparkSession.sparkContext.broadcast(members(wanted, "doc"))
 
     def run(batches):
         cutter, done = Cutter(s), set()
         for b in batches:
-            names, grams = [], []
+            names, texts = [], []
             for text in b.column(1).to_pylist():
                 h, line = cutter.hashes(text)
                 p0, p1 = cutter.paragraphs(h, line)
+                lines = [x for x in (text or "").lower().split("\n") if len(x.split()) >= s.least]
                 name = np.array([cutter.unit(h, x, y) for x, y in zip(p0, p1, strict=True)], np.int64)
                 for i in np.flatnonzero(in_bitmap(name.view(np.uint64), seen.value)):
                     if int(name[i]) not in done:
                         done.add(int(name[i]))
                         names.append(int(name[i]))
-                        grams.append(cutter.grams(h, p0[i], p1[i]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([0] * len(names), pa.int64()), pa.array(grams, pa.binary())], ["doc", "sig", "grams"])
+                        texts.append(packed(lines[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([0] * len(names), pa.int64()), pa.array(texts, pa.binary())], ["doc", "sig", "text"])
 
-    made = picked(docs).mapInArrow(run, "doc long, sig long, grams binary")
+    made = picked(docs).mapInArrow(run, "doc long, sig long, text binary")
     return made.join(wanted.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
 
 
