@@ -127,10 +127,17 @@ def assign_ids(features: DataFrame) -> DataFrame:
 
 def drop_repeated_runways(runways: DataFrame, order: list[str], d: float = 50.0) -> DataFrame:
     """Of adjacent runways with one pair id, drop those starting within ``d`` of a kept one."""
-    from ..functions.geo import dist
-    from .ordered import lag
-    df = scan(runways, ["icao"], ["idrwy", *order], _pid=lag("idrwy"), _px=lag("ax"), _py=lag("ay"))
-    same = (F.col("_pid") == F.col("idrwy")) & (dist("_px", "_py", "ax", "ay") < d)
-    return df.filter(~F.coalesce(same, F.lit(False))).drop("_pid", "_px", "_py")
+    rest = [n for n in runways.columns if n not in ("icao", "idrwy", *order)]
+    kind = ", ".join(f"`{n}`:{runways.schema[n].dataType.simpleString()}" for n in [*order, *rest])
+    # The runways of one airport with one pair id: a handful.
+    lists = runways.groupBy("icao", "idrwy").agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("_l"))
+
+    def step(kept, s):
+        last = F.try_element_at(kept, F.lit(-1))
+        far = F.sqrt(F.pow(s["ax"] - last["ax"], F.lit(2)) + F.pow(s["ay"] - last["ay"], F.lit(2))) >= d
+        return F.when(F.coalesce(far, F.lit(True)), F.concat(kept, F.array(s))).otherwise(kept)
+
+    kept = F.aggregate("_l", F.array().cast(f"array<struct<{kind}>>"), step)
+    return lists.select("icao", "idrwy", F.explode(kept).alias("_s")).select("icao", "idrwy", "_s.*").select(*runways.columns)
 
 

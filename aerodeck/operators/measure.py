@@ -123,8 +123,11 @@ def cut_pieces(vertex: DataFrame, keys: list[str], size: float = 150.0, tol: flo
     in where the cuts fall.
     """
     v = ordered.scan(vertex, keys, ["seq"], _px=ordered.lag("x"), _py=ordered.lag("y"))
-    step = F.coalesce(dist("_px", "_py", "x", "y"), F.lit(0.0))
-    v = v.filter(F.col("_px").isNull() | (step >= tol)).drop("_px", "_py")
+    # Vertices closer than ``tol`` are thinned on running distance, so a densely sampled curve keeps its shape.
+    v = v.withColumn("_d", F.coalesce(dist("_px", "_py", "x", "y"), F.lit(0.0)))
+    v = ordered.scan(v, keys, ["seq"], _run=ordered.running("_d")).withColumn("_step", F.floor(F.col("_run") / tol))
+    v = ordered.scan(v, keys, ["seq"], _ps=ordered.lag("_step"))
+    v = v.filter(F.col("_ps").isNull() | (F.col("_ps") != F.col("_step"))).drop("_px", "_py", "_d", "_run", "_step", "_ps")
     v = ordered.scan(v, keys, ["seq"], _px=ordered.lag("x"), _py=ordered.lag("y"))
     v = v.withColumn("_d", F.coalesce(dist("_px", "_py", "x", "y"), F.lit(0.0)))
     v = ordered.scan(v, keys, ["seq"], cum=ordered.running("_d")).withColumn("piece", F.floor(F.col("cum") / size))

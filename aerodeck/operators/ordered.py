@@ -9,6 +9,7 @@ at most two rows per chunk. Both ways give the same result.
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -110,6 +111,11 @@ def scan(df: DataFrame, keys: list[str], order: list, *, hot_rows: int = HOT_ROW
     parts = durable(named.repartitionByRange(n, *keys, *ordcols).withColumn("_chunk", F.spark_partition_id()))
 
     inner = ["_chunk", *keys]
+
+    def same(prefix: str) -> Column:
+        """Equality of chunk and keys; a null key is a key like any other."""
+        return reduce(lambda p, q: p & q, [F.col(n).eqNullSafe(F.col(f"{prefix}{n}")) for n in inner])
+
     src = {k: (s[0], F.col(f"_v_{k}") if s[1] is not None else None) for k, s in specs.items()}
     local = parts.select("*", *[_plain(s, inner, ordcols).alias(f"_l_{k}") for k, s in src.items()],
                          _plain(rank(), inner, ordcols).alias("_rn"))
@@ -129,7 +135,7 @@ def scan(df: DataFrame, keys: list[str], order: list, *, hot_rows: int = HOT_ROW
             aggs.append(F.min_by(F.struct(v.alias("v")), pos).alias(f"_s_{k}"))
         elif kind == "fill":
             aggs.append(F.max_by(v, F.when(v.isNotNull(), pos)).alias(f"_s_{k}"))
-    summary = parts.join(F.broadcast(edges), inner, "left_semi").groupBy(*inner).agg(*aggs)
+    summary = parts.join(F.broadcast(edges.withColumnsRenamed({n: f"_e_{n}" for n in inner})), same("_e_"), "left_semi").groupBy(*inner).agg(*aggs)
     w = W.partitionBy(*keys).orderBy("_chunk")
     before = w.rowsBetween(W.unboundedPreceding, -1)
     carry = []
@@ -138,8 +144,8 @@ def scan(df: DataFrame, keys: list[str], order: list, *, hot_rows: int = HOT_ROW
         carry.append({"rank": lambda s=s: F.sum(s).over(before), "sum": lambda s=s: F.sum(s).over(before),
                       "lag": lambda s=s: F.lag(s).over(w)["v"], "lead": lambda s=s: F.lead(s).over(w)["v"],
                       "fill": lambda s=s: F.last(s, ignorenulls=True).over(before)}[kind]().alias(f"_c_{k}"))
-    carries = summary.select(*inner, "_n", *carry)
-    joined = local.join(F.broadcast(carries), inner, "left")
+    carries = summary.select(*[F.col(n).alias(f"_k_{n}") for n in inner], "_n", *carry)
+    joined = local.join(F.broadcast(carries), same("_k_"), "left")
     out = []
     for k, (kind, _) in src.items():
         loc, car = F.col(f"_l_{k}"), F.col(f"_c_{k}")

@@ -166,7 +166,7 @@ def split_lines(segs: DataFrame, keys: list[str], rects: DataFrame, cell: float
     from .spatial import SEG, segment_cells
     half = F.col("width_m") / 2
     r = rects.select("icao", "ax", "ay", "bx", "by", half.alias("_h"))
-    rc = segment_cells(r.withColumn("_pad", F.col("_h")), cell, 60.0).select(
+    rc = segment_cells(r, cell, F.col("_h")).select(
         "icao", "cx", "cy", F.col("ax").alias("rx0"), F.col("ay").alias("ry0"), F.col("bx").alias("rx1"), F.col("by").alias("ry1"), "_h")
     base = segs.select("icao", *keys, "seq", *SEG)
     j = segment_cells(base, cell).join(rc, ["icao", "cx", "cy"])

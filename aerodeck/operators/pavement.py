@@ -67,8 +67,8 @@ def classify(pavement: DataFrame, stands: DataFrame, mids: DataFrame, aprons: Da
 def without_runways(pieces: DataFrame, rw: DataFrame, key: str = "pid", cell: float = 500.0) -> DataFrame:
     """Pieces of each polygon outside every runway rectangle of its airport."""
     left = _box(pieces, "l", [key])
-    right = _box(rw, "r", ["geom"])
-    hits = box_pairs(left, right, cell).groupBy("icao", F.col(f"l_{key}").alias(key)).agg(F.collect_list(F.col("r_geom")[0]).alias("_cuts"))
+    right = _box(rw, "r", ["geom", "idrwy", "rid"])
+    hits = box_pairs(left, right, cell).groupBy("icao", F.col(f"l_{key}").alias(key)).agg(F.array_sort(F.collect_list(F.struct("r_idrwy", "r_rid", F.col("r_geom")[0].alias("cut")))).alias("_c")).withColumn("_cuts", F.transform("_c", lambda s: s["cut"])).drop("_c")
     j = pieces.join(hits, ["icao", key], "left")
     whole = j.filter("_cuts IS NULL").drop("_cuts").withColumn("piece", F.lit(0))
     cut = j.filter("_cuts IS NOT NULL").select(*pieces.columns, F.posexplode(shapes.subtract_all(overlay.keyhole("geom"), "_cuts")).alias("piece", "_p"))

@@ -83,9 +83,9 @@ def runway_overlaps(rw: DataFrame, cell: float = 500.0) -> DataFrame:
 
 def build_runwayelement(rw: DataFrame, overlaps: DataFrame) -> DataFrame:
     """Runway rectangles minus the overlaps; split pieces keep the runway's attributes."""
-    cuts = (overlaps.select("icao", F.col("l_rid").alias("rid"), F.col("geom")[0].alias("cut"))
-            .unionByName(overlaps.select("icao", F.col("r_rid").alias("rid"), F.col("geom")[0].alias("cut"))))
-    per = cuts.groupBy("icao", "rid").agg(F.collect_list("cut").alias("cuts"))
+    cuts = (overlaps.select("icao", F.col("l_rid").alias("rid"), F.col("r_rid").alias("other"), F.col("geom")[0].alias("cut"))
+            .unionByName(overlaps.select("icao", F.col("r_rid").alias("rid"), F.col("l_rid").alias("other"), F.col("geom")[0].alias("cut"))))
+    per = cuts.groupBy("icao", "rid").agg(F.array_sort(F.collect_list(F.struct("other", "cut"))).alias("_c")).select("icao", "rid", F.transform("_c", lambda s: s["cut"]).alias("cuts"))
     j = rw.join(per, ["icao", "rid"], "left")
     pieces = F.when(F.col("cuts").isNull(), F.array(F.col("geom")[0])).otherwise(shapes.subtract_all(F.col("geom")[0], "cuts"))
     return j.withColumn("_p", F.explode(pieces)).select(

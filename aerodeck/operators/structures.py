@@ -148,8 +148,12 @@ def deicing_clusters(polys: DataFrame, d: float = DEICE_M) -> DataFrame:
     b = segment_cells(e.select("icao", F.col("aid").alias("b"), *SEG), max(d, 100.0)).select("icao", "cx", "cy", "b", *[F.col(n).alias(f"o{n}") for n in SEG])
     from ..functions.geo import seg_seg_dist
     near = a.join(b, ["icao", "cx", "cy"]).filter((F.col("a") < F.col("b")) & (seg_seg_dist(*SEG, *[f"o{n}" for n in SEG]) <= d)).select("icao", "a", "b").distinct()
-    lab = components(near.select("a", "b")).withColumnRenamed("node", "aid").withColumnRenamed("label", "cluster")
-    return polys.select("icao", "aid").join(lab, "aid", "left").select("icao", "aid", F.coalesce("cluster", "aid").alias("cluster"))
+    # One may also lie wholly inside the other.
+    corner = polys.select("icao", F.col("aid").alias("a"), F.col("geom")[0][0].x.alias("x"), F.col("geom")[0][0].y.alias("y"))
+    inside = points_in_polygons(corner, polys.select("icao", F.col("aid").alias("b"), "geom"), ["a"], ["b"]).filter("a <> b").select("icao", "a", "b")
+    node = lambda n: F.struct("icao", F.col(n).alias("aid")).alias(n)  # noqa: E731  ids are unique within an airport only
+    lab = components(near.unionByName(inside).select(node("a"), node("b"))).select("node.icao", "node.aid", F.col("label.aid").alias("cluster"))
+    return polys.select("icao", "aid").join(lab, ["icao", "aid"], "left").select("icao", "aid", F.coalesce("cluster", "aid").alias("cluster"))
 
 
 def deicing_layers(areas: DataFrame, captured: DataFrame) -> dict[str, DataFrame]:

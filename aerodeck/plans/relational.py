@@ -559,7 +559,8 @@ def w09(t):
     return latest(t.b_runlog.filter("status <> 'error'"), ["ts", "event_id"], 12).select("event_id", "vehicle", "status")
 
 
-@query("W10_line_pieces", """WITH a AS (SELECT icao, fid, seq, x*3 AS x, y*3 AS y, lag(x*3) OVER w AS px, lag(y*3) OVER w AS py FROM b_vertex WINDOW w AS (PARTITION BY icao, fid ORDER BY seq)), b AS (SELECT icao, fid, seq, x, y FROM a WHERE px IS NULL OR sqrt((x-px)*(x-px)+(y-py)*(y-py)) >= 1),
+@query("W10_line_pieces", """WITH a AS (SELECT icao, fid, seq, x*3 AS x, y*3 AS y, lag(x*3) OVER w AS px, lag(y*3) OVER w AS py FROM b_vertex WINDOW w AS (PARTITION BY icao, fid ORDER BY seq)),
+a1 AS (SELECT *, floor(sum(coalesce(sqrt((x-px)*(x-px)+(y-py)*(y-py)), 0)) OVER (PARTITION BY icao, fid ORDER BY seq)) AS step FROM a), a2 AS (SELECT *, lag(step) OVER (PARTITION BY icao, fid ORDER BY seq) AS ps FROM a1), b AS (SELECT icao, fid, seq, x, y FROM a2 WHERE ps IS NULL OR ps <> step),
 d AS (SELECT *, sqrt(power(x-lag(x) OVER w, 2)+power(y-lag(y) OVER w, 2)) AS d FROM b WINDOW w AS (PARTITION BY icao, fid ORDER BY seq)), c AS (SELECT *, cast(floor(sum(coalesce(d, 0)) OVER (PARTITION BY icao, fid ORDER BY seq) / 150) AS bigint) AS piece FROM d),
 e AS (SELECT *, lag(piece) OVER (PARTITION BY icao, fid ORDER BY seq) AS pp FROM c) SELECT icao, fid, piece, count(*) AS points FROM (SELECT icao, fid, piece FROM e UNION ALL SELECT icao, fid, pp FROM e WHERE pp <> piece) q GROUP BY icao, fid, piece""")
 def w10(t):
@@ -567,8 +568,9 @@ def w10(t):
     return measure.cut_pieces(v, ["icao", "fid"]).groupBy("icao", "fid", "piece").agg(F.count(F.lit(1)).alias("points"))
 
 
-@query("W11_repeated_runways", """WITH q AS (SELECT icao, rid, ident0 || '/' || ident1 AS idrwy, x0/50 AS x, y0/50 AS y FROM b_strip), k AS (SELECT *, lag(idrwy) OVER w AS pi, lag(x) OVER w AS px, lag(y) OVER w AS py FROM q WINDOW w AS (PARTITION BY icao ORDER BY idrwy, rid))
-SELECT icao, rid, idrwy FROM k WHERE NOT coalesce(pi = idrwy AND sqrt((x-px)*(x-px)+(y-py)*(y-py)) < 50, false)""")
+@query("W11_repeated_runways", """WITH RECURSIVE q AS (SELECT icao, rid, ident0 || '/' || ident1 AS idrwy, x0/50 AS x, y0/50 AS y FROM b_strip), n AS (SELECT *, row_number() OVER (PARTITION BY icao, idrwy ORDER BY rid) AS rn FROM q),
+k AS (SELECT icao, idrwy, rid, rn, x AS kx, y AS ky, true AS kept FROM n WHERE rn = 1 UNION ALL SELECT n.icao, n.idrwy, n.rid, n.rn, CASE WHEN sqrt((n.x-k.kx)*(n.x-k.kx)+(n.y-k.ky)*(n.y-k.ky)) < 50 THEN k.kx ELSE n.x END, CASE WHEN sqrt((n.x-k.kx)*(n.x-k.kx)+(n.y-k.ky)*(n.y-k.ky)) < 50 THEN k.ky ELSE n.y END, sqrt((n.x-k.kx)*(n.x-k.kx)+(n.y-k.ky)*(n.y-k.ky)) >= 50
+FROM k JOIN n ON n.icao = k.icao AND n.idrwy = k.idrwy AND n.rn = k.rn + 1) SELECT icao, rid, idrwy FROM k WHERE kept""")
 def w11(t):
     s = t.b_strip.select("icao", "rid", F.concat("ident0", F.lit("/"), "ident1").alias("idrwy"), (F.col("ax") / 50).alias("ax"), (F.col("ay") / 50).alias("ay"))
     return conflate.drop_repeated_runways(s, ["rid"]).select("icao", "rid", "idrwy")

@@ -490,7 +490,7 @@ def n06(t):
 
 @query("A14_deicing_clusters")
 def a14(t):
-    p = pavement_polys(t).filter("pid % 4 = 0").select("icao", F.col("pid").alias("aid"), "geom")
+    p = pavement_polys(t).select("icao", F.col("pid").alias("aid"), "geom")
     return structures.deicing_clusters(p).groupBy("icao", "cluster").agg(F.count(F.lit(1)).alias("members"))
 
 

@@ -119,7 +119,7 @@ def assemble_rings(fragments: DataFrame, digits: int = 9, max_rounds: int = 40)
             left, was = state.filter("nf IS NOT NULL").count(), before.filter("nf IS NOT NULL").count()
             if left == 0 or (left == was and not _changes(before, state, carry)):
                 return state
-        return state
+        raise RuntimeError("ring assembly did not settle")
 
     def _changes(a, b, carry):
         n = carry[0][0]

@@ -27,12 +27,15 @@ def airport_blocks(chunks: DataFrame) -> DataFrame:
     """One row per airport, seaport or heliport: path, icao, block.
 
     The file head before the first airport and anything after row 99 are dropped. A chunk
-    may hold further blocks headed 16 or 17.
+    may hold further blocks headed 16 or 17. The first piece of a chunk is a land block whose
+    row code the reader has cut off, so its code is the fourth field, whatever its elevation;
+    only where a file begins with an airport does the row still carry its own code.
     """
     pieces = chunks.select("path", F.posexplode(F.split("value", r"\n(?=1[67]\s)")).alias("i", "b"))
     head = F.col("b").rlike(r"^\s*(I|A)\s*(\r?\n|$)")
     pieces = pieces.filter(~(head & (F.col("i") == 0)))
-    block = F.when((F.col("i") == 0) & ~F.col("b").rlike(r"^1[67]?\s"), F.concat(F.lit("1 "), F.col("b"))).otherwise(F.col("b"))
+    own_code = F.col("b").rlike(r"^1[67]?\s+-?[0-9.]+\s+\S+\s+[0-9]+\s")
+    block = F.when((F.col("i") == 0) & ~own_code, F.concat(F.lit("1 "), F.col("b"))).otherwise(F.col("b"))
     block = F.regexp_replace(block, r"(?s)\n\s*99\s*(\n.*)?$", "")
     first = F.split(F.trim(F.split(block, "\n")[0]), r"\s+")
     return pieces.select("path", F.upper(F.get(first, F.lit(4))).alias("icao"), block.alias("block")).filter(F.col("icao").isNotNull())

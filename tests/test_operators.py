@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from aerodeck.functions import geo, shapes, text
-from aerodeck.operators import ordered
+from aerodeck.operators import conflate, measure, ordered, overlay, structures
+from aerodeck.sources import scenery
 from aerodeck.sources.osm import assemble_rings
 from aerodeck.streaming import feeds
 
@@ -17,6 +18,40 @@ def test_chunked_scan_equals_window(spark):
     assert key(plain) == key(chunked)
 
 
+def test_chunked_scan_keeps_null_keys_and_ties(spark):
+    df = spark.range(300).select(F.when(F.col("id") % 2 == 0, F.lit(1)).alias("k"), F.col("id").alias("o"), F.lit(0.25).alias("v"), F.lit(None).cast("long").alias("s"))
+    specs = dict(rk=ordered.rank(), lg=ordered.lag("o"), ld=ordered.lead("o"), rs=ordered.running("v"), fl=ordered.fill("s"))
+    key = lambda d: sorted(map(tuple, d.collect()), key=str)
+    assert key(ordered.scan(df, ["k"], ["o"], **specs)) == key(ordered.scan(df, ["k"], ["o"], hot_rows=1, chunks=5, **specs))
+
+
+def test_land_blocks_with_low_elevations(spark):
+    text = "I\n1000 version\n\n1 16 1 0 KAAA Alpha Field\n100 x\n1 17 0 0 KBBB Beta\n16 0 0 0 KCCC Sea\n1 1 1 0 KDDD Delta\n99\n"
+    chunks = spark.createDataFrame([("f", c) for c in text.split("\n1 ")] + [("g", "17 5 0 0 KEEE Heliport\n99\n")], "path string, value string")
+    assert sorted(r.icao for r in scenery.airport_blocks(chunks).collect()) == ["KAAA", "KBBB", "KCCC", "KDDD", "KEEE"]
+
+
+def test_dense_lines_and_chained_runways(spark):
+    dense = spark.range(1000).select(F.lit("A").alias("icao"), F.lit(1).alias("fid"), F.col("id").alias("seq"), (F.col("id") * 0.9).alias("x"), F.lit(0.0).alias("y"))
+    kept = measure.cut_pieces(dense, ["icao", "fid"]).select("seq").distinct().count()
+    assert 890 <= kept <= 910
+    chain = spark.createDataFrame([("A", i, "09/27", 40.0 * i, 0.0) for i in range(4)], "icao string, rid int, idrwy string, ax double, ay double")
+    assert sorted(r.rid for r in conflate.drop_repeated_runways(chain, ["rid"]).collect()) == [0, 2]
+
+
+def test_deicing_clusters_stay_in_their_airport(spark):
+    box = lambda x, y, s: [[(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]]
+    rows = [("A", 1, box(0.0, 0.0, 500.0)), ("A", 2, box(200.0, 200.0, 20.0)), ("A", 3, box(9000.0, 0.0, 20.0)), ("B", 1, box(9000.0, 0.0, 20.0)), ("B", 3, box(9010.0, 0.0, 20.0))]
+    got = structures.deicing_clusters(spark.createDataFrame(rows, "icao string, aid long, geom array<array<struct<x:double,y:double>>>"))
+    assert sorted((r.icao, r.aid, r.cluster) for r in got.collect()) == [("A", 1, 1), ("A", 2, 1), ("A", 3, 3), ("B", 1, 1), ("B", 3, 1)]
+
+
+def test_segments_inside_wide_rectangles(spark):
+    segs = spark.createDataFrame([("A", 1, 0, 100.0, 420.0, 160.0, 480.0)], "icao string, fid int, seq int, ax double, ay double, bx double, by double")
+    wide = spark.createDataFrame([("A", 0.0, 0.0, 2000.0, 0.0, 1000.0)], "icao string, ax double, ay double, bx double, by double, width_m double")
+    assert [r.inside for r in overlay.split_lines(segs, ["fid"], wide).collect()] == [True]
+
+
 def test_sign_examples(spark):
     rows = spark.createDataFrame([("{@Y}A{^r}{@@}B{^l}",), ("{@R}25L-07R{@L}M23",), ("{@B}1{@@}7",)], "raw string").select(*[c.alias(n) for n, c in text.decode_sign("raw").items()]).collect()
     assert [tuple(r) for r in rows] == [("A→", "B←", 2), ("25L-07RM23", None, 1), ("1", "7", 4)]
