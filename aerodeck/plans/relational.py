@@ -568,9 +568,9 @@ def w10(t):
     return measure.cut_pieces(v, ["icao", "fid"]).groupBy("icao", "fid", "piece").agg(F.count(F.lit(1)).alias("points"))
 
 
-@query("W11_repeated_runways", """WITH RECURSIVE q AS (SELECT icao, rid, ident0 || '/' || ident1 AS idrwy, x0/50 AS x, y0/50 AS y FROM b_strip), n AS (SELECT *, row_number() OVER (PARTITION BY icao, idrwy ORDER BY rid) AS rn FROM q),
+@query("W11_repeated_runways", """SELECT icao, rid, idrwy FROM (WITH RECURSIVE q AS (SELECT icao, rid, ident0 || '/' || ident1 AS idrwy, x0/50 AS x, y0/50 AS y FROM b_strip), n AS (SELECT *, row_number() OVER (PARTITION BY icao, idrwy ORDER BY rid) AS rn FROM q),
 k AS (SELECT icao, idrwy, rid, rn, x AS kx, y AS ky, true AS kept FROM n WHERE rn = 1 UNION ALL SELECT n.icao, n.idrwy, n.rid, n.rn, CASE WHEN sqrt((n.x-k.kx)*(n.x-k.kx)+(n.y-k.ky)*(n.y-k.ky)) < 50 THEN k.kx ELSE n.x END, CASE WHEN sqrt((n.x-k.kx)*(n.x-k.kx)+(n.y-k.ky)*(n.y-k.ky)) < 50 THEN k.ky ELSE n.y END, sqrt((n.x-k.kx)*(n.x-k.kx)+(n.y-k.ky)*(n.y-k.ky)) >= 50
-FROM k JOIN n ON n.icao = k.icao AND n.idrwy = k.idrwy AND n.rn = k.rn + 1) SELECT icao, rid, idrwy FROM k WHERE kept""")
+FROM k JOIN n ON n.icao = k.icao AND n.idrwy = k.idrwy AND n.rn = k.rn + 1) SELECT icao, rid, idrwy FROM k WHERE kept) z""")
 def w11(t):
     s = t.b_strip.select("icao", "rid", F.concat("ident0", F.lit("/"), "ident1").alias("idrwy"), (F.col("ax") / 50).alias("ax"), (F.col("ay") / 50).alias("ay"))
     return conflate.drop_repeated_runways(s, ["rid"]).select("icao", "rid", "idrwy")
