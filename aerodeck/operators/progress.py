@@ -56,7 +56,7 @@ def status_report(runlog: DataFrame, manifest: DataFrame, index: DataFrame, labe
     j = runlog.join(m, "icao", "left").join(i, "icao", "left")
     blank = F.lit("")
     return j.select("icao", "status", F.coalesce("m_name", "i_name", blank).alias("name"), F.coalesce("m_country", "i_country", blank).alias("country"), F.coalesce("sources", blank).alias("sources"),
-                    F.coalesce(F.col("features").cast("string"), blank).alias("features"), F.coalesce(F.format_string("%.1f", "seconds"), blank).alias("build_seconds"), F.coalesce("error", blank).alias("error"), F.lit(label).alias("run"))
+                    F.coalesce(F.col("features").cast("string"), blank).alias("features"), F.when(F.col("seconds").isNotNull(), F.format_string("%.1f", "seconds")).otherwise(blank).alias("build_seconds"), F.coalesce("error", blank).alias("error"), F.lit(label).alias("run"))
 
 
 def batch_report(runlog: DataFrame) -> DataFrame:

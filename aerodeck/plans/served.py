@@ -87,7 +87,13 @@ def q08(t):
     return measure.tiles(v).select("icao", "tile_x", "tile_y", "pieces", "points", "min_x", "max_y")
 
 
-@query("Q12_metres_per_degree")
+_ARC = "acos(greatest(-1, least(1, {})))"
+_X_ARC = _ARC.format("sin(radians(lat))*sin(radians(lat)) + cos(radians(lat))*cos(radians(lat))*cos(radians(lon+0.01-lon))")
+_Y_ARC = _ARC.format("sin(radians(lat))*sin(radians(lat+0.01)) + cos(radians(lat))*cos(radians(lat+0.01))")
+
+
+@query("Q12_metres_per_degree", f"""SELECT icao, {r(f"{_X_ARC}/sin({_X_ARC})*6371008.8*cos(radians(lat))*sin(radians(lon+0.01-lon))/0.01", 1)} AS mx,
+{r(f"{_Y_ARC}/sin({_Y_ARC})*6371008.8*(cos(radians(lat))*sin(radians(lat+0.01)) - sin(radians(lat))*cos(radians(lat+0.01)))/0.01", 1)} AS my FROM b_airport""")
 def q12(t):
     mx, my = geo.metres_per_degree("lon", "lat")
     return t.b_airport.select("icao", rnd(mx, 1).alias("mx"), rnd(my, 1).alias("my"))
@@ -134,6 +140,17 @@ def k08(t):
     return progress.batch_report(t.b_runlog.withColumn("status", s)).drop("seconds")
 
 
+@query("K07_status_report", """SELECT a.icao, l.status, CASE WHEN a.k % 3 = 0 THEN a.name ELSE 'index ' || a.name END AS name, a.country, CASE WHEN a.k % 3 = 0 THEN 'osm' ELSE '' END AS sources,
+CASE WHEN a.k % 3 = 0 THEN cast(a.k AS varchar) ELSE '' END AS features, coalesce(printf('%.1f', floor(l.seconds)), '') AS build_seconds, CASE WHEN l.status = 'error' THEN 'failed' ELSE '' END AS error, 'bulk' AS run
+FROM b_runlog l CROSS JOIN (SELECT count(*) AS n FROM b_airport) z JOIN b_airport a ON a.k = l.vehicle % z.n""")
+def k07(t):
+    n = t.b_airport.select(F.count(F.lit(1))).scalar()
+    log = t.b_runlog.withColumn("k", F.col("vehicle") % n).join(t.b_airport.select("k", "icao"), "k").select("icao", "status", F.floor("seconds").cast("double").alias("seconds"), F.when(F.col("status") == "error", "failed").alias("error"))
+    made = t.b_airport.filter("k % 3 = 0").select("icao", "name", F.when(F.col("k") % 2 == 0, F.col("country")).alias("country"), F.lit("osm").alias("sources"), F.col("k").alias("features"))
+    index = t.b_airport.select("icao", F.concat(F.lit("index "), "name").alias("name"), "country")
+    return progress.status_report(log, made, index, "bulk")
+
+
 @query("Z01_progress_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, status, count(*) AS n FROM b_runlog GROUP BY 1, 2")
 def z01(t):
     return feeds.progress_stream(t.b_runlog).select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "status", "n")
