@@ -165,8 +165,7 @@ def repeated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     occur in several documents; class_id is the smallest doc_id of the class of the first unit."""
     every = stored(units(docs, s))
     paragraphs = every.where("bands IS NOT NULL")
-    once = paragraphs.select("unit", "n", F.posexplode("bands").alias("_", "key")).groupBy("key", "unit").agg(F.max("n").alias("n"))
-    once = stored(once)
+    once = stored(paragraphs.select("unit", "n", "bands").dropDuplicates(["unit"])).select("unit", "n", F.explode("bands").alias("key"))
     shared = once.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     left = stored(once.join(shared, "key").select("key", F.col("unit").alias("doc"), F.lit(0).cast("long").alias("sig"), "n", F.lit(0).alias("pos"), length_band("n", s.rule).alias("band"), F.col("unit").alias("comp")))
     sets = stored(paragraph_sets(docs, left.select("doc").distinct(), s))
