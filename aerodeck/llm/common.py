@@ -106,7 +106,7 @@ def gather_sketch(rows: DataFrame, size: int, dtype: str, fold=np.add) -> np.nda
     some = rows.select("part", "data", F.pmod(F.xxhash64("data"), F.lit(64)).alias("slot"))
     some = some.groupBy("part", "slot").applyInPandas(fold_group, "part int, data binary")
     out = np.zeros(size, dtype)
-    for row in some.groupBy("part").applyInPandas(fold_group, "part int, data binary").toLocalIterator():
+    for row in some.groupBy("part").applyInPandas(fold_group, "part int, data binary").collect():  # the chunks of one array of fixed size
         got = np.frombuffer(row["data"], dtype)
         out[row["part"] * CHUNK : row["part"] * CHUNK + len(got)] = got
     return out
