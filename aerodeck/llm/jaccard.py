@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -140,19 +141,12 @@ def suffix_allows(x: np.ndarray, y: np.ndarray, need: int) -> bool:
     return min(left, m) + min(len(x) - left, len(y) - m) >= need
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame:
     """``pairs`` with ``linked``, by the exact intersection of the sets of the whole texts.
 
-    A bitmap of fixed size keeps texts of other documents out of the joins.
+    ``texts_of`` gives (doc, sig, text) of the ids it is handed.
     """
-    held = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
-    seen = pairs.sparkSession.sparkContext.broadcast(members(held, "doc"))
-
-    def wanted(batches):
-        for b in batches:
-            yield b.filter(pa.array(in_bitmap(np.asarray(b.column(0), np.int64).view(np.uint64), seen.value)))
-
-    some = sets.select("doc", "sig", "text").mapInArrow(wanted, "doc long, sig long, text binary")
+    some = stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()))
     for side in ("b", "a"):
         pairs = pairs.join(some.select(F.col("doc").alias(side), F.col("sig").alias(f"{side}_sig"), F.col("text").alias(f"t{side}")), [side, f"{side}_sig"])
 
@@ -182,29 +176,41 @@ def length_band(n: str, rule: Rule):
     return F.floor(F.log(n) / F.lit(math.log(rule.den / rule.num))).cast("int")
 
 
-def link_rows(left: DataFrame, sets: DataFrame, links: DataFrame, rule: Rule, star_rounds: int = 2) -> DataFrame:
+def with_earlier(left: DataFrame, most: int = 128) -> DataFrame:
+    """``left`` with the keys before each in its document, so that a pair is met at the first key it shares.
+
+    Beyond ``most`` keys a pair may be met more than once, which the distinct after it mends.
+    """
+    lists = left.groupBy("doc", "sig", "n", "comp").agg(F.array_sort(F.collect_set(F.struct("pos", "key"))).alias("_l"))
+    keys = lists.withColumn("_k", F.transform("_l", lambda s: s["key"]))
+    each = keys.select("doc", "sig", "n", "comp", "_k", F.posexplode("_l").alias("_i", "_s"))
+    return each.select("doc", "sig", "n", "comp", "_s.pos", "_s.key", F.slice("_k", F.lit(1), F.least("_i", F.lit(most))).alias("earlier"))
+
+
+def link_rows(left: DataFrame, texts_of: Callable[[DataFrame], DataFrame], links: DataFrame, rule: Rule, star_rounds: int = 2) -> DataFrame:
     """Links (a, b) that give the components of all sets that share a key and reach the rule.
 
-    ``left`` has key, doc, sig, n, pos, band and comp (its component by ``links``); ``sets`` has doc, sig, text.
+    ``left`` has key, doc, sig, n, pos, band and comp (its component by ``links``).
     """
     tested = None
     for turn in range(star_rounds + 1):
         if turn:
             left = with_components(left.drop("comp"), links)
-        open_keys = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        left = stored(left.join(open_keys, "key"))
+            open_keys = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            left = stored(left.join(open_keys, "key"))
         if turn < star_rounds:
             # A pivot of each n-gram and length band: the smallest id first, then one by a hash.
             by = F.struct((F.col("doc") if turn == 0 else F.hash("doc", F.lit(turn)).cast("long")).alias("o"), "doc", "sig", "n", "pos", "comp")
             pivots = left.groupBy("key", "band").agg(F.min(by).alias("p")).select("key", "band", "p.doc", "p.sig", "p.n", "p.pos", "p.comp")
             met = left.alias("x").join(pivots.alias("y"), ["key", "band"])
         else:
-            met = left.alias("x").join(left.alias("y"), "key").where("x.doc < y.doc")
+            rows = with_earlier(left)
+            met = rows.alias("x").join(rows.alias("y"), "key").where("x.doc < y.doc").where(~F.arrays_overlap("x.earlier", "y.earlier"))
         met = met.where("x.comp <> y.comp").where(possible(rule, "x", "y"))
         one, two = (F.struct(F.col(f"{side}.doc").alias("doc"), F.col(f"{side}.sig").alias("sig")) for side in ("x", "y"))
         pairs = met.select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).select(F.col("one.doc").alias("a"), F.col("one.sig").alias("a_sig"), F.col("two.doc").alias("b"), F.col("two.sig").alias("b_sig")).distinct()
         pairs = pairs if tested is None else pairs.join(tested, PAIR, "left_anti")
-        done = stored(verified(stored(pairs), sets, rule))
+        done = stored(verified(stored(pairs), texts_of, rule))
         tested = done.select(*PAIR) if tested is None else tested.union(done.select(*PAIR))
         links = links.union(done.where("linked").select("a", "b"))
     return links
@@ -220,8 +226,7 @@ def jaccard_join(docs: DataFrame, rule: Rule = Rule(), star_rounds: int = 2) ->
     grams = prefixes(docs, counts, rule)
     shared = grams.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     left = stored(grams.join(shared, "key").join(equal, "sig").select("key", "doc", "sig", "n", "pos", length_band("n", rule).alias("band"), F.col("doc").alias("comp")))
-    sets = stored(sets_of(docs, left.select("doc").distinct(), rule))
-    links = link_rows(left, sets, links, rule, star_rounds)
+    links = link_rows(left, lambda ids: sets_of(docs, ids, rule), links, rule, star_rounds)
     return with_components(profile.select(F.col("doc_id").alias("doc"), "n"), links).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
 
 
