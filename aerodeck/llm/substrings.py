@@ -73,6 +73,14 @@ class Cutter:
         view = np.lib.stride_tricks.sliding_window_view(run, s.reach)
         return np.unique(view.argmin(axis=1) + np.arange(len(view)))
 
+    def window_units(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that start at ``at``."""
+        words = h[at[:, None] + np.arange(self.s.least)]
+        out = words[:, 0].copy()
+        for i in range(1, self.s.least):
+            out = out * P1 + words[:, i]
+        return mixed(out + np.uint64(self.s.least)).view(np.int64)
+
     def paragraphs(self, h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = np.diff(line)
         keep = size >= self.s.least
@@ -85,10 +93,11 @@ class Cutter:
         """One row of band hashes for each paragraph, from the hashes of all word runs of the text."""
         k, out = self.s.rule.k, []
         cuts = np.stack([starts, ends - k + 1], 1).ravel()
+        run = np.append(run, np.uint64(0))
         for band in range(self.s.bands):
             value = np.full(len(starts), band + 1, np.uint64)
             for f in self.factor[band * self.s.rows : (band + 1) * self.s.rows]:
-                least = np.minimum.reduceat(np.r_[mixed(run * f), np.uint64(0)], cuts)[::2]
+                least = np.minimum.reduceat(run * f, cuts)[::2]  # the runs are mixed already; an odd factor permutes them
                 value = mixed(value * P1 + least)
             out.append(value)
         return np.stack(out, 1).view(np.int64)
@@ -105,7 +114,7 @@ def units(docs: DataFrame, s: Settings) -> DataFrame:
                 at = cutter.anchors(h)
                 if not len(at):
                     continue
-                window = windows(h, s.least)[at].view(np.int64)
+                window = cutter.window_units(h, at)
                 p0, p1 = cutter.paragraphs(h, line)
                 ids.append(np.full(len(at) + len(p0), doc, np.int64))
                 starts += [at, p0]
