@@ -134,14 +134,20 @@ def picked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
 
 
-def paragraph_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """(doc, sig, text) of the paragraphs whose unit is in ``wanted``; doc is the unit here."""
-    seen = docs.sparkSession.sparkContext.broadcast(members(wanted, "doc"))
+def paragraph_sets(docs: DataFrame, wanted: DataFrame, homes: DataFrame, s: Settings) -> DataFrame:
+    """(doc, sig, text) of the paragraphs whose unit is in ``wanted``; doc is the unit here.
+
+    ``homes`` has one document of each unit; only those documents are cut again.
+    """
+    sc = docs.sparkSession.sparkContext
+    seen = sc.broadcast(members(wanted, "doc"))
+    at_home = sc.broadcast(members(homes.join(wanted.select(F.col("doc").alias("unit")), "unit", "left_semi"), "doc_id"))
 
     def run(batches):
         cutter, done = Cutter(s), set()
         for b in batches:
             names, texts = [], []
+            b = b.filter(pa.array(in_bitmap(np.asarray(b.column(0), np.int64).view(np.uint64), at_home.value)))
             for text in b.column(1).to_pylist():
                 h, line = cutter.hashes(text)
                 p0, p1 = cutter.paragraphs(h, line)
@@ -174,10 +180,11 @@ def repeated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     occur in several documents; class_id is the smallest doc_id of the class of the first unit."""
     every = stored(units(docs, s))
     paragraphs = every.where("bands IS NOT NULL")
-    once = stored(paragraphs.select("unit", "n", "bands").dropDuplicates(["unit"])).select("unit", "n", F.explode("bands").alias("key"))
+    homes = stored(paragraphs.select("unit", "n", "bands", "doc_id").dropDuplicates(["unit"]))
+    once = homes.select("unit", "n", F.explode("bands").alias("key"))
     shared = once.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     left = stored(once.join(shared, "key").select("key", F.col("unit").alias("doc"), F.lit(0).cast("long").alias("sig"), "n", F.lit(0).alias("pos"), length_band("n", s.rule).alias("band"), F.col("unit").alias("comp")))
-    links = link_rows(left, lambda ids: paragraph_sets(docs, ids, s), left.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0), s.rule)
+    links = link_rows(left, lambda ids: paragraph_sets(docs, ids, homes.select("unit", "doc_id"), s), left.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0), s.rule)
     class_of = stored(components(links)).withColumnsRenamed({"id": "unit", "root": "root"})
 
     span = every.select("unit", "doc_id").groupBy("unit").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
