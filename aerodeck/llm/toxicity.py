@@ -33,7 +33,8 @@ from .quality import held_out, labelled_sample
 # Look-alike letters of other scripts, and symbols and digits that stand for letters.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһѵкмнтвαοενρτυχικ", "aeopcyxijsdhvkmhtbaoevptuxik", strict=True))
 SUBSTITUTES = dict(zip("01345780@$!|", "oieastboasil", strict=True))
-SUBSTITUTED = re.compile(r"[^\W_]*[013457@$!|][\w@$!|]*")
+# Tried once for each run of other letters, so that texts of one long word stay linear.
+SUBSTITUTED = re.compile(r"(?<![^\W_013457])[^\W_013457]*+[013457@$!|][\w@$!|]*")
 WORD = re.compile(r"\w+")
 FOLD = str.maketrans(LOOKALIKES)
 DIGITS = str.maketrans(SUBSTITUTES)

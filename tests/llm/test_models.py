@@ -80,6 +80,12 @@ def test_lexicon_matching_against_brute_force():
     assert m.mass("scum " + "x " * 1199, 300)[0] == 3.0 / 2
 
 
+def test_folding_of_words_and_of_one_long_word():
+    assert toxicity.folded("Sh1ft 1234 _ab4 n1ce!! plain") == "shift 1234 _aba nice   plain"
+    long = "a" * 1_000_000
+    assert toxicity.folded(long + " 4bc") == long + " abc"
+
+
 def test_raking_against_brute_force(spark):
     r = np.random.default_rng(0)
     rows = [(i, " ".join(["w"] * int(r.integers(0, 300))) + (" |" * 40 if i % 7 == 0 else ""), ["en", "de", None][i % 3], f"s{min(i % 9, 4)}", i) for i in range(400)]
