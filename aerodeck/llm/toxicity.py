@@ -3,8 +3,8 @@
 Texts are lower-cased and folded: letters of other scripts and symbols that look like Latin letters, and
 digits that stand for letters inside words, become those letters. The lexicon is learnt from labelled
 documents: words and word beginnings whose share of occurrences in toxic documents is far above that
-in clean ones, weighted by their log-odds. Exception phrases are words and word pairs that hold a
-lexicon hit but belong to clean documents; they take the hit away.
+in clean ones, weighted by their log-odds. Exception phrases are words that begin with a stem of the lexicon,
+and pairs of adjacent words that hold a hit, which belong to clean documents; they take the hits inside them away.
 
 A score is the sigmoid of bias + gain * log(1 + mass) where mass is the sum of weights of the hits
 (each entry counted with diminishing return) divided by the root of the length of the text beyond a
@@ -70,12 +70,35 @@ def folded(text: str | None) -> str:
 
 
 def word_counts(sample: DataFrame) -> DataFrame:
-    """(term, toxic, clean): documents of either kind that hold a word or a pair of words, counted in each task first."""
+    """(term, toxic, clean): documents of either kind that hold a word."""
+    return document_counts(sample, lambda: set)
+
+
+def pair_counts(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(term, toxic, clean): documents of either kind that hold a pair of adjacent words of which one is a hit."""
+    held = sample.sparkSession.sparkContext.broadcast(lexicon)
+
+    def terms():
+        matcher = Matcher(held.value)
+
+        def pairs(words):
+            hit = [matcher.hit(w) for w in words]
+            return {f"{a} {b}" for a, b, x, y in zip(words, words[1:], hit, hit[1:], strict=False) if x or y}
+
+        return pairs
+
+    return document_counts(sample, terms)
+
+
+def document_counts(sample: DataFrame, made) -> DataFrame:
+    """(term, toxic, clean): documents of either kind that hold a term, counted in each task first; ``made`` gives
+    each task the function from the words of a text to its set of terms."""
     def run(batches):
+        terms = made()
         counts: dict[str, list[float]] = {}
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in set(WORD.findall(folded(text))):
+                for w in terms(WORD.findall(folded(text))):
                     c = counts.setdefault(w, [0.0, 0.0])
                     c[y < 0.5] += 1.0
             if len(counts) > 500_000:
@@ -92,7 +115,8 @@ def word_counts(sample: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """``weights``: entry -> weight; an entry begins with a space, and ends with one if it is a whole word."""
+    """``weights``: entry -> weight; an entry begins with a space, and ends with one if it is a whole word.
+    ``exceptions``: one or more words between spaces."""
 
     weights: dict[str, float]
     exceptions: tuple[str, ...]
@@ -120,6 +144,9 @@ def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: s
     spared = words.where((F.col("clean") > 0) & (F.col("clean") * n_toxic >= F.col("toxic") * n_clean)).where(F.exists(clean, lambda e: F.startswith("term", e)))
     exceptions = spared.orderBy(F.desc("clean"), "term").limit(s.entries).select("term").collect()
     lexicon = Lexicon(weights, tuple(f" {r[0]} " for r in exceptions))
+    # A pair needs the support of an entry: a pair of a few documents says nothing against its hit.
+    phrases = pair_counts(sample, lexicon).where((F.col("clean") >= s.support) & (F.col("clean") * n_toxic >= F.col("toxic") * n_clean)).orderBy(F.desc("clean"), "term").limit(s.entries).select("term").collect()
+    lexicon = Lexicon(weights, (*lexicon.exceptions, *(f" {r[0]} " for r in phrases)))
     bins = masses(sample, lexicon, s).groupBy(F.round(F.log1p("mass"), 1).alias("x"), (F.col("y") >= 0.5).cast("double").alias("y")).count().collect()
     x, y, n = (np.array([float(r[c]) for r in bins]) for c in ("x", "y", "count"))
     return Lexicon(lexicon.weights, lexicon.exceptions, *fitted(x, y, n))
@@ -141,7 +168,8 @@ class Matcher:
 
     def __init__(self, lexicon: Lexicon):
         self.machine = ahocorasick.Automaton()
-        self.weights = lexicon.weights
+        self.weights, self.exceptions = lexicon.weights, frozenset(lexicon.exceptions)
+        self.lengths = frozenset(map(len, (e for e in lexicon.weights if not e.endswith(" "))))
         for e in lexicon.weights:
             self.machine.add_word(e, (e, False))
         for e in lexicon.exceptions:
@@ -150,6 +178,11 @@ class Matcher:
         if not self.empty:
             self.machine.make_automaton()
 
+    def hit(self, word: str) -> bool:
+        """Whether the word alone is a hit."""
+        padded = f" {word} "
+        return padded not in self.exceptions and any(padded[:n] in self.weights for n in self.lengths | {len(padded)})
+
     def mass(self, text: str | None, usual_words: int) -> tuple[float, int]:
         """Weight of the hits for the length of the text, and their number."""
         if self.empty or not text:
@@ -160,7 +193,7 @@ class Matcher:
         for end, (entry, exception) in self.machine.iter(" " + " ".join(words) + " "):
             start = end - len(entry) + 1
             if exception:
-                spared.add(start)
+                spared.update(start + i for i, c in enumerate(entry[:-1]) if c == " ")
             elif self.weights[entry] > self.weights.get(hits.get(start, ""), 0.0):
                 hits[start] = entry
         times: dict[str, int] = {}

@@ -80,6 +80,20 @@ def test_lexicon_matching_against_brute_force():
     assert m.mass("scum " + "x " * 1199, 300)[0] == 3.0 / 2
 
 
+def test_learnt_phrases_of_two_words_take_hits_away(spark):
+    toxic = [f"you moron number{i} go" for i in range(60)]
+    clean = [f"the moron telescope of site{i} works" for i in range(12)] + [f"a quiet day{i} of work" for i in range(600)]
+    rows = [(i, t, int(i < 60)) for i, t in enumerate(toxic + clean)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    m = toxicity.Matcher(lexicon)
+    assert " moron telescope " in lexicon.exceptions and not any(e.startswith(" you ") for e in lexicon.exceptions)
+    assert m.mass("new moron telescope here", 300) == (0.0, 0)
+    assert m.mass("M0ron, telescope", 300) == (0.0, 0) and m.mass("telescope moron", 300)[1] == 1 and m.mass("moron telescope moron", 300)[1] == 1
+    both = toxicity.Matcher(toxicity.Lexicon({" idio": 4.0, " scum ": 3.0}, (" scum idiots ",)))
+    assert both.mass("scum idiots", 300)[1] == 0 and both.mass("scum idiots scum", 300)[1] == 1
+
+
 def test_folding_of_words_and_of_one_long_word():
     assert toxicity.folded("Sh1ft 1234 _ab4 n1ce!! plain") == "shift 1234 _aba nice   plain"
     long = "a" * 1_000_000
