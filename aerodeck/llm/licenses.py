@@ -1,6 +1,6 @@
 """License scans: sparse TF-IDF cosine of notices to templates, and inheritance along directories.
 
-Every line of a whole text that speaks of a licence is a notice. Its words are weighted by tf * idf (idf over the
+Every line of a whole text that holds a telling word of the templates is a notice. Its words are weighted by tf * idf (idf over the
 templates, words outside them count as rarest) and compared with every template by a sparse dot product:
 an equi-join on words with the fixed template table. The best template at the threshold is
 the licence of the document. A document that is mostly notice is a licence file and speaks for its
@@ -18,6 +18,8 @@ path has no directory and inherits nothing; other columns are ignored; an empty
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,11 +27,38 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-# Short public notices of common licences.
+# Short public notices of common licences, among them standard headers, and SPDX identifiers.
+SPDX = {
+    "AGPL-3.0": "AGPL-3.0", "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0", "Apache-2.0": "Apache-2.0", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "BSL-1.0": "BSL-1.0",
+    "CC-BY-4.0": "CC-BY-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0": "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0": "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0": "CC-BY-ND-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC0-1.0": "CC0-1.0",
+    "EPL-2.0": "EPL-2.0", "GPL-2.0": "GPL-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0", "GPL-3.0": "GPL-3.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "ISC": "ISC",
+    "LGPL-2.1": "LGPL-2.1", "LGPL-2.1-only": "LGPL-2.1", "LGPL-2.1-or-later": "LGPL-2.1", "LGPL-3.0": "LGPL-3.0", "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "MIT": "MIT", "MPL-2.0": "MPL-2.0", "Unlicense": "Unlicense", "Zlib": "Zlib",
+}
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 TEMPLATES = [
+    *((name, f"SPDX-License-Identifier: {i}") for i, name in SPDX.items()),
+    ("Apache-2.0", "Apache License Version 2.0"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("GPL", "This program is free software: you can redistribute it and/or modify"),
+    ("GPL-2.0", GNU.format(2)),
+    ("GPL-3.0", GNU.format(3)),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISC", "Licensed under the ISC License."),
+    ("LGPL-2.1", GNU.format(2.1).replace("program", "library").replace("GNU", "GNU Lesser")),
+    ("LGPL-3.0", GNU.format(3).replace("program", "library").replace("GNU", "GNU Lesser")),
+    ("MIT", "MIT License"),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+    ("MPL-2.0", "Licensed under the Mozilla Public License 2.0."),
+    ("Proprietary", "All rights reserved."),
+    ("Proprietary", "Copyright (c) All rights reserved."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the license conditions are met."),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the license conditions are met."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
@@ -44,7 +73,34 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved. No license is granted without prior written permission."),
 ]
-NOTICE = "(?i)licen[sc]e|all rights reserved|permission is hereby"
+# These say less than a licence: they count where a document has no other notice, and never for a directory.
+WEAK = {"All rights reserved.", "Copyright (c) All rights reserved.", "This program is free software: you can redistribute it and/or modify"}
+# Words that no notice consists of alone; "mit" and "nd" are words of other languages too.
+COMMON = set("a all an and any are as at be by can either except for following general in into is it its later library may met mit nd no not of on only option or person prior program public that the this to under use version with without work written you your".split())
+
+
+def gate(templates: list[tuple[str, str]], threshold: float) -> str:
+    """Pattern of telling words of which every notice holds one.
+
+    The telling words left out of a template have, with its common ones, less than threshold^2 of its squared
+    weight, so a text of these alone stays below; or none is left out, and a text below is one of common words.
+    """
+    texts = [Counter(w for w in re.split(r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9])\.", text.lower()) if w) for _, text in templates]
+    df = Counter(w for x in texts for w in x)
+    out = set()
+    for x in texts:
+        weight = {w: (n * (math.log((len(texts) + 1) / (df[w] + 1)) + 1)) ** 2 for w, n in x.items()}
+        left, total = sum(weight.values()), sum(weight.values())
+        telling = [w for w in x if w not in COMMON and len(w) > 1 and not w.replace(".", "").isdigit()]
+        for w in sorted(telling, key=lambda w: (w not in out, -weight[w], w)):
+            if left < (threshold - 1e-6) ** 2 * total:
+                break
+            out.add(w)
+            left -= weight[w]
+    return f"(?i)(?<![a-z0-9])(?:{'|'.join(map(re.escape, sorted(out)))})(?![a-z0-9])"
+
+
+NOTICE = gate(TEMPLATES, 0.6)
 
 
 @dataclass(frozen=True)
@@ -60,18 +116,18 @@ def words(text: Column) -> Column:
 
 
 def template_vectors(spark: SparkSession, templates: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
-    """(template, license, word, weight) with unit length, and (word, idf)."""
-    texts = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, text string")
-    tf = texts.select("template", "license", F.explode(words(F.col("text"))).alias("word")).groupBy("template", "license", "word").agg(F.count("*").alias("tf"))
+    """(template, license, weak, word, weight) with unit length, and (word, idf)."""
+    texts = spark.createDataFrame([(i, name, text in WEAK, text) for i, (name, text) in enumerate(templates)], "template int, license string, weak boolean, text string")
+    tf = texts.select("template", "license", "weak", F.explode(words(F.col("text"))).alias("word")).groupBy("template", "license", "weak", "word").agg(F.count("*").alias("tf"))
     idf = tf.groupBy("word").agg((F.log(F.lit(len(templates) + 1.0) / (F.count("*") + 1.0)) + 1.0).alias("idf"))
     weighted = tf.join(F.broadcast(idf), "word").withColumn("weight", F.col("tf") * F.col("idf"))
     norm = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return weighted.join(F.broadcast(norm), "template").select("template", "license", "word", (F.col("weight") / F.col("norm")).alias("weight")), idf
+    return weighted.join(F.broadcast(norm), "template").select("template", "license", "weak", "word", (F.col("weight") / F.col("norm")).alias("weight")), idf
 
 
-def notices(docs: DataFrame) -> DataFrame:
+def notices(docs: DataFrame, notice: str = NOTICE) -> DataFrame:
     """(path, key, line, total, n): the notices of whole texts, and the words of the text and of its notices."""
-    lines = F.when(F.coalesce(F.col("text").rlike(NOTICE), F.lit(False)), F.filter(F.split("text", "\n"), lambda line: line.rlike(NOTICE)))
+    lines = F.when(F.coalesce(F.col("text").rlike(notice), F.lit(False)), F.filter(F.split("text", "\n"), lambda line: line.rlike(notice)))
     rows = docs.select("path", F.xxhash64("text").alias("key"), lines.alias("lines"), F.regexp_count("text", F.lit(r"\S+")).alias("total")).where("lines IS NOT NULL")
     return rows.select("path", "key", "total", F.explode("lines").alias("line")).withColumn("n", F.regexp_count("line", F.lit(r"\S+")))
 
@@ -79,17 +135,17 @@ def notices(docs: DataFrame) -> DataFrame:
 def matched(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, s: Settings = Settings()) -> DataFrame:
     """(path, key, license, cosine, is_file) of the rows with a notice at the threshold."""
     vectors, idf = template_vectors(docs.sparkSession, templates)
-    found = stored(notices(docs))
+    found = stored(notices(docs, gate(templates, s.threshold)))
     rarest = F.lit(math.log(len(templates) + 1.0) + 1.0)  # of a word that no template holds
     # Equal notices are compared once, however many documents hold them.
     lines = found.select("line").distinct().select("line", F.explode(words(F.col("line"))).alias("word")).groupBy("line", "word").agg(F.count("*").alias("tf"))
     weighted = stored(lines.join(F.broadcast(idf), "word", "left").select("line", "word", (F.col("tf") * F.coalesce("idf", rarest)).alias("weight")))
     norm = weighted.groupBy("line").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dot = weighted.join(F.broadcast(vectors.withColumnRenamed("weight", "unit")), "word").groupBy("line", "template", "license").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
-    cosine = dot.join(norm, "line").select("line", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= s.threshold)
-    best = cosine.groupBy("line").agg(F.max_by("cosine", "cosine").alias("cosine"), F.min(F.struct(-F.col("cosine"), "license")).alias("b")).select("line", "cosine", "b.license")
-    rows = found.join(best, "line").groupBy("path", "key", "total").agg(F.min(F.struct(-F.col("cosine"), "license")).alias("b"), F.max("cosine").alias("cosine"), F.sum("n").alias("n"))
-    return rows.select("path", "key", "b.license", "cosine", (F.col("n") >= F.lit(s.share) * F.col("total")).alias("is_file"))
+    dot = weighted.join(F.broadcast(vectors.withColumnRenamed("weight", "unit")), "word").groupBy("line", "template", "license", "weak").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
+    cosine = dot.join(norm, "line").select("line", "license", "weak", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= s.threshold)
+    best = cosine.groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("order"), "license", "weak", "cosine")).alias("b")).select("line", "b.license", "b.weak", "b.cosine")
+    rows = found.join(best, "line").groupBy("path", "key", "total").agg(F.min(F.struct("weak", (-F.col("cosine")).alias("order"), "license", "cosine")).alias("b"), F.sum("n").alias("n"))
+    return rows.select("path", "key", "b.license", "b.cosine", (~F.col("b.weak") & (F.col("n") >= F.lit(s.share) * F.col("total"))).alias("is_file"))
 
 
 def directory(path: str) -> Column:

@@ -173,6 +173,20 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_licence_headers_and_short_forms(spark):
+    want = {
+        "All rights reserved.": "Proprietary", "# Copyright (c) 2020 Foo Inc. All rights reserved.": "Proprietary",
+        "// SPDX-License-Identifier: MIT": "MIT", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+        "This program is free software; you can redistribute it and/or modify": "GPL",
+        "Redistribution and use in source and binary forms, with or without": "BSD",
+        "All rights reserved.\nThis file is released under the MIT License.": "MIT",
+        "SPDX-License-Identifier: Nobody-7.3": None, "the use of this work is free for all": None, "You can modify the version you use": None,
+    }
+    got = {r.path: r.license for r in licenses.scan(spark.createDataFrame([(f"{i}/x", t) for i, t in enumerate(want)], "path string, text string")).collect()}
+    assert [got[f"{i}/x"] for i in range(len(want))] == list(want.values())
+    assert all(re.search(licenses.NOTICE, t) for _, t in licenses.TEMPLATES)
+
+
 def test_licence_query_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{ROOT}/sf0.001/documents.parquet").collect()}
     for r in licenses.op9(spark, f"{ROOT}/sf0.001").collect():
