@@ -1,10 +1,12 @@
 """License scans: sparse TF-IDF cosine of notices to templates, and inheritance along directories.
 
-Every line of a whole text that holds a telling word of the templates is a notice. Its words are weighted by tf * idf (idf over the
+Every line of a whole text that holds a telling word of the templates is a notice; so are the
+groups of two to four lines around it, its paragraph and the text, so that wrapped headers and licence files
+are compared as wholes, paragraphs and texts with full licences too. Its words are weighted by tf * idf (idf over the
 templates, words outside them count as rarest) and compared with every template by a sparse dot product:
 an equi-join on words with the fixed template table. The best template at the threshold is
-the licence of the document. A document that is mostly notice is a licence file and speaks for its
-directory; documents without a notice take the licence of the nearest directory above them that has
+the licence of the document. A document that reaches a licence as a whole, or is mostly
+notice, is a licence file and speaks for its directory; documents without a notice take the licence of the nearest directory above them that has
 one, found by joining the ancestors of each distinct directory with the declared ones.
 
 Documents here have no paths, so ``document_paths`` gives them one from given columns:
@@ -21,6 +23,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,15 +103,21 @@ def gate(templates: list[tuple[str, str]], threshold: float) -> str:
     return f"(?i)(?<![a-z0-9])(?:{'|'.join(map(re.escape, sorted(out)))})(?![a-z0-9])"
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(license, text) of the full licences beside this module."""
+    return [(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+
+
 NOTICE = gate(TEMPLATES, 0.6)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``threshold``: cosine of a notice; ``share``: of a licence file's words that are notice."""
+    """``threshold``: cosine of a notice; ``share``: of a licence file's words that are notice; ``group``: lines of a group."""
 
     threshold: float = 0.6
     share: float = 0.5
+    group: int = 4
 
 
 def words(text: Column) -> Column:
@@ -125,27 +134,47 @@ def template_vectors(spark: SparkSession, templates: list[tuple[str, str]]) -> t
     return weighted.join(F.broadcast(norm), "template").select("template", "license", "weak", "word", (F.col("weight") / F.col("norm")).alias("weight")), idf
 
 
-def notices(docs: DataFrame, notice: str = NOTICE) -> DataFrame:
-    """(path, key, line, total, n): the notices of whole texts, and the words of the text and of its notices."""
-    lines = F.when(F.coalesce(F.col("text").rlike(notice), F.lit(False)), F.filter(F.split("text", "\n"), lambda line: line.rlike(notice)))
-    rows = docs.select("path", F.xxhash64("text").alias("key"), lines.alias("lines"), F.regexp_count("text", F.lit(r"\S+")).alias("total")).where("lines IS NOT NULL")
-    return rows.select("path", "key", "total", F.explode("lines").alias("line")).withColumn("n", F.regexp_count("line", F.lit(r"\S+")))
+def notices(docs: DataFrame, notice: str = NOTICE, group: int = Settings.group) -> DataFrame:
+    """(path, key, line, kind, total, n): the notices of whole texts, and the words of the text and of its notices.
+
+    Kinds are line, group, paragraph and text.
+    """
+    units = lambda texts, kind: F.transform(texts, lambda x: F.struct(x.alias("line"), F.lit(kind).alias("kind")))
+    hit = lambda x: x.rlike(notice)
+    rows = docs.where(F.coalesce(hit(F.col("text")), F.lit(False))).select("path", F.xxhash64("text").alias("key"), "text", F.split("text", "\n").alias("lines"), F.regexp_count("text", F.lit(r"\S+")).alias("total"))
+    at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: hit(F.get("lines", i)))
+    of_size = lambda i, n: F.transform(F.sequence(F.greatest(i - n + 1, F.lit(0)), i), lambda j: F.array_join(F.slice("lines", j + 1, n), "\n"))
+    groups = F.array_distinct(F.flatten(F.transform(at, lambda i: F.flatten(F.transform(F.sequence(F.lit(2), F.lit(group)), lambda n: of_size(i, n))))))
+    paragraphs = F.filter(F.split("text", r"\n\s*\n"), hit)
+    every = F.concat(units(F.filter("lines", hit), "line"), units(F.when(F.size("lines") > 1, groups).otherwise(F.array().cast("array<string>")), "group"), units(paragraphs, "paragraph"), units(F.array("text"), "text"))
+    return rows.select("path", "key", "total", F.explode(every).alias("u")).select("path", "key", "total", "u.line", "u.kind").withColumn("n", F.regexp_count("line", F.lit(r"\S+")))
+
+
+def best(texts: DataFrame, templates: list[tuple[str, str]], s: Settings) -> DataFrame:
+    """(line, license, weak, cosine): of every distinct text the best template at the threshold."""
+    vectors, idf = template_vectors(texts.sparkSession, templates)
+    rarest = F.lit(math.log(len(templates) + 1.0) + 1.0)  # of a word that no template holds
+    # Equal notices are compared once, however many documents hold them.
+    lines = texts.distinct().select("line", F.xxhash64("line").alias("text_id")).select("text_id", F.explode(words(F.col("line"))).alias("word")).groupBy("text_id", "word").agg(F.count("*").alias("tf"))
+    weighted = stored(lines.join(F.broadcast(idf), "word", "left").select("text_id", "word", (F.col("tf") * F.coalesce("idf", rarest)).alias("weight")))
+    norm = weighted.groupBy("text_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    dot = weighted.join(F.broadcast(vectors.withColumnRenamed("weight", "unit")), "word").groupBy("text_id", "template", "license", "weak").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
+    cosine = dot.join(norm, "text_id").select("text_id", "license", "weak", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= s.threshold)
+    return cosine.groupBy("text_id").agg(F.min(F.struct((-F.col("cosine")).alias("order"), "license", "weak", "cosine")).alias("b")).select("text_id", "b.license", "b.weak", "b.cosine")
 
 
 def matched(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, s: Settings = Settings()) -> DataFrame:
     """(path, key, license, cosine, is_file) of the rows with a notice at the threshold."""
-    vectors, idf = template_vectors(docs.sparkSession, templates)
-    found = stored(notices(docs, gate(templates, s.threshold)))
-    rarest = F.lit(math.log(len(templates) + 1.0) + 1.0)  # of a word that no template holds
-    # Equal notices are compared once, however many documents hold them.
-    lines = found.select("line").distinct().select("line", F.explode(words(F.col("line"))).alias("word")).groupBy("line", "word").agg(F.count("*").alias("tf"))
-    weighted = stored(lines.join(F.broadcast(idf), "word", "left").select("line", "word", (F.col("tf") * F.coalesce("idf", rarest)).alias("weight")))
-    norm = weighted.groupBy("line").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dot = weighted.join(F.broadcast(vectors.withColumnRenamed("weight", "unit")), "word").groupBy("line", "template", "license", "weak").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
-    cosine = dot.join(norm, "line").select("line", "license", "weak", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= s.threshold)
-    best = cosine.groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("order"), "license", "weak", "cosine")).alias("b")).select("line", "b.license", "b.weak", "b.cosine")
-    rows = found.join(best, "line").groupBy("path", "key", "total").agg(F.min(F.struct("weak", (-F.col("cosine")).alias("order"), "license", "cosine")).alias("b"), F.sum("n").alias("n"))
-    return rows.select("path", "key", "b.license", "b.cosine", (~F.col("b.weak") & (F.col("n") >= F.lit(s.share) * F.col("total"))).alias("is_file"))
+    found = stored(notices(docs, gate(templates, s.threshold), s.group))
+    short = best(found.select("line"), templates, s)
+    full = best(found.where("kind IN ('paragraph', 'text')").select("line"), full_texts(), s)
+    both = stored(short.unionByName(full).groupBy("text_id").agg(F.min(F.struct("weak", (-F.col("cosine")).alias("order"), "license", "cosine")).alias("b")).select("text_id", "b.license", "b.weak", "b.cosine"))
+    met = found.select("path", "key", "total", "kind", "n", F.xxhash64("line").alias("text_id")).join(both, "text_id")
+    n = F.sum(F.when(F.col("kind") == "line", F.col("n")).otherwise(0))
+    whole = F.max((F.col("kind") == "text") & ~F.col("weak"))
+    # A licence that the text reaches as a whole comes before those of its parts.
+    rows = met.groupBy("path", "key", "total").agg(F.min(F.struct("weak", (F.col("kind") != "text").alias("part"), (-F.col("cosine")).alias("order"), "license", "cosine")).alias("b"), n.alias("n"), whole.alias("whole"))
+    return rows.select("path", "key", "b.license", "b.cosine", (~F.col("b.weak") & (F.col("whole") | (F.col("n") >= F.lit(s.share) * F.col("total")))).alias("is_file"))
 
 
 def directory(path: str) -> Column:

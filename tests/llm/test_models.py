@@ -187,6 +187,18 @@ def test_licence_headers_and_short_forms(spark):
     assert all(re.search(licenses.NOTICE, t) for _, t in licenses.TEMPLATES)
 
 
+def test_licence_files_and_wrapped_headers(spark):
+    wrap = lambda text, n, mark="": "\n".join(mark + " ".join(w[i : i + n]) for w in [text.split()] for i in range(0, len(w), n))
+    full = dict(licenses.full_texts())
+    files = {name: f"Copyright (c) 2020 Jane Roe. All rights reserved.\n\n{wrap(text, 11)}" for name, text in full.items()}
+    header = "int a;\n" + wrap(licenses.GNU.format(3), 6, " * ") + "\n" + "\n".join(f"int b{i} = c{i};" for i in range(40))
+    rows = [x for name, text in files.items() for x in [(f"{name}/LICENSE", text), (f"{name}/src/a.c", "int a;")]] + [("gnu/x.c", header)]
+    got = {r.path: (r.license, r.how) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for name in full:
+        assert got[f"{name}/LICENSE"] == (name, "file") and got[f"{name}/src/a.c"] == (name, "inherited")
+    assert got["gnu/x.c"] == ("GPL-3.0", "header")
+
+
 def test_licence_query_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{ROOT}/sf0.001/documents.parquet").collect()}
     for r in licenses.op9(spark, f"{ROOT}/sf0.001").collect():
