@@ -3,7 +3,9 @@
 Units are the paragraphs of a document (its lines) of at least ``least`` words, and windows of ``least`` words
 that start at anchors. An anchor is the smallest word-run hash among any ``reach`` neighbours, so two
 documents choose the same anchors in a passage they share, wherever it stands: a passage of
-least + reach + k words or more always holds a common window.
+least + reach + k words or more always holds a common window. Windows are seeds: where a marked span begins or
+ends with one, it is extended word by word, by up to reach - 1 words, as far as other documents go on alike; the
+end of a passage is never farther from its last common window.
 
 Equal units are one class. Unequal paragraphs meet by MinHash bands, tuned for a recall near 0.99 at the
 similarity of the rule; colliding ones are verified by the exact Jaccard similarity of their
@@ -175,6 +177,62 @@ def in_units(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def contexts(docs: DataFrame, ends: DataFrame, s: Settings) -> DataFrame:
+    """(unit, side, doc_id, start, runs): of all windows whose unit is in ``ends`` (unit, side), one hash for
+    each number of words before (side -1) or after (side 1), up to reach - 1 and the end of the text."""
+    sc = docs.sparkSession.sparkContext
+    seen = {side: sc.broadcast(members(ends.where(F.col("side") == side), "unit")) for side in (-1, 1)}
+
+    def runs(words: np.ndarray) -> list[int]:
+        value, out = np.uint64(1), []
+        for w in words:
+            value = mixed(np.array([value * P1 + w]))[0]
+            out.append(value)
+        return np.array(out, np.uint64).view(np.int64).tolist()
+
+    def run(batches):
+        cutter = Cutter(s)
+        for b in batches:
+            rows = []
+            with np.errstate(over="ignore"):
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    h, _ = cutter.hashes(text)
+                    at = cutter.anchors(h)
+                    if not len(at):
+                        continue
+                    name = cutter.window_units(h, at)
+                    for side, bits in seen.items():
+                        for i in np.flatnonzero(in_bitmap(name.view(np.uint64), bits.value)):
+                            x = int(at[i])
+                            near = h[max(0, x - s.reach + 1) : x][::-1] if side < 0 else h[x + s.least : x + s.least + s.reach - 1]
+                            rows.append((int(name[i]), side, doc, x, runs(near)))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["unit", "side", "doc_id", "start", "runs"])
+
+    made = picked(docs).mapInArrow(run, "unit long, side int, doc_id long, start int, runs array<long>")
+    return made.join(ends, ["unit", "side"], "left_semi")
+
+
+def extended(docs: DataFrame, marked: DataFrame, s: Settings) -> DataFrame:
+    """Spans beyond the windows at the ends of the spans in ``marked`` (doc_id, start, end, unit, window, class_id, removed).
+
+    Windows with the same words beside them are a class of their own, whose first occurrence is kept: of words
+    that several documents share one copy always stays.
+    """
+    span = merged(marked.select("doc_id", "start", "end", "class_id", "removed"))
+    window = marked.where("window")
+    begins = window.join(span.select("doc_id", "removed", "start"), ["doc_id", "removed", "start"], "left_semi").select("unit", F.lit(-1).alias("side"))
+    stops = window.join(span.select("doc_id", "removed", "end"), ["doc_id", "removed", "end"], "left_semi").select("unit", F.lit(1).alias("side"))
+    beside = stored(contexts(docs, stored(begins.union(stops).distinct()), s))
+    each = beside.select("unit", "side", "doc_id", "start", F.posexplode("runs").alias("i", "run"))
+    first = each.groupBy("unit", "side", "i", "run").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("hi")).where("hi <> first.doc_id")
+    met = each.join(first, ["unit", "side", "i", "run"]).withColumn("removed", (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
+    far = met.groupBy("unit", "side", "doc_id", "start", "removed").agg(F.max(F.col("i") + 1).cast("int").alias("n"), F.max_by("first.doc_id", "i").alias("class_id"))
+    left, end = F.col("side") < 0, F.col("start") + s.least
+    return far.select("doc_id", F.when(left, F.col("start") - F.col("n")).otherwise(F.col("start")).alias("start"), F.when(left, end).otherwise(end + F.col("n")).alias("end"), "class_id", "removed")
+
+
 def repeated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, start, end, class_id, removed): merged spans of words (numbers, half-open) of classes that
     occur in several documents; class_id is the smallest doc_id of the class of the first unit."""
@@ -189,11 +247,11 @@ def repeated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     span = every.select("unit", "doc_id").groupBy("unit").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     classes = stored(span.where("lo <> hi").select("unit").union(class_of.select("unit")).distinct())
-    some = in_units(every.select("doc_id", "start", "end", "unit"), classes).join(classes, "unit")
-    some = stored(some.join(class_of, "unit", "left").select("doc_id", "start", "end", F.coalesce("root", "unit").alias("class")))
+    some = in_units(every.select("doc_id", "start", "end", "unit", F.col("bands").isNull().alias("window")), classes).join(classes, "unit")
+    some = stored(some.join(class_of, "unit", "left").select("doc_id", "start", "end", "unit", "window", F.coalesce("root", "unit").alias("class")))
     first = some.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("hi")).where("hi <> first.doc_id")
-    marked = some.join(first, "class").select("doc_id", "start", "end", F.col("first.doc_id").alias("class_id"), ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).alias("removed"))
-    return merged(marked)
+    marked = stored(some.join(first, "class").select("doc_id", "start", "end", "unit", "window", F.col("first.doc_id").alias("class_id"), ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).alias("removed")))
+    return merged(marked.select("doc_id", "start", "end", "class_id", "removed").union(extended(docs, marked, s)))
 
 
 def merged(spans: DataFrame) -> DataFrame:

@@ -113,6 +113,26 @@ def test_repeated_passages(spark):
     assert substrings.repeated(df.limit(0)).count() == 0
 
 
+def test_whole_passages_are_marked(spark):
+    r = random.Random(8)
+    prose = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    docs, want = [], {}
+    for n, size in enumerate([51, 55, 64, 90, 200]):
+        passage = prose(size)
+        for d in range(3):
+            before = r.randrange(30, 120)
+            docs.append((10 * n + d, " ".join(prose(before) + passage + prose(40))))
+            want[10 * n + d] = (before, before + size, d > 0)
+    inner, left, right = prose(60), prose(12), prose(12)
+    docs += [(100, " ".join(prose(50) + inner + prose(50))), *((d, " ".join(prose(40) + left + inner + right + prose(40))) for d in (101, 102))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    rows = substrings.repeated(df).collect()
+    for d, (start, end, removed) in want.items():
+        assert [(x.start, x.end, x.removed) for x in rows if x.doc_id == d] == [(start, end, removed)]
+    # What only the later two share stays in the first of them.
+    assert {(x.doc_id, x.start, x.end) for x in rows if x.removed and x.doc_id >= 100} == {(101, 52, 112), (102, 40, 124)}
+
+
 def test_bands_reach_the_recall():
     s = substrings.Settings()
     assert s.bands >= substrings.tuned(0.8, s.rows, 0.99)
