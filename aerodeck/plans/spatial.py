@@ -506,8 +506,8 @@ def n01(t):
 
 
 def taxi_lines(t):
-    """Mapped centrelines: one per route edge of every third order, as two-point ways."""
-    e = edge_positions(t).filter("eid % 12 = 0 AND from_id <> to_id")
+    """Mapped centrelines: one per route edge, as two-point ways."""
+    e = edge_positions(t).filter("from_id <> to_id")
     ends = F.array(F.struct(F.lit(0).alias("seq"), F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.lit(1).alias("seq"), F.col("bx").alias("x"), F.col("by").alias("y")))
     v = e.select("icao", F.concat(F.lit("w"), F.col("eid").cast("string")).alias("way"), "name", (F.lit(20.0) + F.col("eid") % 20).alias("width_m"), F.lit(None).cast("string").alias("runway"), F.explode(ends).alias("p"))
     return v.select("icao", "way", "p.seq", "p.x", "p.y", "name", "width_m", "runway")

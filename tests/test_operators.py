@@ -4,9 +4,12 @@ from pyspark.sql import functions as F
 
 from aerodeck.functions import geo, shapes, text
 from aerodeck.operators import conflate, measure, ordered, overlay, structures
+from aerodeck.plans import spatial
+from aerodeck.plans.registry import Inputs
 from aerodeck.sources import scenery
 from aerodeck.sources.osm import assemble_rings
 from aerodeck.streaming import feeds
+from tests.harness import ROOT
 
 
 def test_chunked_scan_equals_window(spark):
@@ -71,6 +74,13 @@ def test_crossing_strips_share_a_square(spark):
     assert abs(r.cut - 3600) < 1e-6 and abs(r.cut + r.rest - 60000) < 1e-6
 
 
+def test_every_route_edge_is_a_centreline(spark):
+    t = Inputs(spark, f"{ROOT}/sf0.001")
+    lines = spatial.taxi_lines(t)
+    edges = t.b_edge.filter("from_id <> to_id")
+    assert lines.select("icao", "way").distinct().count() == edges.select("icao", "eid").distinct().count() > 0
+
+
 def test_ring_fragments_join(spark):
     f = spark.createDataFrame([(1, 0, 0, 0.0, 0.0), (1, 0, 1, 1.0, 0.0), (1, 1, 0, 1.0, 1.0), (1, 1, 1, 1.0, 0.0), (1, 2, 0, 1.0, 1.0), (1, 2, 1, 0.0, 0.0)], "grp int, frag int, seq int, x double, y double")
     v = assemble_rings(f).orderBy("seq").collect()
