@@ -116,16 +116,16 @@ def units(docs: DataFrame, s: Settings) -> DataFrame:
                 at = cutter.anchors(h)
                 if not len(at):
                     continue
-                window = cutter.window_units(h, at)
+                window, run = cutter.window_units(h, at), windows(h, s.rule.k)
                 p0, p1 = cutter.paragraphs(h, line)
                 ids.append(np.full(len(at) + len(p0), doc, np.int64))
                 starts += [at, p0]
                 ends += [at + s.least, p1]
                 names += [window, np.array([cutter.unit(h, x, y) for x, y in zip(p0, p1, strict=True)], np.int64)]
-                sizes += [np.zeros(len(at), np.int32), (p1 - p0 - s.rule.k + 1).astype(np.int32)]
+                sizes += [np.zeros(len(at), np.int32), np.array([len(np.unique(run[x : y - s.rule.k + 1])) for x, y in zip(p0, p1, strict=True)], np.int32)]
                 bands += [None] * len(at)
                 if len(p0):
-                    bands += list(cutter.band_hashes(windows(h, s.rule.k), p0, p1))
+                    bands += list(cutter.band_hashes(run, p0, p1))
             cat = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if parts else np.empty(0, kind))
             yield pa.RecordBatch.from_arrays([cat(ids, np.int64), cat(starts, np.int32), cat(ends, np.int32), cat(names, np.int64), cat(sizes, np.int32), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "start", "end", "unit", "n", "bands"])
 

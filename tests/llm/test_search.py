@@ -133,6 +133,17 @@ def test_whole_passages_are_marked(spark):
     assert {(x.doc_id, x.start, x.end) for x in rows if x.removed and x.doc_id >= 100} == {(101, 52, 112), (102, 40, 124)}
 
 
+def test_paragraphs_that_repeat_a_phrase_differently_meet(spark):
+    phrase = [f"w{i}" for i in range(30)]
+    # Rotated starts and other numbers of turns: the sets of runs are equal, the numbers of runs are 116 and 86.
+    docs = [(1, " ".join(phrase * 4)), (2, " ".join((phrase[7:] + phrase[:7]) * 3))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r.n for r in substrings.units(df, substrings.Settings()).where("bands IS NOT NULL").collect()}
+    assert rows == {1: 30, 2: 30}
+    got = {(x.doc_id, x.start, x.end) for x in substrings.repeated(df).collect() if x.removed}
+    assert (2, 0, 90) in got
+
+
 def test_bands_reach_the_recall():
     s = substrings.Settings()
     assert s.bands >= substrings.tuned(0.8, s.rows, 0.99)
