@@ -11,6 +11,9 @@ n-gram, verified links join components, and the next round only looks at n-grams
 several components. Last, all remaining candidates in different components are met, so no link that
 joins components is lost; pairs inside a component are not needed for it. A pair is verified once.
 
+Before texts are fetched, a pair must pass a bound of its overlap: how many n-grams of each set fall in each of
+32 parts of the range of hashes is kept with the set, and the sum of the smaller counts is never below the overlap.
+
 Defined cases: a null text is empty; an empty document is linked with nothing; a text with fewer words
 than n is one n-gram; rows with the same doc_id are one node; a row without doc_id takes no part in
 links and has no component; other columns are ignored; an empty table gives an empty result.
@@ -29,10 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, gather_sketch, in_bitmap, members, sketch_rows, stored, table, windows
+from .common import WordHashes, components, gather_sketch, in_bitmap, members, release, sketch_rows, stored, table, windows
 
 SKETCH = 1 << 17
 PAIR = ["a", "a_sig", "b", "b_sig"]
+SLICES = 32
 
 
 @dataclass(frozen=True)
@@ -61,25 +65,33 @@ def signature(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
+def sliced(grams: np.ndarray) -> list[int]:
+    """How many n-grams fall in each of SLICES parts of the range of hashes."""
+    return np.bincount((grams >> np.uint64(59)).astype(np.int64), minlength=SLICES).tolist()
+
+
 def profiled(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, sig) of every row, and how often n-grams of each sketch bucket occur in documents."""
+    """(doc_id, n, sig, slices) of every row, and how often n-grams of each sketch bucket occur in documents."""
     def run(batches):
         words, counts = WordHashes(), np.zeros(SKETCH, np.int64)
         for b in batches:
-            n, sig = [], []
+            n, sig, slices = [], [], []
             for text in b.column(1).to_pylist():
                 grams = gram_set(text, words, rule.k)
                 np.add.at(counts, (grams & np.uint64(SKETCH - 1)).astype(np.int64), 1)
                 n.append(len(grams))
                 sig.append(signature(grams) if len(grams) else None)
+                slices.append(sliced(grams))
             nothing = [None] * len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(nothing, pa.int32()), pa.array(nothing, pa.binary())], ["doc_id", "n", "sig", "part", "data"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(slices, pa.list_(pa.int32())), pa.array(nothing, pa.int32()), pa.array(nothing, pa.binary())], names)
         got = list(sketch_rows(counts))
-        nothing = [None] * len(got)
-        yield pa.RecordBatch.from_arrays([pa.array(nothing, pa.int64()), pa.array(nothing, pa.int64()), pa.array(nothing, pa.int64()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], ["doc_id", "n", "sig", "part", "data"])
+        none = [pa.nulls(len(got), kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names)
+
+    names = ["doc_id", "n", "sig", "slices", "part", "data"]
 
-    made = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, sig long, part int, data binary"))
-    return made.where("part IS NULL").select("doc_id", "n", "sig"), gather_sketch(made.where("part IS NOT NULL"), SKETCH, "int64")
+    made = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, sig long, slices array<int>, part int, data binary"))
+    return made.where("part IS NULL").select("doc_id", "n", "sig", "slices"), gather_sketch(made.where("part IS NOT NULL"), SKETCH, "int64")
 
 
 def rare_first(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -87,7 +99,7 @@ def rare_first(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
-    """(key, sig, n, pos): the prefix n-grams of every document; of equal sets a task gives one."""
+    """(sig, n, keys): the prefix n-grams of every document, rarest first; of equal sets a task gives one."""
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
@@ -105,7 +117,9 @@ def prefixes(docs: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["sig", "n", "keys"])
 
     made = docs.where("doc_id IS NOT NULL").select(F.col("text").cast("string").alias("text")).mapInArrow(run, "sig long, n int, keys array<long>")
-    return stored(made).select("sig", "n", F.posexplode("keys").alias("pos", "key"))
+    out = stored(made)
+    held.destroy()
+    return out
 
 
 def possible(rule: Rule, a: str, b: str):
@@ -141,8 +155,17 @@ def suffix_allows(x: np.ndarray, y: np.ndarray, need: int) -> bool:
     return min(left, m) + min(len(x) - left, len(y) - m) >= need
 
 
+def plausible(pairs: DataFrame, slices: DataFrame, rule: Rule) -> DataFrame:
+    """``pairs`` whose sets can overlap enough by their counts in slices of the range of hashes."""
+    for side in ("a", "b"):
+        pairs = pairs.join(slices.select(F.col("sig").alias(f"{side}_sig"), F.col("slices").alias(f"{side}_n")), f"{side}_sig")
+    total = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
+    both = total(F.zip_with("a_n", "b_n", lambda x, y: F.least(x, y)))
+    return pairs.where(both * (rule.num + rule.den) >= (total("a_n") + total("b_n")) * rule.num).select(*PAIR)
+
+
 def verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame:
-    """``pairs`` with ``linked``, by the exact intersection of the sets of the whole texts.
+    """``pairs`` with ``linked``, as a stored table, by the exact intersection of the sets of the whole texts.
 
     ``texts_of`` gives (doc, sig, text) of the ids it is handed.
     """
@@ -164,7 +187,9 @@ def verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], rule:
                 linked.append(bool(ok and len(np.intersect1d(of, other, assume_unique=True)) >= need))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(linked, pa.bool_())], [*PAIR, "linked"])
 
-    return pairs.select(*PAIR, "ta", "tb").mapInArrow(run, "a long, a_sig long, b long, b_sig long, linked boolean")
+    out = stored(pairs.select(*PAIR, "ta", "tb").mapInArrow(run, "a long, a_sig long, b long, b_sig long, linked boolean"))
+    release(some)
+    return out
 
 
 def with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -187,17 +212,19 @@ def with_earlier(left: DataFrame, most: int = 128) -> DataFrame:
     return each.select("doc", "sig", "n", "comp", "_s.pos", "_s.key", F.slice("_k", F.lit(1), F.least("_i", F.lit(most))).alias("earlier"))
 
 
-def link_rows(left: DataFrame, texts_of: Callable[[DataFrame], DataFrame], links: DataFrame, rule: Rule, star_rounds: int = 2) -> DataFrame:
+def link_rows(left: DataFrame, texts_of: Callable[[DataFrame], DataFrame], links: DataFrame, rule: Rule, star_rounds: int = 2, slices: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that give the components of all sets that share a key and reach the rule.
 
-    ``left`` has key, doc, sig, n, pos, band and comp (its component by ``links``).
+    ``left``, a stored table that is released here, has key, doc, sig, n, pos, band and comp (its component by
+    ``links``); ``slices`` (sig, slices), if given, lets fewer pairs ask for texts.
     """
     tested = None
     for turn in range(star_rounds + 1):
         if turn:
-            left = with_components(left.drop("comp"), links)
-            open_keys = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            left = stored(left.join(open_keys, "key"))
+            before, now = left, with_components(left.drop("comp"), links)
+            open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            left = stored(now.join(open_keys, "key"))
+            release(before)
         if turn < star_rounds:
             # A pivot of each n-gram and length band: the smallest id first, then one by a hash.
             by = F.struct((F.col("doc") if turn == 0 else F.hash("doc", F.lit(turn)).cast("long")).alias("o"), "doc", "sig", "n", "pos", "comp")
@@ -210,9 +237,12 @@ def link_rows(left: DataFrame, texts_of: Callable[[DataFrame], DataFrame], links
         one, two = (F.struct(F.col(f"{side}.doc").alias("doc"), F.col(f"{side}.sig").alias("sig")) for side in ("x", "y"))
         pairs = met.select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).select(F.col("one.doc").alias("a"), F.col("one.sig").alias("a_sig"), F.col("two.doc").alias("b"), F.col("two.sig").alias("b_sig")).distinct()
         pairs = pairs if tested is None else pairs.join(tested, PAIR, "left_anti")
-        done = stored(verified(stored(pairs), texts_of, rule))
+        pairs = stored(pairs if slices is None else plausible(pairs, slices, rule))
+        done = verified(pairs, texts_of, rule)
+        release(pairs)
         tested = done.select(*PAIR) if tested is None else tested.union(done.select(*PAIR))
         links = links.union(done.where("linked").select("a", "b"))
+    release(left)
     return links
 
 
@@ -220,13 +250,17 @@ def jaccard_join(docs: DataFrame, rule: Rule = Rule(), star_rounds: int = 2) ->
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     profile, counts = profiled(docs, rule)
     with_id = profile.where("doc_id IS NOT NULL AND sig IS NOT NULL")
-    equal = with_id.groupBy("sig").agg(F.min("doc_id").alias("doc"))
-    links = with_id.join(equal, "sig").where("doc <> doc_id").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
-
-    grams = prefixes(docs, counts, rule)
-    shared = grams.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    left = stored(grams.join(shared, "key").join(equal, "sig").select("key", "doc", "sig", "n", "pos", length_band("n", rule).alias("band"), F.col("doc").alias("comp")))
-    links = link_rows(left, lambda ids: sets_of(docs, ids, rule), links, rule, star_rounds)
+    equal = stored(with_id.groupBy("sig").agg(F.min("doc_id").alias("doc"), F.any_value("slices").alias("slices")))
+    links = with_id.join(equal.select("sig", "doc"), "sig").where("doc <> doc_id").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
+
+    held = prefixes(docs, counts, rule)
+    grams = held.select("sig", "n", F.posexplode("keys").alias("pos", "key"))
+    # Only n-grams of two different sets matter; copies of one set are one row from here on.
+    shared = grams.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key")
+    rows = grams.join(shared, "key").dropDuplicates(["key", "sig"])
+    left = stored(rows.join(equal.select("sig", "doc"), "sig").select("key", "doc", "sig", "n", "pos", length_band("n", rule).alias("band"), F.col("doc").alias("comp")))
+    release(held)
+    links = link_rows(left, lambda ids: sets_of(docs, ids, rule), links, rule, star_rounds, equal.select("sig", "slices"))
     return with_components(profile.select(F.col("doc_id").alias("doc"), "n"), links).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
 
 

@@ -242,7 +242,7 @@ def repeated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     once = homes.select("unit", "n", F.explode("bands").alias("key"))
     shared = once.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     left = stored(once.join(shared, "key").select("key", F.col("unit").alias("doc"), F.lit(0).cast("long").alias("sig"), "n", F.lit(0).alias("pos"), length_band("n", s.rule).alias("band"), F.col("unit").alias("comp")))
-    links = link_rows(left, lambda ids: paragraph_sets(docs, ids, homes.select("unit", "doc_id"), s), left.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0), s.rule)
+    links = link_rows(left, lambda ids: paragraph_sets(docs, ids, homes.select("unit", "doc_id"), s), docs.sparkSession.createDataFrame([], "a long, b long"), s.rule)
     class_of = stored(components(links)).withColumnsRenamed({"id": "unit", "root": "root"})
 
     span = every.select("unit", "doc_id").groupBy("unit").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
