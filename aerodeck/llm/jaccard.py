@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WordHashes, components, gather_sketch, in_bitmap, members, release, sketch_rows, stored, table, windows
@@ -99,24 +100,25 @@ def rare_first(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
-    """(sig, n, keys): the prefix n-grams of every document, rarest first; of equal sets a task gives one."""
+    """(doc, sig, n, keys): the prefix n-grams of every document, rarest first; of equal sets a task gives one."""
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         words, counts, seen = WordHashes(), held.value, set()
         for b in batches:
-            ids, sizes, keys = [], [], []
-            for text in b.column(0).to_pylist():
+            docs, ids, sizes, keys = [], [], [], []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 grams = gram_set(text, words, rule.k)
                 sig = signature(grams)
                 if len(grams) and sig not in seen:
                     seen.add(sig)
+                    docs.append(doc)
                     ids.append(sig)
                     sizes.append(len(grams))
                     keys.append(rare_first(grams, counts)[: rule.prefix(len(grams))].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["sig", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc", "sig", "n", "keys"])
 
-    made = docs.where("doc_id IS NOT NULL").select(F.col("text").cast("string").alias("text")).mapInArrow(run, "sig long, n int, keys array<long>")
+    made = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, sig long, n int, keys array<long>")
     out = stored(made)
     held.destroy()
     return out
@@ -134,7 +136,7 @@ def packed(text: str | None) -> bytes:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """(doc, sig, text): the packed texts of the documents in ``ids``; they are smaller than their sets."""
+    """(doc, sig, text), stored: the packed texts of the documents in ``ids``; they are smaller than their sets."""
     seen = docs.sparkSession.sparkContext.broadcast(members(ids, "doc"))
 
     def run(batches):
@@ -145,7 +147,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
             sigs = [signature(gram_set(t, words, rule.k)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.int64()), pa.array([packed(t) for t in texts], pa.binary())], ["doc", "sig", "text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc IS NOT NULL").mapInArrow(run, "doc long, sig long, text binary")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc IS NOT NULL").mapInArrow(run, "doc long, sig long, text binary")
+    out = stored(made)
+    seen.destroy()
+    return out
 
 
 def suffix_allows(x: np.ndarray, y: np.ndarray, need: int) -> bool:
@@ -167,9 +172,9 @@ def plausible(pairs: DataFrame, slices: DataFrame, rule: Rule) -> DataFrame:
 def verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame:
     """``pairs`` with ``linked``, as a stored table, by the exact intersection of the sets of the whole texts.
 
-    ``texts_of`` gives (doc, sig, text) of the ids it is handed.
+    ``texts_of`` gives a stored table (doc, sig, text) of the ids it is handed.
     """
-    some = stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()))
+    some = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
     for side in ("b", "a"):
         pairs = pairs.join(some.select(F.col("doc").alias(side), F.col("sig").alias(f"{side}_sig"), F.col("text").alias(f"t{side}")), [side, f"{side}_sig"])
 
@@ -254,11 +259,13 @@ def jaccard_join(docs: DataFrame, rule: Rule = Rule(), star_rounds: int = 2) ->
     links = with_id.join(equal.select("sig", "doc"), "sig").where("doc <> doc_id").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
 
     held = prefixes(docs, counts, rule)
-    grams = held.select("sig", "n", F.posexplode("keys").alias("pos", "key"))
-    # Only n-grams of two different sets matter; copies of one set are one row from here on.
-    shared = grams.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key")
-    rows = grams.join(shared, "key").dropDuplicates(["key", "sig"])
-    left = stored(rows.join(equal.select("sig", "doc"), "sig").select("key", "doc", "sig", "n", "pos", length_band("n", rule).alias("band"), F.col("doc").alias("comp")))
+    grams = held.select("doc", "sig", "n", F.posexplode("keys").alias("pos", "key"))
+    # Only n-grams of two different sets matter; copies of one set, which meet at each of its n-grams, are one
+    # row from here on. All this needs one shuffle by n-gram.
+    of_key = W.partitionBy("key")
+    shared = grams.withColumns({"lo": F.min("sig").over(of_key), "hi": F.max("sig").over(of_key)}).where("lo <> hi")
+    rows = shared.groupBy("key", "sig").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("pos").alias("pos"))
+    left = stored(rows.select("key", "doc", "sig", "n", "pos", length_band("n", rule).alias("band"), F.col("doc").alias("comp")))
     release(held)
     links = link_rows(left, lambda ids: sets_of(docs, ids, rule), links, rule, star_rounds, equal.select("sig", "slices"))
     return with_components(profile.select(F.col("doc_id").alias("doc"), "n"), links).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import P1, WordHashes, components, in_bitmap, members, mixed, stored, table, windows
@@ -137,7 +138,7 @@ def picked(docs: DataFrame) -> DataFrame:
 
 
 def paragraph_sets(docs: DataFrame, wanted: DataFrame, homes: DataFrame, s: Settings) -> DataFrame:
-    """(doc, sig, text) of the paragraphs whose unit is in ``wanted``; doc is the unit here.
+    """(doc, sig, text), stored, of the paragraphs whose unit is in ``wanted``; doc is the unit here.
 
     ``homes`` has one document of each unit; only those documents are cut again.
     """
@@ -163,7 +164,10 @@ def paragraph_sets(docs: DataFrame, wanted: DataFrame, homes: DataFrame, s: Sett
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([0] * len(names), pa.int64()), pa.array(texts, pa.binary())], ["doc", "sig", "text"])
 
     made = picked(docs).mapInArrow(run, "doc long, sig long, text binary")
-    return made.join(wanted.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    out = stored(made.join(wanted.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]))
+    seen.destroy()
+    at_home.destroy()
+    return out
 
 
 def in_units(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -183,32 +187,34 @@ def contexts(docs: DataFrame, ends: DataFrame, s: Settings) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     seen = {side: sc.broadcast(members(ends.where(F.col("side") == side), "unit")) for side in (-1, 1)}
 
-    def runs(words: np.ndarray) -> list[int]:
-        value, out = np.uint64(1), []
-        for w in words:
-            value = mixed(np.array([value * P1 + w]))[0]
-            out.append(value)
-        return np.array(out, np.uint64).view(np.int64).tolist()
+    def runs(h: np.ndarray, first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """For words from each of ``first`` on, one by one in a direction: running hashes, and how many words there are."""
+        n = np.clip(first + 1 if step < 0 else len(h) - first, 0, s.reach - 1)
+        value, out = np.ones(len(first), np.uint64), np.zeros((len(first), s.reach - 1), np.uint64)
+        for i in range(s.reach - 1):
+            value = mixed(value * P1 + h[np.clip(first + step * i, 0, len(h) - 1)])
+            out[:, i] = value
+        return out.view(np.int64), n
 
     def run(batches):
         cutter = Cutter(s)
         for b in batches:
-            rows = []
-            with np.errstate(over="ignore"):
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    h, _ = cutter.hashes(text)
-                    at = cutter.anchors(h)
-                    if not len(at):
-                        continue
-                    name = cutter.window_units(h, at)
-                    for side, bits in seen.items():
-                        for i in np.flatnonzero(in_bitmap(name.view(np.uint64), bits.value)):
-                            x = int(at[i])
-                            near = h[max(0, x - s.reach + 1) : x][::-1] if side < 0 else h[x + s.least : x + s.least + s.reach - 1]
-                            rows.append((int(name[i]), side, doc, x, runs(near)))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["unit", "side", "doc_id", "start", "runs"])
+            parts = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h, _ = cutter.hashes(text)
+                at = cutter.anchors(h)
+                if not len(at):
+                    continue
+                name = cutter.window_units(h, at)
+                for side, bits in seen.items():
+                    i = np.flatnonzero(in_bitmap(name.view(np.uint64), bits.value))
+                    if len(i):
+                        beside, n = runs(h, at[i] - 1 if side < 0 else at[i] + s.least, side)
+                        parts.append((name[i], np.full(len(i), side, np.int32), np.full(len(i), doc, np.int64), at[i].astype(np.int32), n, beside[np.arange(s.reach - 1) < n[:, None]]))
+            if parts:
+                unit, side, doc, start, n, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (unit, side, doc, start)), lists], ["unit", "side", "doc_id", "start", "runs"])
 
     made = picked(docs).mapInArrow(run, "unit long, side int, doc_id long, start int, runs array<long>")
     return made.join(ends, ["unit", "side"], "left_semi")
@@ -255,16 +261,12 @@ def repeated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def merged(spans: DataFrame) -> DataFrame:
-    """Overlapping spans of a document and kind as one; the lists are those of one document."""
-    lists = spans.groupBy("doc_id", "removed").agg(F.array_sort(F.collect_set(F.struct("start", "end", "class_id"))).alias("s"))
-    kind = "array<struct<start:int,end:int,class_id:bigint>>"
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), F.least(last["class_id"], x["class_id"]).alias("class_id"))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
-
-    return lists.select("doc_id", "removed", F.explode(F.aggregate("s", F.array().cast(kind), step)).alias("m")).select("doc_id", "m.start", "m.end", "m.class_id", "removed")
+    """Overlapping and touching spans of a document and kind as one: a span begins where none before reaches it."""
+    by = W.partitionBy("doc_id", "removed").orderBy("start", "end")
+    reached = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
+    begun = spans.distinct().withColumn("new", F.when(reached >= F.col("start"), 0).otherwise(1))
+    numbered = begun.withColumn("span", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy("doc_id", "removed", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("class_id").alias("class_id")).select("doc_id", "start", "end", "class_id", "removed")
 
 
 def without_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
