@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import shapes, text
 from ..functions.geo import c
-from . import overlay
+from . import overlay, spans
 from .conflate import union_sources
 from .network import majority
 from .ordered import durable, rank, scan
@@ -75,12 +75,11 @@ def without_runways(pieces: DataFrame, rw: DataFrame, key: str = "pid", cell: fl
     return union_sources(whole, cut.withColumn("geom", F.array("_p")).drop("_p"))
 
 
-def osm_supplement(areas: DataFrame, scenery: DataFrame, cell: float = 5.0) -> DataFrame:
-    """Mapped aprons not covered by scenery pavement: kept whole, sized by their uncovered cells."""
+def osm_supplement(areas: DataFrame, scenery: DataFrame, step: float = spans.STEP) -> DataFrame:
+    """Parts of mapped aprons outside all scenery pavement, of more than 500 square metres: areas' columns, part, geom."""
     aprons = areas.filter("kind = 'apron'")
-    share = overlay.covered_share(aprons, scenery, ["aid"], cell)
-    rest = aprons.join(share, ["icao", "aid"]).withColumn("rest_m2", (F.col("cells") - F.col("covered")) * (cell * cell))
-    return rest.filter(big_enough("rest_m2", "osm_apron"))
+    rest = spans.remainders(aprons, scenery, ["aid"], step).filter(big_enough("area", "osm_apron"))
+    return rest.select("icao", "aid", "part", "geom").join(aprons.drop("geom"), ["icao", "aid"])
 
 
 def pavement_pieces(pavement: DataFrame, areas: DataFrame, lines: DataFrame, stands: DataFrame, mids: DataFrame, rw: DataFrame,
@@ -101,9 +100,10 @@ def pavement_pieces(pavement: DataFrame, areas: DataFrame, lines: DataFrame, sta
     bare = areas.join(have, "icao", "left_anti")
     cls = F.when(F.col("kind").isin("apron", "deicing"), "apron").when(F.col("kind") == "taxiway", "taxiway").when(F.col("kind") == "helipad", "helipad")
     mapped = bare.withColumn("class", cls).filter("class IS NOT NULL")
-    extra = osm_supplement(areas.join(have, "icao", "left_semi"), p, cell).withColumn("class", F.lit("apron"))
-    from_areas = mapped.select("icao", "aid", "name", "surface", "geom", "class").unionByName(extra.select("icao", "aid", "name", "surface", "geom", "class"))
-    from_areas = from_areas.select("icao", F.concat(F.lit("a"), F.col("aid").cast("string")).alias("pid"), "name", F.coalesce("surface", F.lit(0)).alias("surface"), F.lit("osm").alias("source"), "geom", "class", F.lit(False).alias("bridge"))
+    extra = osm_supplement(areas.join(have, "icao", "left_semi"), p).withColumn("class", F.lit("apron"))
+    cols = ["icao", "aid", "part", "name", "surface", "geom", "class"]
+    from_areas = mapped.withColumn("part", F.lit(0)).select(cols).unionByName(extra.select(cols))
+    from_areas = from_areas.select("icao", F.concat(F.lit("a"), F.concat_ws("-", "aid", F.when(F.col("part") > 0, F.col("part")))).alias("pid"), "name", F.coalesce("surface", F.lit(0)).alias("surface"), F.lit("osm").alias("source"), "geom", "class", F.lit(False).alias("bridge"))
     taxi = lines.join(have, "icao", "left_anti").withColumn("w", F.coalesce("width_m", F.lit(TAXIWAY_WIDTH_M)))
     buffered = overlay.strips(taxi, "w")
     buffered = buffered.select("icao", F.concat(F.lit("l"), F.xxhash64("fid", "geom").cast("string")).alias("pid"), "name", F.lit(4).alias("surface"), F.lit("osm").alias("source"), "geom", F.lit("taxiway").alias("class"), "bridge")
@@ -138,19 +138,16 @@ def pavement_helipads(pieces: DataFrame) -> DataFrame:
     return pieces.filter("class = 'helipad'").select("icao", F.col("name").alias("ident"), F.col("surface").alias("surftype"), null.alias("length"), null.alias("width"), null.alias("brngtrue"), "source", "geom")
 
 
-def build_taxiwayshoulder(pieces: DataFrame, minus: DataFrame, mids: DataFrame, width: float = TAXIWAY_SHOULDER_M, cell: float = 1.0) -> DataFrame:
-    """Optional band round pavement: strips along the outlines, less pavement and ``minus``, by cells.
+def build_taxiwayshoulder(pieces: DataFrame, others: DataFrame, mids: DataFrame, width: float = TAXIWAY_SHOULDER_M, step: float = 0.5) -> DataFrame:
+    """Optional band round all taxiways and aprons of an airport, less them and ``others`` (icao, geom).
 
-    One row per piece with the uncovered band area; the band itself stays as strips.
+    The band is the round offset of the pavement; its connected parts of 5 square metres or more carry the most
+    frequent name of the edges on them.
     """
     tw = pieces.filter(F.col("class").isin("taxiway", "apron"))
-    band = overlay.strips(edges_of(tw, ["icao", "fid"]), 2 * width)
-    taken = tw.select("icao", "geom").unionByName(minus.select("icao", "geom"))
-    one = band.withColumn("sid", F.xxhash64("fid", "geom"))
-    free = overlay.remainder(one, taken, ["fid", "sid"], cell).select("icao", "fid", "cx", "cy").distinct()
-    sized = free.groupBy("icao", "fid").agg((F.count(F.lit(1)) * (cell * cell)).alias("area")).filter(big_enough("area", "shoulder"))
-    on = points_in_polygons(mids, band.select("icao", "fid", "geom").withColumn("sid", F.xxhash64("fid", "geom")), ["eid"], ["fid", "sid"]).join(mids.select("icao", "eid", F.col("name").alias("idlin")), ["icao", "eid"]).filter("idlin IS NOT NULL")
-    names = majority(on, ["icao", "fid"], "idlin").select("icao", "fid", "idlin")
-    rings = edges_of(tw, ["icao", "fid"]).withColumn("geom", F.array(shapes.rect_between("ax", "ay", "bx", "by", 2 * width)))
-    return (rings.join(sized, ["icao", "fid"]).join(names, ["icao", "fid"], "left")
-            .select("icao", "fid", "idlin", F.lit(0).alias("surftype"), F.lit(width).alias("width"), "area", F.lit("derived").alias("source"), "geom"))
+    band = spans.united(spans.of_buffers(edges_of(tw, ["icao"]), ["icao"], width, step), ["icao"])
+    taken = spans.cover(tw.select("icao", "geom").unionByName(others.select("icao", "geom")), step)
+    free = durable(spans.polygons(spans.minus(band, taken, [], bucket=spans.BUCKET), ["icao"], step).filter(big_enough("area", "shoulder")))
+    on = points_in_polygons(mids, free, ["eid"], ["part"]).join(mids.select("icao", "eid", F.col("name").alias("idlin")), ["icao", "eid"]).filter("idlin IS NOT NULL")
+    names = majority(on, ["icao", "part"], "idlin").select("icao", "part", "idlin")
+    return free.join(names, ["icao", "part"], "left").select("icao", "part", "idlin", F.lit(0).alias("surftype"), F.lit(width).alias("width"), "area", F.lit("derived").alias("source"), "geom")

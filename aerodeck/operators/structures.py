@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, shapes
 from ..functions.geo import rnd, unit
-from . import overlay
+from . import overlay, spans
 from .conflate import merge_stands, unique_names
 from .measure import offset_lines
 from .network import components
@@ -102,42 +102,46 @@ def build_verticallinestructure(lines: DataFrame, captured: DataFrame) -> DataFr
     return p.select("icao", "fid", F.col("kind").alias("linsttyp"), "name", F.col("height_m").alias("height"), F.lit(None).cast("double").alias("elev"), "source", "geom")
 
 
-def build_serviceroad(roads: DataFrame, captured: DataFrame, pavement: DataFrame, painted: DataFrame, from_pavement: DataFrame, cell: float = 1.0) -> DataFrame:
-    """Road pavement; captured roads as strips, sized by the cells outside pavement; painted roadways elsewhere.
+def build_serviceroad(roads: DataFrame, captured: DataFrame, near: DataFrame, pavement: DataFrame, painted: DataFrame, from_pavement: DataFrame, step: float = spans.STEP) -> DataFrame:
+    """Road pavement; captured roads as round buffers, what of them lies near and off pavement; painted roadways elsewhere.
 
-    ``roads``: icao, fid, name, width_m, bridge, source, geom (line); a road keeps its strip
-    outline and carries the uncovered area, which must reach 4 square metres.
+    ``roads``: icao, fid, name, width_m, bridge, source, geom (line); ``near``: spans of step ``step`` that roads
+    are clipped to. Parts below 4 square metres go.
     """
     r = roads.join(captured, ["icao", "fid"], "left_semi").withColumn("w", F.coalesce("width_m", F.lit(5.0)))
-    strip = overlay.strips(edges_of(r, ["icao", "fid", "name", "w", "bridge", "source"]), "w").withColumn("sid", F.xxhash64("fid", "geom"))
-    left = overlay.remainder(strip, pavement, ["fid", "sid"], cell).select("icao", "fid", "cx", "cy").distinct().groupBy("icao", "fid").agg((F.count(F.lit(1)) * (cell * cell)).alias("area"))
-    kept = strip.join(left.filter(big_enough("area", "road")), ["icao", "fid"])
+    line = edges_of(r, ["icao", "fid", "w"]).withColumn("half", F.col("w") / 2)
+    buffers = spans.united(spans.of_buffers(line, ["icao", "fid"], "half", step), ["icao", "fid"])
+    rest = spans.minus(spans.common(buffers, near, ["fid"]), spans.cover(pavement, step), ["fid"])
+    parts = spans.polygons(rest, ["icao", "fid"], step).filter(big_enough("area", "road"))
     cols = ["icao", "name", "surftype", "width", "bridge", "source", "geom"]
-    own = kept.select("icao", "name", F.lit(4).alias("surftype"), F.col("w").alias("width"), "bridge", "source", "geom")
+    own = parts.join(r.select("icao", "fid", "name", "w", "bridge", "source"), ["icao", "fid"]).select("icao", "name", F.lit(4).alias("surftype"), F.col("w").alias("width"), "bridge", "source", "geom")
     bare = painted.join(roads.select("icao").distinct(), "icao", "left_anti")
     paint = overlay.strips(bare, 6.0).select("icao", F.lit(None).cast("string").alias("name"), F.lit(4).alias("surftype"), F.lit(6.0).alias("width"), F.lit(False).alias("bridge"), F.lit("xplane").alias("source"), "geom")
     return from_pavement.select(cols).unionByName(own.select(cols)).unionByName(paint.select(cols))
 
 
-def build_water(areas: DataFrame, captured: DataFrame, ext: DataFrame, water_rows: DataFrame, cell: float = 5.0) -> DataFrame:
-    """Mapped water captured and partly inside the extent, with the area inside; water runways."""
+def build_water(areas: DataFrame, captured: DataFrame, ext: DataFrame, water_rows: DataFrame, step: float = 5.0) -> DataFrame:
+    """Parts of captured mapped water inside the extent; water runways."""
     w = areas.filter("kind = 'water'").withColumnRenamed("aid", "fid").join(captured, ["icao", "fid"], "left_semi")
-    inside = overlay.covered_share(w, grown(ext), ["fid"], cell).filter("covered > 0").withColumn("area_in", F.col("covered") * (cell * cell))
-    own = w.join(inside, ["icao", "fid"]).select("icao", F.lit(1).alias("feattype"), F.lit(None).cast("string").alias("idrwy"), "name", F.lit(8).alias("surftype"), "source", "geom")
+    inside = spans.common(spans.of_polygons(w, ["fid"], step), spans_within(ext, step), ["fid"])
+    parts = spans.polygons(inside, ["icao", "fid"], step).filter("area >= 0.5")
+    own = parts.join(w.drop("geom"), ["icao", "fid"]).select("icao", F.lit(1).alias("feattype"), F.lit(None).cast("string").alias("idrwy"), "name", F.lit(8).alias("surftype"), "source", "geom")
     return own.unionByName(water_rows)
 
 
-def grown(ext: DataFrame) -> DataFrame:
-    """Extent members with their margins as polygons: the member itself and strips round its outline."""
-    edges = edges_of(ext.filter("margin > 0"), ["icao", "margin"]).withColumn("w", 2 * F.col("margin"))
-    return ext.select("icao", "geom").unionByName(overlay.strips(edges, "w").select("icao", "geom"))
+def spans_within(members: DataFrame, step: float) -> DataFrame:
+    """Spans of all that lies in a member (icao, margin, geom) or within its margin."""
+    edges = edges_of(members.filter("margin > 0"), ["icao", "margin"])
+    return spans.united(spans.cover(members, step).unionByName(spans.of_buffers(edges, ["icao"], "margin", step)), ["icao"])
 
 
-def build_constructionarea(areas: DataFrame, captured: DataFrame, pavement: DataFrame, cell: float = 5.0) -> DataFrame:
-    """Sites keeping at least a quarter and more than 400 square metres outside pavement."""
+def build_constructionarea(areas: DataFrame, captured: DataFrame, pavement: DataFrame, step: float = spans.STEP) -> DataFrame:
+    """Parts of mapped sites outside pavement, of more than 400 square metres, where a quarter of the site is left."""
     s = areas.filter("kind = 'construction'").withColumnRenamed("aid", "fid").join(captured, ["icao", "fid"], "left_semi")
-    m = overlay.covered_share(s, pavement, ["fid"], cell).withColumn("area_out", (F.col("cells") - F.col("covered")) * (cell * cell)).filter((F.col("share") <= 0.75) & big_enough("area_out", "construction"))
-    return s.join(m, ["icao", "fid"]).select("icao", "name", F.lit(3).alias("status"), F.lit(None).cast("string").alias("pendate"), "source", "geom")
+    rest = spans.remainders(s, pavement, ["fid"], step)
+    enough = rest.groupBy("icao", "fid").agg((F.sum("area") / F.max("own")).alias("left")).filter("left >= 0.25").select("icao", "fid")
+    parts = rest.filter(big_enough("area", "construction")).join(enough, ["icao", "fid"], "left_semi")
+    return parts.select("icao", "fid", "part", "geom").join(s.drop("geom"), ["icao", "fid"]).select("icao", "name", F.lit(3).alias("status"), F.lit(None).cast("string").alias("pendate"), "source", "geom")
 
 
 def deicing_clusters(polys: DataFrame, d: float = DEICE_M) -> DataFrame:

@@ -6,7 +6,7 @@ intermediate products (runways, pavement, lines, network) are shared lazily.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -185,6 +185,18 @@ class Airport:
         paved = self.pieces.filter(F.col("class").isin("taxiway", "apron")).select("icao", "geom").unionByName(self.rw.select("icao", "geom"))
         return self.save(structures.extent(self.headers, outlines, paved, self.stands))
 
+    @cached_property
+    def near(self) -> DataFrame:
+        """What structures are clipped to: 50 m round the movement area, 90 m round runways, else the extent."""
+        own = self.movement.withColumn("margin", F.lit(structures.NEAR_MOVEMENT_M)).unionByName(self.rw.select("icao", "geom").withColumn("margin", F.lit(structures.NEAR_RUNWAY_M)))
+        return own.unionByName(self.extent.select("icao", "geom", "margin").join(own.select("icao").distinct(), "icao", "left_anti"))
+
+    @cached_property
+    def beside_runways(self) -> DataFrame:
+        """Runways and the surfaces along and behind them."""
+        parts = [self.rw, runway.build_runwayshoulder(self.rw), self.layer("blastpad"), self.layer("stopway"), runway.build_runwaydisplacedarea(self.ends)]
+        return union_geoms(parts)
+
     def captured(self, df: DataFrame, kind: str = "feature") -> DataFrame:
         return structures.capture(df, ["fid"], self.movement, self.rw.select("icao", "geom"), self.extent, kind)
 
@@ -242,7 +254,7 @@ class Airport:
             "asrnedge": lambda: self.network[1], "asrnnode": lambda: self.network[0],
             "blastpad": lambda: runway.build_blastpad(ends).unionByName(pads("blastpad")),
             "bridgeside": lambda: structures.build_bridgeside(self.taxi_vertices()),
-            "constructionarea": lambda: structures.build_constructionarea(self.areas, self.area_ids, paved(), 5.0),
+            "constructionarea": lambda: structures.build_constructionarea(self.areas, self.area_ids, paved()),
             "deicingarea": lambda: structures.deicing_layers(self.areas, self.area_ids)["deicingarea"],
             "deicinggroup": lambda: structures.deicing_layers(self.areas, self.area_ids)["deicinggroup"],
             "finalapproachandtakeoffarea": lambda: heli("finalapproachandtakeoffarea").unionByName(pavement.pavement_helipads(self.pieces)),
@@ -260,15 +272,15 @@ class Airport:
             "runwaymarking": lambda: runway.build_runwaymarking(ends),
             "runwayshoulder": lambda: runway.build_runwayshoulder(rw),
             "runwaythreshold": lambda: runway.build_runwaythreshold(ends, self.lights, self.headers),
-            "serviceroad": lambda: structures.build_serviceroad(self.roads, self.captured(self.roads), paved().unionByName(rw.select("icao", "geom")), self.line_layers["_road_centers"], pavement.pavement_roads(self.pieces)),
+            "serviceroad": lambda: structures.build_serviceroad(self.roads, self.captured(self.roads), structures.spans_within(self.near, 1.0), paved().unionByName(rw.select("icao", "geom")), self.line_layers["_road_centers"], pavement.pavement_roads(self.pieces)),
             "stopway": lambda: runway.build_stopway(ends).unionByName(pads("stopway")),
             "taxiwayelement": lambda: pavement.build_taxiwayelement(self.pieces, self.mids, rw),
-            "taxiwayshoulder": lambda: pavement.build_taxiwayshoulder(self.pieces, rw, self.mids, cell=2.0),
+            "taxiwayshoulder": lambda: pavement.build_taxiwayshoulder(self.pieces, self.beside_runways, self.mids),
             "touchdownliftoffarea": lambda: heli("touchdownliftoffarea"),
             "verticallinestructure": lambda: structures.build_verticallinestructure(self.line_structures, self.captured(self.line_structures)),
             "verticalpointstructure": lambda: structures.build_verticalpointstructure(self.point_structures, self.captured(self.point_structures, "point")),
             "verticalpolygonalstructure": lambda: structures.build_verticalpolygonalstructure(self.buildings, self.captured(self.buildings), structures.in_extent(self.buildings, ["fid"], self.extent)),
-            "water": lambda: structures.build_water(self.areas, self.area_ids, self.extent, water(), 20.0),
+            "water": lambda: structures.build_water(self.areas, self.area_ids, self.extent, water()),
         }
         for n in ("runwayexitline", "standguidanceline", "taxiwayguidanceline", "taxiwayholdingposition", "taxiwayintersectionmarking"):
             build[n] = lambda n=n: self.line_layers[n]
@@ -280,6 +292,10 @@ class Airport:
         return self.taxi_lines.select("icao", "fid", "name", "width_m", "bridge", "source", F.posexplode(F.col("geom")[0]).alias("seq", "p")).select("icao", "fid", "name", "width_m", "bridge", "source", "seq", "p.x", "p.y")
 
 
+def union_geoms(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [p.select("icao", "geom") for p in parts])
+
+
 _BUILDS: dict[tuple[str, str], Airport] = {}
 
 
@@ -579,8 +595,7 @@ def l39(t):
 
 @query("L40_taxiwayshoulder")
 def l40(t):
-    s = airport(t).layer("taxiwayshoulder")
-    return s.groupBy("icao", "fid").agg(F.first("idlin").alias("idlin"), F.first("area").alias("area"), F.count(F.lit(1)).alias("strips"))
+    return surface(airport(t).layer("taxiwayshoulder"), "idlin", "surftype", "width", "source")
 
 
 @query("L41_touchdownliftoffarea", f"""WITH {HELI} SELECT icao, ident, {r('len*0.6', 2)} AS length, {r('len*0.6*wid*0.6', 2)} AS area, {r('x')} AS cx, {r('y')} AS cy FROM h""")
