@@ -6,6 +6,7 @@ intermediate products (runways, pavement, lines, network) are shared lazily.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
@@ -15,9 +16,10 @@ from ..functions import codes, shapes, text
 from ..functions.geo import rnd
 from ..operators import lines as L
 from ..operators import network, pavement, points, runway, structures
-from ..operators.ordered import durable
+from ..operators.ordered import durable, shared_folder
 from ..operators.spatial import edges_of
-from .registry import QUERIES, query
+from ..sources import store
+from .registry import query
 from .scalar import r
 
 
@@ -628,10 +630,32 @@ def m04(t):
     return surface(airport(t).extent, "margin")
 
 
-# Layers behind the whole pavement phase build through ``Airport.layer``; they join the query
-# registry once their multi-phase plans are cut small enough to plan quickly.
-PENDING = ["L08_asrnedge", "L09_asrnnode", "L10_blastpad_mapped", "L12_constructionarea", "L13_deicingarea", "L14_deicinggroup", "L15_pavement_helipads", "L16_frequencyarea_extent", "L18_hotspot",
-           "L27_runwayexitline", "L32_serviceroad", "L33_standguidanceline", "L34_stopway_mapped", "L37_taxiwayguidanceline", "L38_taxiwayholdingposition",
-           "L39_taxiwayintersectionmarking", "L40_taxiwayshoulder", "L44_verticalpolygonalstructure", "L45_water"]
-for _n in PENDING:
-    QUERIES.pop(_n)
+STORED = ["paintedcenterline", "runwaydisplacedarea", "positionmarking", "atcblindspot"]
+
+
+def stored_build(t) -> str:
+    """The folder of a fresh build of some layers of all airports, on the storage the cluster shares."""
+    root = f"{shared_folder(t.spark)}/layers-{uuid.uuid4().hex}"
+    a = airport(t)
+    store.write_layers({n: a.layer(n) for n in STORED}, root, a.headers)
+    return root
+
+
+@query("K01_layer_store", f"""WITH {RW}, n AS (SELECT icao, 'paintedcenterline' AS layer, count(*) AS c FROM rk GROUP BY 1 UNION ALL SELECT icao, 'runwaydisplacedarea', count(*) FROM en WHERE shift > 0.5 GROUP BY 1
+ UNION ALL SELECT icao, CASE m WHEN 15 THEN 'positionmarking' ELSE 'atcblindspot' END, count(*) FROM b_element WHERE m IN (3, 15) GROUP BY 1, 2)
+SELECT a.icao, l.layer, coalesce(c, 0) AS rows FROM b_airport a CROSS JOIN (VALUES ('paintedcenterline'), ('runwaydisplacedarea'), ('positionmarking'), ('atcblindspot')) l(layer) LEFT JOIN n ON n.icao = a.icao AND n.layer = l.layer""")
+def k01(t):
+    return store.committed(t.spark, stored_build(t)).select("icao", "layer", "rows")
+
+
+@query("S30_layers_read_back", f"""WITH {RW} SELECT icao, 'paintedcenterline' AS layer, idrwy AS name, {r('gap')} AS size FROM rk WHERE icao IN (SELECT icao FROM b_airport) UNION ALL
+SELECT icao, 'runwaydisplacedarea', ident, {r('shift*width_m', 2)} FROM en WHERE shift > 0.5 AND icao IN (SELECT icao FROM b_airport) UNION ALL
+SELECT icao, 'positionmarking', icao || ':positionmarking:ov:' || eid, cast(0 AS double) FROM b_element WHERE m = 15 UNION ALL SELECT icao, 'atcblindspot', icao || ':atcblindspot:ov:' || eid, cast(2500 AS double) FROM b_element WHERE m = 3""")
+def s30(t):
+    root = stored_build(t)
+    layer = lambda n: store.read_layer(t.spark, root, n)
+    rows = [layer("paintedcenterline").select("icao", F.col("idrwy").alias("name"), rnd(shapes.line_length(F.col("geom")[0]), 3).alias("size")),
+            layer("runwaydisplacedarea").select("icao", F.col("idthr").alias("name"), rnd(shapes.geom_area("geom"), 2).alias("size")),
+            layer("positionmarking").select("icao", F.col("id").alias("name"), F.lit(0.0).alias("size")),
+            layer("atcblindspot").select("icao", F.col("id").alias("name"), rnd(shapes.geom_area("geom"), 2).alias("size"))]
+    return reduce(DataFrame.unionByName, [df.withColumn("layer", F.lit(n)) for n, df in zip(STORED, rows, strict=True)])
