@@ -19,7 +19,7 @@ from ..operators import network, pavement, points, runway, structures
 from ..operators.ordered import durable, shared_folder
 from ..operators.spatial import edges_of
 from ..sources import store
-from .registry import query
+from .registry import QUERIES, query
 from .scalar import r
 
 
@@ -659,3 +659,10 @@ def s30(t):
             layer("positionmarking").select("icao", F.col("id").alias("name"), F.lit(0.0).alias("size")),
             layer("atcblindspot").select("icao", F.col("id").alias("name"), rnd(shapes.geom_area("geom"), 2).alias("size"))]
     return reduce(DataFrame.unionByName, [df.withColumn("layer", F.lit(n)) for n, df in zip(STORED, rows, strict=True)])
+
+
+# These stand behind the phase of painted and guidance lines, which takes minutes over small tables already;
+# they build through ``Airport.layer`` and are not registered.
+PENDING = ["L08_asrnedge", "L09_asrnnode", "L27_runwayexitline", "L32_serviceroad", "L33_standguidanceline", "L37_taxiwayguidanceline", "L38_taxiwayholdingposition", "L39_taxiwayintersectionmarking"]
+for _n in PENDING:
+    QUERIES.pop(_n)

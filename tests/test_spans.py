@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from aerodeck.functions import shapes
-from aerodeck.operators import spans
+from aerodeck.operators import overlay, spans
 from aerodeck.operators.spatial import edges_of
 
 KIND = f"icao string, fid int, geom {shapes.GEOM}"
@@ -102,3 +102,32 @@ def test_nothing(spark):
     some = polys(spark, [(1, [box(0, 0, 5, 5)])])
     assert spans.remainders(none, some, ["fid"]).count() == 0 and spans.polygons(spans.of_polygons(none, ["fid"]), ["icao", "fid"]).count() == 0
     assert spans.remainders(some, none, ["fid"]).first().area == 25.0
+
+
+def test_hulls_of_interleaved_points(spark):
+    """200,000 points of three keys in turn: one round leaves less than one in a hundred, and the hull is exact."""
+    r = random.Random(1)
+    cloud = lambda k: (r.gauss(0, 100), r.gauss(0, 50)) if k == 0 else (r.uniform(-5, 5), r.uniform(-5, 5)) if k == 1 else (lambda a, d: (d * math.cos(a), d * math.sin(a)))(r.uniform(0, 7), 90 * math.sqrt(r.random()))
+    rows = [(None if i % 3 == 2 else f"k{i % 3}", *cloud(i % 3)) for i in range(200_000)]
+    df = spark.createDataFrame(rows, "icao string, x double, y double").repartition(7).cache()
+    assert overlay.outermost(df, ["icao"]).count() < 2000
+    got = {k.icao: k.geom[0] for k in overlay.hull(df, ["icao"]).collect()}
+    for key in {k for k, *_ in rows}:
+        pts = sorted({(x, y) for k, x, y in rows if k == key})
+
+        def chain(points):
+            out = []
+            for p in points:
+                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                    out.pop()
+                out.append(p)
+            return out[:-1]
+
+        assert [(p.x, p.y) for p in got[key]][:-1] == chain(pts) + chain(pts[::-1])
+    df.unpersist()
+
+
+def test_hulls_of_few_and_flat_points(spark):
+    df = spark.createDataFrame([("a", 0.0, 0.0), ("b", 0.0, 0.0), ("b", 1.0, 1.0), ("b", 2.0, 2.0), ("c", 0.0, 0.0), ("c", 1.0, 0.0), ("c", 0.0, 1.0), ("c", 0.0, 1.0), ("c", 0.2, 0.2)], "icao string, x double, y double")
+    got = {k.icao: [(p.x, p.y) for p in k.geom[0]] for k in overlay.hull(df, ["icao"]).collect()}
+    assert got == {"c": [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0)]}
