@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geo import bezier, bezier_steps, dist
 from . import ordered
@@ -116,24 +120,48 @@ def coded_runs(vertex: DataFrame, keys: list[str], closed: bool = False) -> Data
 
 
 def cut_pieces(vertex: DataFrame, keys: list[str], size: float = 150.0, tol: float = 1.0) -> DataFrame:
-    """Number the pieces of long lines on a grid of ``size`` metres of running distance.
+    """Number the pieces of lines; adds ``piece``, from 0.
 
-    A vertex closing one piece opens the next, so it belongs to both. The reference resets
-    its counter at every cut; a fixed grid needs no order-dependent state and differs only
-    in where the cuts fall.
+    A vertex nearer than ``tol`` to the last kept one is dropped; a piece that has run ``size`` metres is closed, and
+    the vertex that closes it opens the next. Pieces of one vertex go. Both rules look at what was kept before, so a
+    line is passed through in order, once, with a few numbers of state and never held; vertices without a
+    position are dropped.
     """
-    v = ordered.scan(vertex, keys, ["seq"], _px=ordered.lag("x"), _py=ordered.lag("y"))
-    # Vertices closer than ``tol`` are thinned on running distance, so a densely sampled curve keeps its shape.
-    v = v.withColumn("_d", F.coalesce(dist("_px", "_py", "x", "y"), F.lit(0.0)))
-    v = ordered.scan(v, keys, ["seq"], _run=ordered.running("_d")).withColumn("_step", F.floor(F.col("_run") / tol))
-    v = ordered.scan(v, keys, ["seq"], _ps=ordered.lag("_step"))
-    v = v.filter(F.col("_ps").isNull() | (F.col("_ps") != F.col("_step"))).drop("_px", "_py", "_d", "_run", "_step", "_ps")
-    v = ordered.scan(v, keys, ["seq"], _px=ordered.lag("x"), _py=ordered.lag("y"))
-    v = v.withColumn("_d", F.coalesce(dist("_px", "_py", "x", "y"), F.lit(0.0)))
-    v = ordered.scan(v, keys, ["seq"], cum=ordered.running("_d")).withColumn("piece", F.floor(F.col("cum") / size))
-    v = ordered.scan(v, keys, ["seq"], _pp=ordered.lag("piece"))
-    pieces = F.when(F.col("_pp").isNotNull() & (F.col("_pp") != F.col("piece")), F.array("_pp", "piece")).otherwise(F.array("piece"))
-    return v.withColumn("piece", F.explode(pieces)).drop("_px", "_py", "_d", "_pp")
+    names = vertex.columns
+    shape = T.StructType([*vertex.schema.fields, T.StructField("piece", T.LongType())])
+
+    def run(batches):
+        key, last, length, piece, held = None, (0.0, 0.0), 0.0, 0, None  # held: the first vertex of a piece, waiting for a second
+        for b in batches:
+            at, no = [], []
+            rows = zip(zip(*(b.column(names.index(k)).to_pylist() for k in keys), strict=True), b.column(names.index("x")).to_pylist(), b.column(names.index("y")).to_pylist(), strict=True)
+            for i, (k, x, y) in enumerate(rows):
+                if k != key or key is None:
+                    key, last, length, piece, held = k, (x, y), 0.0, 0, i
+                    continue
+                d = math.sqrt((x - last[0]) * (x - last[0]) + (y - last[1]) * (y - last[1]))
+                if d < tol:
+                    continue
+                if isinstance(held, int):
+                    at.append(held)
+                    no.append(piece)
+                elif held is not None:
+                    yield with_piece(held, [piece])
+                at.append(i)
+                no.append(piece)
+                held, last, length = None, (x, y), length + d
+                if length >= size:
+                    held, length, piece = i, 0.0, piece + 1
+            if at:
+                yield with_piece(b.take(pa.array(at)), no)
+            if isinstance(held, int):
+                held = b.take(pa.array([held]))
+
+    def with_piece(b, no):
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(no, pa.int64())], [*names, "piece"])
+
+    placed = vertex.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return placed.repartition(*keys).sortWithinPartitions(*keys, "seq").mapInArrow(run, shape)
 
 
 def cut_at(segs: DataFrame, keys: list[str], cuts: DataFrame, limit: float = 300.0) -> DataFrame:

@@ -559,10 +559,12 @@ def w09(t):
     return latest(t.b_runlog.filter("status <> 'error'"), ["ts", "event_id"], 12).select("event_id", "vehicle", "status")
 
 
-@query("W10_line_pieces", """WITH a AS (SELECT icao, fid, seq, x*3 AS x, y*3 AS y, lag(x*3) OVER w AS px, lag(y*3) OVER w AS py FROM b_vertex WINDOW w AS (PARTITION BY icao, fid ORDER BY seq)),
-a1 AS (SELECT *, floor(sum(coalesce(sqrt((x-px)*(x-px)+(y-py)*(y-py)), 0)) OVER (PARTITION BY icao, fid ORDER BY seq)) AS step FROM a), a2 AS (SELECT *, lag(step) OVER (PARTITION BY icao, fid ORDER BY seq) AS ps FROM a1), b AS (SELECT icao, fid, seq, x, y FROM a2 WHERE ps IS NULL OR ps <> step),
-d AS (SELECT *, sqrt(power(x-lag(x) OVER w, 2)+power(y-lag(y) OVER w, 2)) AS d FROM b WINDOW w AS (PARTITION BY icao, fid ORDER BY seq)), c AS (SELECT *, cast(floor(sum(coalesce(d, 0)) OVER (PARTITION BY icao, fid ORDER BY seq) / 150) AS bigint) AS piece FROM d),
-e AS (SELECT *, lag(piece) OVER (PARTITION BY icao, fid ORDER BY seq) AS pp FROM c) SELECT icao, fid, piece, count(*) AS points FROM (SELECT icao, fid, piece FROM e UNION ALL SELECT icao, fid, pp FROM e WHERE pp <> piece) q GROUP BY icao, fid, piece""")
+@query("W10_line_pieces", """SELECT icao, fid, piece, points FROM (WITH RECURSIVE v AS (SELECT icao, fid, cast(x*3 AS double) AS x, cast(y*3 AS double) AS y, row_number() OVER (PARTITION BY icao, fid ORDER BY seq) AS rn FROM b_vertex),
+k AS (SELECT icao, fid, rn, x AS lx, y AS ly, cast(0 AS double) AS len, cast(0 AS bigint) AS piece, true AS kept, false AS cut FROM v WHERE rn = 1 UNION ALL
+ SELECT icao, fid, rn, CASE WHEN d < 1 THEN lx ELSE x END, CASE WHEN d < 1 THEN ly ELSE y END, CASE WHEN d < 1 THEN len WHEN len + d >= 150 THEN 0 ELSE len + d END, CASE WHEN d >= 1 AND len + d >= 150 THEN piece + 1 ELSE piece END, d >= 1, d >= 1 AND len + d >= 150
+ FROM (SELECT v.*, k.lx, k.ly, k.len, k.piece, sqrt((v.x-k.lx)*(v.x-k.lx)+(v.y-k.ly)*(v.y-k.ly)) AS d FROM k JOIN v ON v.icao = k.icao AND v.fid = k.fid AND v.rn = k.rn + 1) j),
+e AS (SELECT icao, fid, CASE WHEN cut THEN piece - 1 ELSE piece END AS piece FROM k WHERE kept UNION ALL SELECT icao, fid, piece FROM k WHERE cut)
+SELECT icao, fid, piece, count(*) AS points FROM e GROUP BY icao, fid, piece HAVING count(*) > 1) z""")
 def w10(t):
     v = t.b_vertex.select("icao", "fid", "seq", (F.col("x") * 3).cast("double").alias("x"), (F.col("y") * 3).cast("double").alias("y"))
     return measure.cut_pieces(v, ["icao", "fid"]).groupBy("icao", "fid", "piece").agg(F.count(F.lit(1)).alias("points"))
