@@ -3,7 +3,8 @@
 Small inputs use one ordinary window. When a key may hold more rows than one task should
 see, the rows are range-partitioned on (keys, order), fixed by a checkpoint, scanned chunk
 by chunk, and the few keys that straddle chunk borders get their carries from a summary of
-at most two rows per chunk. Both ways give the same result.
+at most two rows per chunk. Both ways give the same rows; sums of doubles may differ in
+their last digits.
 """
 
 from __future__ import annotations
