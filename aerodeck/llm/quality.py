@@ -189,7 +189,8 @@ def score(docs: DataFrame, w: np.ndarray, s: Settings = Settings(), column: str
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s: Settings = Settings()) -> DataFrame:
     """The documents that the classifier does not reject, with their columns."""
     model = train(docs, labels.where(~held_out("doc_id", 5, 0)), s)
-    return score(docs, model, s, "_score").where(F.col("_score") >= threshold).drop("_score")
+    name = next(n for i in range(len(docs.columns) + 1) if (n := f"_score{i}") not in docs.columns)
+    return score(docs, model, s, name).where(F.col(name) >= threshold).drop(name)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ def steps(value: str) -> Column:
     """(previous character, character) of a string, from a start sign on; characters outside ASCII are one class."""
     plain = F.regexp_replace(value, "[^\\x21-\\x7E]", "?")
     padded = F.concat(F.lit("^"), plain)
-    return F.transform(F.sequence(F.lit(1), F.char_length(plain)), lambda i: padded.substr(i, F.lit(2)))
+    return F.regexp_extract_all(padded, F.lit("(?=(..))"), F.lit(1))
 
 
 CLASS_SIZES = {"lower": 26.0, "upper": 26.0, "digit": 10.0, "sign": 32.0}
@@ -134,19 +134,22 @@ def found(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def default_samples(scanned: DataFrame, docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(value, random): values of base spans, and long words of a bounded sample of other documents."""
+    """(value, random): values of base spans, and long words of a bounded sample of documents, those without base spans."""
     random = scanned.select(F.explode("base").alias("b")).select(F.regexp_replace("b.value", ASSIGNED, "").alias("value"), F.lit(True).alias("random"))
     some = sampled(docs.where("text IS NOT NULL").select("doc_id", "text"), "doc_id", s.sample)
+    some = some.where(F.size(base_spans()) == 0)
     words = F.filter(F.split("text", "[^A-Za-z0-9_-]+"), lambda w: (F.char_length(w) >= 8) & ~w.rlike("[0-9]{4}|[0-9a-f]{20}"))
     return random.unionByName(some.select(F.explode(words).alias("value"), F.lit(False).alias("random")))
 
 
 def judged(scanned: DataFrame, model: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``scanned`` with ``spans``: base spans and the tokens that look random, by start."""
-    tokens = scanned.select(F.explode("more").alias("m")).select("m.value").distinct()
-    scores = tokens.select("value", F.explode(steps("value")).alias("step")).join(F.broadcast(model), "step", "left").groupBy("value").agg((F.sum(F.coalesce("llr", F.lit(0.0))) / F.max(F.char_length("value"))).alias("ratio"))
-    random = scores.where(F.col("ratio") >= s.threshold).select("value")
-    rows = scanned.select("doc_id", "key", F.explode("more").alias("m")).select("doc_id", "key", "m", F.col("m.value").alias("value")).join(random, "value")
+    name = F.sha2("m.value", 256).alias("token")  # stands for the token where a row is made for each of its steps
+    every_token = scanned.select("doc_id", "key", F.explode("more").alias("m")).select("doc_id", "key", "m", name)
+    tokens = every_token.select("token", F.col("m.value").alias("value")).dropDuplicates(["token"])
+    each = tokens.select("token", F.explode(steps("value")).alias("step")).groupBy("token", "step").agg(F.count("*").alias("n"))
+    scores = each.join(F.broadcast(model), "step", "left").groupBy("token").agg((F.sum(F.coalesce("llr", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("ratio"))
+    rows = every_token.join(scores.where(F.col("ratio") >= s.threshold).select("token"), "token")
     added = rows.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("m")).alias("added"))
     left, right = scanned.drop("more").alias("s"), added.alias("a")
     both = left.join(right, F.col("s.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("s.key") == F.col("a.key")), "left")

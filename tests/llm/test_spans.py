@@ -114,3 +114,30 @@ def test_redaction_keeps_rows_and_columns(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert personal.extract(none).count() == 0 and secrets.scan(none).count() == 0 and secrets.redact(none).count() == 0
+
+
+def test_steps_of_a_token_of_a_megabyte(spark):
+    """Character steps take one pass, so that one very long token does not hold a scan up."""
+    short = [r.s for r in spark.createDataFrame([("ab?",), ("é",)], "v string").select(secrets.steps("v").alias("s")).collect()]
+    assert short == [["^a", "ab", "b?"], ["^?"]]
+    r = random.Random(6)
+    token = "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1_000_000))
+    docs = spark.createDataFrame([(1, f"see {token} here"), (2, "plain words of a text")], "doc_id long, text string")
+    samples = spark.createDataFrame([(token[i : i + 30], True) for i in range(0, 30_000, 30)] + [("identifier_of_words", False), ("some-other-name", False)] * 200, "value string, random boolean")
+    got = {x.doc_id: [(s.kind, s.start, s.end) for s in x.spans] for x in secrets.scan(docs, samples).collect()}
+    assert got == {1: [("markov", 4, 1_000_004)], 2: []}
+
+
+def test_identifiers_come_from_documents_without_base_spans(spark):
+    docs = spark.createDataFrame([(1, "token = abcdefghijkl besides_name"), (2, "ordinary_name another-name")], "doc_id long, text string")
+    got = {(x.value, x.random) for x in secrets.default_samples(secrets.found(docs), docs).collect()}
+    assert got == {("abcdefghijkl", True), ("ordinary_name", False), ("another-name", False)}
+
+
+def test_a_column_named_like_the_score_passes_through(spark):
+    from aerodeck.llm import quality
+
+    docs = spark.createDataFrame([(i, f"some words of text {i}", i, -i) for i in range(20)], "doc_id long, text string, _score int, _score0 int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    got = quality.keep_good(docs, labels, 0.0)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == {tuple(r) for r in docs.collect()}
