@@ -206,17 +206,6 @@ def length_band(n: str, rule: Rule):
     return F.floor(F.log(n) / F.lit(math.log(rule.den / rule.num))).cast("int")
 
 
-def with_earlier(left: DataFrame, most: int = 128) -> DataFrame:
-    """``left`` with the keys before each in its document, so that a pair is met at the first key it shares.
-
-    Beyond ``most`` keys a pair may be met more than once, which the distinct after it mends.
-    """
-    lists = left.groupBy("doc", "sig", "n", "comp").agg(F.array_sort(F.collect_set(F.struct("pos", "key"))).alias("_l"))
-    keys = lists.withColumn("_k", F.transform("_l", lambda s: s["key"]))
-    each = keys.select("doc", "sig", "n", "comp", "_k", F.posexplode("_l").alias("_i", "_s"))
-    return each.select("doc", "sig", "n", "comp", "_s.pos", "_s.key", F.slice("_k", F.lit(1), F.least("_i", F.lit(most))).alias("earlier"))
-
-
 def link_rows(left: DataFrame, texts_of: Callable[[DataFrame], DataFrame], links: DataFrame, rule: Rule, star_rounds: int = 2, slices: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that give the components of all sets that share a key and reach the rule.
 
@@ -236,8 +225,8 @@ def link_rows(left: DataFrame, texts_of: Callable[[DataFrame], DataFrame], links
             pivots = left.groupBy("key", "band").agg(F.min(by).alias("p")).select("key", "band", "p.doc", "p.sig", "p.n", "p.pos", "p.comp")
             met = left.alias("x").join(pivots.alias("y"), ["key", "band"])
         else:
-            rows = with_earlier(left)
-            met = rows.alias("x").join(rows.alias("y"), "key").where("x.doc < y.doc").where(~F.arrays_overlap("x.earlier", "y.earlier"))
+            # A pair is met at each key it shares; the distinct below drops the repeats before they are shuffled.
+            met = left.alias("x").join(left.alias("y"), "key").where("x.doc < y.doc")
         met = met.where("x.comp <> y.comp").where(possible(rule, "x", "y"))
         one, two = (F.struct(F.col(f"{side}.doc").alias("doc"), F.col(f"{side}.sig").alias("sig")) for side in ("x", "y"))
         pairs = met.select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).select(F.col("one.doc").alias("a"), F.col("one.sig").alias("a_sig"), F.col("two.doc").alias("b"), F.col("two.sig").alias("b_sig")).distinct()
