@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: s
         return z
     for turn in range(s.rounds):
         state = spark.sparkContext.broadcast((z, n))
-        made = sample.withColumn("shard", F.pmod(F.hash("doc_id"), F.lit(s.shards))).groupBy("shard").applyInPandas(shard_pass(state, turn, s), "rows long, z binary, n binary").orderBy("rows", "z").collect()
+        made = sample.withColumn("shard", F.pmod(F.hash("doc_id"), F.lit(s.shards))).groupBy("shard").applyInPandas(shard_pass(state, turn, s), "rows long, z binary, n binary").collect()
+        made.sort(key=lambda r: (r["rows"], bytes(r["z"])))  # one row a shard; sums are taken in a fixed order
         total = sum(r["rows"] for r in made)
         z = sum(np.frombuffer(r["z"]) * (r["rows"] / total) for r in made)
         n = sum(np.frombuffer(r["n"]) * (r["rows"] / total) for r in made)
