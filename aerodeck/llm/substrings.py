@@ -230,11 +230,25 @@ def extended(docs: DataFrame, marked: DataFrame, s: Settings) -> DataFrame:
     window = marked.where("window")
     begins = window.join(span.select("doc_id", "removed", "start"), ["doc_id", "removed", "start"], "left_semi").select("unit", F.lit(-1).alias("side"))
     stops = window.join(span.select("doc_id", "removed", "end"), ["doc_id", "removed", "end"], "left_semi").select("unit", F.lit(1).alias("side"))
-    beside = stored(contexts(docs, stored(begins.union(stops).distinct()), s))
-    each = beside.select("unit", "side", "doc_id", "start", F.posexplode("runs").alias("i", "run"))
-    first = each.groupBy("unit", "side", "i", "run").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("hi")).where("hi <> first.doc_id")
-    met = each.join(first, ["unit", "side", "i", "run"]).withColumn("removed", (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
-    far = met.groupBy("unit", "side", "doc_id", "start", "removed").agg(F.max(F.col("i") + 1).cast("int").alias("n"), F.max_by("first.doc_id", "i").alias("class_id"))
+    beside = stored(contexts(docs, stored(begins.union(stops).distinct()), s).withColumns({"n": F.size("runs"), "whole": F.try_element_at("runs", F.lit(-1))}))
+    # Occurrences with the same words beside them are one context; running hashes name it by its length and last one.
+    name = ["unit", "side", "n", "whole"]
+    context = beside.groupBy(*name).agg(F.min(F.struct("doc_id", "start")).alias("lo"), F.max("doc_id").alias("hi"), F.any_value("runs").alias("runs"))
+    each = context.select(*name, "lo", "hi", F.posexplode("runs").alias("i", "run"))
+    first = each.groupBy("unit", "side", "i", "run").agg(F.min("lo").alias("first"), F.max("hi").alias("top")).where("top <> first.doc_id")
+    met = each.select(*name, "i", "run").join(first.drop("top"), ["unit", "side", "i", "run"])
+    # With more words a class only gets smaller, so its first occurrence is the first of all longer ones it is in:
+    # an occurrence is removed up to some number of words, and kept beyond if it is the first of the longest class.
+    levels = met.groupBy(*name).agg(F.sort_array(F.collect_list(F.struct("i", "first")), asc=False).alias("l"))  # at most reach - 1
+    last = F.col("l")[0]
+    ends = levels.select(*name, last.alias("one"), F.get(F.filter("l", lambda x: x["first"] != last["first"]), F.lit(0)).alias("other"))
+    here = F.struct("doc_id", "start")
+    kept = F.struct(F.lit(False).alias("removed"), F.col("one.i").alias("i"), F.col("one.first").alias("first"))
+    gone = F.struct(F.lit(True).alias("removed"), F.col("one.i").alias("i"), F.col("one.first").alias("first"))
+    other = F.struct(F.lit(True).alias("removed"), F.col("other.i").alias("i"), F.col("other.first").alias("first"))
+    both = beside.drop("runs").join(ends, name).withColumn("first", here == F.col("one.first"))
+    far = both.select("unit", "side", "doc_id", "start", F.explode(F.when(~F.col("first"), F.array(gone)).when(F.col("other").isNull(), F.array(kept)).otherwise(F.array(kept, other))).alias("e"))
+    far = far.select("side", "doc_id", "start", "e.removed", (F.col("e.i") + 1).alias("n"), F.col("e.first.doc_id").alias("class_id"))
     left, end = F.col("side") < 0, F.col("start") + s.least
     return far.select("doc_id", F.when(left, F.col("start") - F.col("n")).otherwise(F.col("start")).alias("start"), F.when(left, end).otherwise(end + F.col("n")).alias("end"), "class_id", "removed")
 
