@@ -10,9 +10,10 @@ The topic of a document is its form, read from the whole text: a table (many bar
 or book by its number of words; a column ``topic`` can be named instead.
 
 Defined cases: a null text has no words and draws as a note; documents without words have probability 1 only if the
-weight says so (their cell has no tokens and keeps weight 1); null source or language is a value of its own; a value
-without a target keeps its actual share; rows with the same doc_id draw alike; rows without doc_id are drawn by an
-empty id; columns of ``docs`` pass through; an empty table gives an empty result.
+weight says so (their cell has no tokens and keeps weight 1); a null source or language counts as the empty string;
+a value without a target keeps its actual share; rows with the same doc_id draw alike; rows without doc_id are drawn by
+an empty id; columns of ``docs`` pass through, but one named like an added column (in either case) gives way to it; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 CELL = ["_source", "_lang", "_topic"]
+ADDED = ["_tokens", *CELL, "_weight", "_probability"]
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -100,7 +102,9 @@ def drawn(doc_id: str, seed: str) -> Column:
 
 def mix(docs: DataFrame, s: Settings = Settings(), targets: dict[str, DataFrame] | None = None, topic: str | None = None) -> DataFrame:
     """The sampled documents, with their columns and _tokens, the cell, _weight and _probability."""
-    rows = labelled(docs, topic)
+    if topic in docs.columns and topic.lower() in ADDED:
+        raise ValueError(f"rename the topic column: {topic} is a name of an added one")
+    rows = labelled(docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in ADDED)), topic)
     return rows.join(mixed_cells(rows, s, targets), CELL).where(drawn("doc_id", s.seed) < F.col("_probability"))
 
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import P1, mixed, stored, table
 
@@ -184,7 +185,7 @@ def score(docs: DataFrame, w: np.ndarray, s: Settings = Settings(), column: str
             logit = np.array([sum((s.gain if i else 1.0) * w[p].mean() for i, p in enumerate(blocks(t, tokens, s.bits))) for t in b.column(names.index("text")).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))), pa.float64())], [*names, column])
 
-    return docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{column}` double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s: Settings = Settings()) -> DataFrame:

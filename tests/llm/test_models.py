@@ -5,8 +5,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from aerodeck.llm import licenses, mixing, quality, toxicity
 from tests.harness import ROOT
 
@@ -138,6 +140,21 @@ def test_raking_against_brute_force(spark):
     assert mixing.mix(df.limit(0), s).count() == 0
 
 
+def test_columns_with_clashing_names(spark):
+    """Columns named like added ones give way, in mixing and in the last stage; all others pass through, of any type."""
+    docs = spark.createDataFrame([(i, "word " * (20 * i + 1), "en", "s", i, i, i, i) for i in range(40)], "doc_id long, text string, lang string, source string, _tokens long, _Weight long, mix_topic long, other long")
+    got = mixing.mix(docs)
+    assert got.columns.count("_tokens") == 1 and "_Weight" not in got.columns and all(r.other == r.doc_id and r._tokens == 20 * r.doc_id + 1 for r in got.collect())
+    last = corpus_pipeline.by_mixture(spark, docs, "")
+    assert last.columns == ["doc_id", "text", "lang", "source", "other", "mix_topic", "mix_tokens", "mix_weight", "mix_probability"]
+    assert {r.doc_id for r in last.collect()} == {r.doc_id for r in got.collect()} and {r.mix_topic for r in last.collect()} <= {"note", "article"}
+    with pytest.raises(ValueError):
+        mixing.mix(docs, topic="_tokens")
+    odd = docs.select("doc_id", "text", F.struct(F.col("other").alias("a b")).alias("nested"), F.lit(2.0).alias("_score"), F.lit(3.0).alias("_score0"))
+    kept = quality.score(odd, np.zeros(1 << quality.Settings().bits), column="_score1")
+    assert kept.columns == [*odd.columns, "_score1"] and {r[-1] for r in kept.collect()} == {0.5}
+
+
 def brute_license(text, templates=licenses.TEMPLATES, threshold=0.6):
     words = lambda t: [w for w in re.split(r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9])\.", t.lower()) if w]
     df = defaultdict(int)
