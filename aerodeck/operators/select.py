@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import NM_KM, c, haversine_km, rnd
 from ..functions.text import continent_code
-from .ordered import rank, scan, top_k
+from .ordered import rank, scan
 
 INTERNATIONAL = r"(?i)\b(international|intl|internacional|internationale|internazionale)\b"
 
@@ -118,6 +120,10 @@ def search_row(df: DataFrame) -> DataFrame:
     return df.select(F.col("icao").alias("idarpt"), "iata", elev.alias("elev"), F.coalesce("name", F.lit("")).alias("name"), "lat", "lon")
 
 
+def _cell_of(lat: str, lon: str, deg: float) -> tuple[Column, Column]:
+    return F.floor((F.col(lat) + 90) / deg).cast("int"), F.pmod(F.floor((F.col(lon) + 180) / deg).cast("int"), F.lit(int(round(360 / deg))))
+
+
 def position_cells(df: DataFrame, lat: str, lon: str, deg: float, reach_km: float = 0.0) -> DataFrame:
     """Rows keyed by latitude band and longitude cell, spread over cells within ``reach_km``.
 
@@ -125,8 +131,8 @@ def position_cells(df: DataFrame, lat: str, lon: str, deg: float, reach_km: floa
     """
     n = int(round(360 / deg))
     if reach_km == 0:
-        return (df.withColumn("band", F.floor((F.col(lat) + 90) / deg).cast("int"))
-                .withColumn("cell", F.pmod(F.floor((F.col(lon) + 180) / deg).cast("int"), F.lit(n))))
+        band, cell = _cell_of(lat, lon, deg)
+        return df.withColumn("band", band).withColumn("cell", cell)
     dlat = reach_km / 111.1 + 1e-9
     cols = df.withColumn("band", F.explode(F.sequence(F.floor((F.col(lat) - dlat + 90) / deg).cast("int"),
                                                       F.floor((F.col(lat) + dlat + 90) / deg).cast("int"))))
@@ -139,16 +145,69 @@ def position_cells(df: DataFrame, lat: str, lon: str, deg: float, reach_km: floa
     return cols.withColumn("cell", F.explode(F.sequence(lo, F.least(hi, lo + (n - 1))))).withColumn("cell", F.pmod("cell", F.lit(n)))
 
 
+FINE_LAT = 80.0
+LEVELS = 5
+
+
+def _rings(radius_km: float) -> tuple[float, list[tuple[float, float]]]:
+    """Widest cell in degrees, and (degrees, reach in km) of the finer ones, finest first.
+
+    Cells halve from level to level and divide the circle evenly. Two points of a cell of d degrees lie within
+    1.46 d of each other (d up to 45), so a cell that holds enough airports bounds the search by that reach.
+    """
+    widest = 360 / 2 ** max(2, math.floor(math.log2(360 / max(radius_km / 111.1, 0.01))))
+    fine = [(widest / 2 ** i, 1.46 * 111.3 * widest / 2 ** i) for i in range(1, LEVELS + 3)]
+    return widest, sorted((d, r) for d, r in fine if r < radius_km)[-LEVELS:]
+
+
+def _levels_of_cells(points: DataFrame, index: DataFrame, rings: list[tuple[float, float]], limit: int) -> DataFrame:
+    """(fine band, fine cell, level): the smallest cell round a finest cell that holds ``limit`` airports.
+
+    Airports are counted in the finest cells and rolled up, so each table is read once and no list is built.
+    """
+    up = F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(rings) - 1)), lambda lv: F.struct(
+        lv.alias("level"), F.floor(F.col("band") / F.pow(F.lit(2.0), lv)).cast("int").alias("band"), F.floor(F.col("cell") / F.pow(F.lit(2.0), lv)).cast("int").alias("cell"))))
+    held = position_cells(index, "alat", "alon", rings[0][0]).groupBy("band", "cell").agg(F.count(F.lit(1)).alias("n"))
+    full = held.select("n", up.alias("u")).groupBy("u.level", "u.band", "u.cell").agg(F.sum("n").alias("n")).filter(F.col("n") >= limit)
+    mine = points.select("band", "cell").distinct().select(F.col("band").alias("_fb"), F.col("cell").alias("_fc"), up.alias("u")).select("_fb", "_fc", "u.*")
+    return mine.join(full, ["level", "band", "cell"]).groupBy("_fb", "_fc").agg(F.min("level").alias("level"))
+
+
+def nearest_candidates(points: DataFrame, index: DataFrame, radius_km: float = 60, limit: int = 16, pid: str = "pid") -> DataFrame:
+    """Pairs (pid, icao, km) that hold the ``limit`` nearest airports within a radius of each point.
+
+    Each point searches the ring of the smallest cell round it that already holds ``limit`` airports, so the
+    pairs follow the density near the point and not the radius; where no cell does, the radius is the ring.
+    Beyond 80 degrees of latitude cells get narrow and the radius is searched. Rows without a position take no part.
+    """
+    widest, rings = _rings(radius_km)
+    a = index.select("icao", F.col("lat").alias("alat"), F.col("lon").alias("alon")).filter("alat IS NOT NULL AND alon IS NOT NULL")
+    p = points.select(pid, "lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL")
+    top = len(rings)
+    spread = position_cells(a, "alat", "alon", widest, radius_km).withColumn("level", F.lit(top))
+    if not rings:
+        p = position_cells(p, "lat", "lon", widest).withColumn("level", F.lit(top)).withColumn("_reach", F.lit(float(radius_km)))
+    else:
+        fine = position_cells(p, "lat", "lon", rings[0][0])
+        levels = _levels_of_cells(fine, a, rings, limit)
+        fine = fine.withColumnsRenamed({"band": "_fb", "cell": "_fc"}).join(levels, ["_fb", "_fc"], "left")
+        reach = F.array(*[F.lit(float(r)) for _, r in rings], F.lit(float(radius_km)))
+        inner = F.abs("lat") + F.get(reach, F.col("level")) / 111.1 <= FINE_LAT
+        fine = fine.withColumn("level", F.when(inner, F.col("level")).otherwise(F.lit(top)))
+        by_level = [F.struct(*[x.alias(n) for n, x in zip(("band", "cell"), _cell_of("lat", "lon", d), strict=True)]) for d in [*(d for d, _ in rings), widest]]
+        p = fine.select(pid, "lat", "lon", "level", F.get(F.array(*by_level), F.col("level")).alias("_c"), F.get(reach, F.col("level")).alias("_reach")).select(pid, "lat", "lon", "level", "_reach", "_c.*")
+        near_equator = a.filter(F.abs("alat") <= FINE_LAT)
+        for level, (d, r) in enumerate(rings):
+            spread = spread.unionByName(position_cells(near_equator, "alat", "alon", d, r).withColumn("level", F.lit(level)))
+    pairs = p.join(spread, ["level", "band", "cell"]).withColumn("km", haversine_km("lat", "lon", "alat", "alon"))
+    return pairs.filter((F.col("km") <= radius_km) & (F.col("km") <= F.col("_reach"))).select(pid, "icao", "km")
+
+
 def nearest_airports(points: DataFrame, index: DataFrame, radius_km: float = 60, limit: int = 16,
                      pid: str = "pid") -> DataFrame:
-    """Airports within a radius of many points, nearest first, with the distance in NM."""
-    deg = min(60.0, max(0.5, radius_km / 111.1))
-    deg = 360 / int(360 / deg)
-    # The index side is spread over the cells in reach; a point sits in one cell.
-    a = position_cells(index.select("icao", F.col("lat").alias("alat"), F.col("lon").alias("alon")), "alat", "alon", deg, radius_km)
-    p = position_cells(points.select(pid, "lat", "lon"), "lat", "lon", deg)
-    pairs = p.join(a, ["band", "cell"]).withColumn("km", haversine_km("lat", "lon", "alat", "alon")).filter(F.col("km") <= radius_km)
-    best = top_k(pairs.select(pid, "icao", "km"), [pid], ["km", "icao"], limit)
+    """The nearest airports within a radius of many points, nearest first (ties by code), with the distance in NM."""
+    near = W.partitionBy(pid).orderBy("km", "icao")
+    best = nearest_candidates(points, index, radius_km, limit, pid).withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= limit)
     return best.withColumn("distance_nm", rnd(F.col("km") / NM_KM, 2))
 
 

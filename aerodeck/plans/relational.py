@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import codes, geo, tags
@@ -27,8 +28,8 @@ SELECT i.icao, n_open, longest_ft, other, cast(rn AS int) AS rank, {r('km / 1.85
 def flagship(t):
     a = t.b_airport
     near = select.nearest_airports(a.withColumnRenamed("icao", "pid"), a, 3000, 4)
-    near = near.filter(F.col("pid") != F.col("icao"))
-    near = ordered.top_k(near.select("pid", "icao", "km", "distance_nm"), ["pid"], ["km", "icao"], 3)
+    near = near.filter(F.col("pid") != F.col("icao")).select("pid", "icao", "km", "distance_nm")
+    near = near.withColumn("rank", F.row_number().over(W.partitionBy("pid").orderBy("km", "icao"))).filter("rank <= 3")
     return (select.with_stats(a.select("icao"), t.b_runway)
             .join(near.select(F.col("pid").alias("icao"), F.col("icao").alias("other"), "rank", "distance_nm"), "icao", "left"))
 
