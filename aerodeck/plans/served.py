@@ -12,7 +12,7 @@ from ..sources import geojson
 from ..streaming import feeds
 from .registry import query
 from .relational import STATS, km_sql
-from .scalar import SEGS, r
+from .scalar import SEGS, _case, r
 
 
 @query("P34_client_ids", "SELECT icao, layer, fid, CASE layer WHEN 'parkingstandlocation' THEN 23 WHEN 'asrnnode' THEN 40 WHEN 'runwayelement' THEN 0 WHEN 'taxiwayelement' THEN 14 ELSE 28 END * 1000000 + row_number() OVER (PARTITION BY icao, layer ORDER BY fid) AS client_id FROM b_feature")
@@ -20,6 +20,38 @@ def p34(t):
     return client.client_ids(t.b_feature, ["fid"]).select("icao", "layer", "fid", "client_id")
 
 
+_PAIRS = "array_to_string([array_to_string([{pad} FOR d IN string_split(p, '/')], '.') FOR p IN string_split({v}, '+')], '_')"
+_PAD = "CASE WHEN regexp_matches({v}, '^[0-9]([^0-9]|$)') THEN '0' || {v} ELSE {v} END"
+
+
+def _rule_sql(rule) -> str:
+    kind, *a = rule
+    pairs = lambda v: _PAIRS.format(pad=_PAD.format(v="d"), v=v)
+    return {"fixed": lambda: "NULL" if a[0] is None else f"'{a[0]}'" if isinstance(a[0], str) else str(a[0]), "word": lambda: f"coalesce({', '.join([*a, 'NULL'])})", "number": lambda: f"coalesce({', '.join(a)}, -32767)",
+            "filled": lambda: f"nullif({a[0]}, '')", "dotted": lambda: f"replace({a[0]}, '|', '.')", "metres": lambda: f"coalesce({r(a[0] + '*0.3048', 2)}, -32767)", "coded": lambda: _case(a[0], a[1]), "runway": lambda: pairs(a[0]),
+            "threshold": lambda: _PAD.format(v=a[0]), "runway_end": lambda: f"coalesce(regexp_extract({pairs(a[0])}, '^[^._]+'), '')", "node": lambda: f"coalesce({a[0]} + 40000001, -32767)",
+            "equal": lambda: f"CASE WHEN {a[0]} = {a[1]} THEN 1 ELSE 0 END", "flag": lambda: f"CASE {a[0]} WHEN true THEN {a[1]} WHEN false THEN {a[2]} ELSE {a[3]} END", "first": lambda: f"coalesce({', '.join(map(_rule_sql, a))})"}[kind]()
+
+
+def _client_sql() -> str:
+    """One SELECT for each property of each layer; the features are numbered once."""
+    parts = []
+    for layer, rules in client.SCHEMA.items():
+        for name, rule in rules.items():
+            words = rule[0] in ("word", "filled", "dotted", "runway", "threshold", "runway_end", "first") or rule in (("fixed", None), ("fixed", "0001-00-00"))
+            v = _rule_sql(rule)
+            node = {"catstop": "AND nodetype = 5", "featref": "AND nodetype = 5", "idthr": "AND nodetype IN (2, 6)", "termref": "AND nodetype = 3"}.get(name, "") if layer == "asrnnode" else ""
+            parts.append(f"SELECT icao, layer, id, '{name}' AS property, cast({v if words else 'NULL'} AS varchar) AS text, cast({'NULL' if words else v} AS double) AS number FROM f WHERE layer = '{layer}' {node}")
+    number = "CASE layer " + " ".join(f"WHEN '{n}' THEN {v}" for n, v in codes.FEATURE_NUMBERS.items()) + " END"
+    ids = f"CASE WHEN layer = 'asrnnode' AND nodeid IS NOT NULL THEN nodeid + 40000001 ELSE {number} * 1000000 + row_number() OVER (PARTITION BY icao, layer ORDER BY fid) END"
+    return f"WITH f AS MATERIALIZED (SELECT *, {ids} AS id FROM b_attributes WHERE {number} IS NOT NULL) " + " UNION ALL ".join(parts)
+
+
+@query("P34_client_properties", _client_sql())
+def p34b(t):
+    return client.client_schema(t.b_attributes, ["fid"])
+
+
 @query("Q01_cycle_info", "SELECT o_orderkey, strftime(c, '%Y-%m-%d') AS cycle_start, strftime(c + 28, '%Y-%m-%d') AS cycle_end FROM (SELECT o_orderkey, date '2026-09-03' + cast(floor((cast(o_orderdate AS date) - date '2026-09-03') / 28) AS int) * 28 AS c FROM orders) q")
 def q01(t):
     d = lookups.cycle(t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("d")), "d")

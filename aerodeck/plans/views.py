@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from ..functions.codes import FEATURE_NUMBERS
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -19,6 +21,7 @@ def _code(k: str) -> str:
     return _CODE.replace("{k}", k)
 
 
+_PICK = "CASE ln " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate([*FEATURE_NUMBERS, "bridgeside"])) + " END"
 _N = "(SELECT count(*) FROM {supplier})"
 
 VIEWS: dict[str, str] = {
@@ -117,6 +120,26 @@ UNION ALL SELECT icao, 'asrnnode', nid, 'xplane', cast(x AS double), cast(y AS d
 UNION ALL SELECT icao, 'runwayelement', rid, source, (x0 + x1) / 2, (y0 + y1) / 2, NULL FROM {b_strip}
 UNION ALL SELECT icao, 'taxiwayelement', pid, source, x, y, name FROM {b_pavement}
 UNION ALL SELECT icao, 'verticalpointstructure', eid, 'osm', x, y, NULL FROM {b_element}""",
+    # Built features of every layer the client schema serves, their attributes side by side, with gaps.
+    "b_attributes": f"""
+SELECT icao, {_PICK} AS layer, fid, CASE WHEN q % 5 > 0 THEN concat('N', cast(q % 97 AS string)) WHEN q % 2 = 0 THEN '' END AS name,
+       CASE WHEN q % 3 = 0 THEN concat('I', cast(q % 89 AS string)) END AS iata, CASE WHEN q % 4 > 0 THEN cast(q % 9000 AS double) END AS elev,
+       CASE q % 4 WHEN 0 THEN '7L/25R' WHEN 1 THEN '07L/25R+18/36' WHEN 2 THEN '9/27' END AS idrwy, CASE q % 3 WHEN 0 THEN '7L/25R+9/27' WHEN 1 THEN '01/19+04/22' END AS idrwi,
+       CASE q % 4 WHEN 0 THEN '9R' WHEN 1 THEN '27' WHEN 2 THEN '4' END AS idthr, CASE WHEN q % 2 = 0 THEN '9L/27R' END AS idcross,
+       CASE WHEN q % 3 > 0 THEN concat('T', cast(q % 30 AS string)) END AS idlin, CASE WHEN q % 4 = 1 THEN concat('Apron ', cast(q % 8 AS string)) END AS idapron,
+       CASE WHEN q % 2 = 1 THEN concat('G', cast(q % 60 AS string)) END AS idstd, CASE q % 3 WHEN 0 THEN 'A320|B738|CRJ9' WHEN 1 THEN 'C172' END AS acft,
+       CASE WHEN q % 3 = 1 THEN concat('H', cast(q % 4 AS string)) END AS ident, CASE WHEN q % 2 = 0 THEN 'D1' END AS deicegrp, CASE WHEN q % 2 = 0 THEN concat('HS', cast(q % 6 AS string)) END AS idhot,
+       CASE WHEN q % 3 > 0 THEN cast(q % 60 AS double) + 0.5 END AS width, CASE WHEN q % 3 > 1 THEN cast(q % 4000 AS double) END AS length, CASE WHEN q % 2 > 0 THEN cast(q % 900 AS double) END AS tdze,
+       CASE WHEN q % 5 > 1 THEN cast(q % 360 AS double) + 0.25 END AS brngtrue, CASE WHEN q % 3 = 0 THEN cast(q % 360 AS double) END AS brngmag, CASE WHEN q % 2 = 0 THEN cast(q % 4001 AS double) END AS tora,
+       CASE WHEN q % 3 = 0 THEN cast(q % 4002 AS double) END AS toda, CASE WHEN q % 4 = 0 THEN cast(q % 4003 AS double) END AS asda, CASE WHEN q % 5 = 0 THEN cast(q % 4004 AS double) END AS lda,
+       CASE WHEN q % 4 > 0 THEN cast(q % 66 AS double) END AS wingspan, CASE WHEN q % 3 > 0 THEN 118 + cast(q % 18 AS double) / 8 END AS frq, CASE WHEN q % 3 > 0 THEN cast(q % 90 AS double) END AS height,
+       CASE WHEN q % 6 > 0 THEN cast(q % 700 AS double) END AS edgelen, CASE WHEN q % 20 < 17 THEN cast(q % 20 AS int) END AS surftype, CASE WHEN q % 6 < 5 THEN cast(q % 6 AS int) END AS status,
+       CASE WHEN q % 7 < 6 THEN cast(q % 7 AS int) END AS vasis, CASE WHEN q % 5 > 0 THEN cast(q % 5 AS int) END AS thrtype, CASE WHEN q % 5 > 0 THEN cast(q % 5 AS int) END AS style,
+       CASE WHEN q % 5 > 0 THEN cast(q % 5 AS int) END AS direc, CASE WHEN q % 7 > 0 THEN cast(q % 7 AS int) END AS catstop, CASE WHEN q % 9 > 0 THEN cast(q % 9 AS int) END AS plysttyp,
+       CASE WHEN q % 11 > 0 THEN cast(q % 11 AS int) END AS pntsttyp, CASE WHEN q % 7 > 0 THEN cast(q % 7 AS int) END AS linsttyp, CASE WHEN q % 8 > 0 THEN cast(q % 8 AS int) END AS edgetype,
+       CASE WHEN q % 10 > 0 THEN cast(q % 10 AS int) END AS nodetype, CASE q % 3 WHEN 0 THEN true WHEN 1 THEN false END AS bridge, CASE q % 3 WHEN 1 THEN true WHEN 2 THEN false END AS jetway,
+       CASE WHEN q % 9 > 0 THEN q END AS stnode, CASE WHEN q % 8 > 0 THEN q + 1 END AS ennode, CASE WHEN q % 7 > 0 THEN fid END AS nodeid
+FROM (SELECT icao, sid AS fid, cast(floor(sid / 4) AS bigint) AS q, sid % 37 AS ln FROM {{b_stand}}) t""",
 }
 
 
