@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import codes, geo, shapes
 from ..functions.geo import rnd
 from ..operators import client, lookups, manifest, maps, measure, progress, select
-
+from ..operators.ordered import shared_folder
 from ..sources import geojson
 from ..streaming import feeds
+from . import views
 from .registry import query
 from .relational import STATS, km_sql
 from .scalar import SEGS, _case, r
@@ -194,3 +197,12 @@ def z02(t):
     return feeds.nearest_stream(t.b_runlog, t.b_airport).select("event_id", "icao")
 
 
+@query("Z03_change_events", f"""WITH q AS (SELECT event_id, a.icao, {km_sql('l.lat', 'l.lon', 'a.lat', 'a.lon')} AS km FROM b_runlog l JOIN b_airport a ON abs(l.lat - a.lat) <= 15), k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY km, icao) AS rn FROM q WHERE km <= 1500),
+n AS (SELECT l.event_id, l.vehicle, k.icao, lag(k.icao) OVER w AS held, l.ts - lag(l.ts) OVER w > INTERVAL 30 DAY AS anew FROM b_runlog l LEFT JOIN k ON k.event_id = l.event_id AND rn = 1 WHERE l.vehicle IS NOT NULL WINDOW w AS (PARTITION BY l.vehicle ORDER BY l.ts, l.event_id))
+SELECT vehicle, event_id, icao FROM n WHERE icao IS DISTINCT FROM held OR (anew AND icao IS NOT NULL)""")
+def z03(t):
+    work = f"{shared_folder(t.spark)}/changes-{uuid.uuid4().hex}"
+    source = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/event[s].parquet")
+    feed = t.spark.sql(views.VIEWS["b_runlog"], events=source)
+    feeds.run_changes(feeds.nearest_stream(feed, t.b_airport), f"{work}/out", f"{work}/state")
+    return t.spark.read.schema(feeds.CHANGE).parquet(f"{work}/out")
