@@ -82,7 +82,7 @@ def united(spans: DataFrame, keys: list[str]) -> DataFrame:
     return run.groupBy(*keys, "row", "_run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_run")
 
 
-def _bucketed(spans: DataFrame, bucket: float) -> DataFrame:
+def bucketed(spans: DataFrame, bucket: float) -> DataFrame:
     """Spans cut at the borders of buckets of x."""
     s = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("x0") / bucket).cast("int"), F.floor(F.col("x1") / bucket).cast("int"))))
     return s.withColumn("x0", F.greatest("x0", F.col("_b") * bucket)).withColumn("x1", F.least("x1", (F.col("_b") + 1) * bucket)).filter("x1 > x0")
@@ -90,9 +90,9 @@ def _bucketed(spans: DataFrame, bucket: float) -> DataFrame:
 
 def _met(spans: DataFrame, others: DataFrame, key: str, bucket: float) -> DataFrame:
     """Cut ``spans`` with ``_o``, the merged spans of ``others`` in their row and bucket."""
-    cells = united(_bucketed(others, bucket), [key, "_b"])
+    cells = united(bucketed(others, bucket), [key, "_b"])
     lists = cells.groupBy(key, "row", "_b").agg(F.array_sort(F.collect_list(F.struct("x0", "x1"))).alias("_o"))
-    return _bucketed(spans, bucket).join(lists, [key, "row", "_b"], "left").withColumn("_o", F.coalesce("_o", F.array().cast(f"array<{SPAN}>")))
+    return bucketed(spans, bucket).join(lists, [key, "row", "_b"], "left").withColumn("_o", F.coalesce("_o", F.array().cast(f"array<{SPAN}>")))
 
 
 def _pieces(met: DataFrame, pieces: Column, fid: list[str], key: str) -> DataFrame:
@@ -118,12 +118,14 @@ def measured(spans: DataFrame, keys: list[str], step: float = STEP) -> DataFrame
     return spans.groupBy(*keys).agg((F.sum(F.col("x1") - F.col("x0")) * step).alias("area"))
 
 
-def rings_of(spans: list, step: float) -> list[list[list[tuple[float, float]]]]:
+def rings_of(spans: list, step: float, square: bool = False) -> list[list[list[tuple[float, float]]]]:
     """Polygons (outer ring counter-clockwise, then holes) of one feature's spans (row, x0, x1).
 
     Every span has a left end, passed downwards, and a right end, passed upwards. Between neighbouring rows an
     end goes on to the outer end of what it overlaps, or turns round along the border of the rows, and so each
-    end has one successor; the cycles are the rings.
+    end has one successor; the cycles are the rings. An end that goes on is joined to the next by a straight side,
+    which follows slanted sides and cuts a step by half a row; ``square`` draws the step along the border of the
+    rows instead, which is exact for shapes with sides along the axes.
     """
     spans = sorted(tuple(s) for s in spans)
     by_row: dict[int, list[int]] = {}
@@ -187,7 +189,7 @@ def rings_of(spans: list, step: float) -> list[list[list[tuple[float, float]]]]:
             (i, side), (to, turns) = at, after[at]
             row, x = spans[i][0], spans[i][1 + side]
             ring.append((x, (row + 0.5) * step))
-            if turns:
+            if turns or square:
                 border = (row + 1 if side else row) * step
                 ring += [(x, border), (spans[to[0]][1 + to[1]], border)]
             at = to
@@ -199,12 +201,12 @@ def rings_of(spans: list, step: float) -> list[list[list[tuple[float, float]]]]:
     return [[*rings, *holes.get(k, [])] for k, rings in sorted(outer.items(), key=lambda kv: kv[1][0][0])]
 
 
-def polygons(spans: DataFrame, keys: list[str], step: float = STEP) -> DataFrame:
+def polygons(spans: DataFrame, keys: list[str], step: float = STEP, square: bool = False) -> DataFrame:
     """(keys, part, geom, area): the connected parts of each feature's spans as closed rings.
 
     The spans of one feature meet in a row; merged, they are bounded by its height and its width over gaps.
     """
-    trace = F.udf(lambda s: [[[(float(x), float(y)) for x, y in ring] for ring in poly] for poly in rings_of(s, step)], f"array<{shapes.GEOM}>", useArrow=False)
+    trace = F.udf(lambda s: [[[(float(x), float(y)) for x, y in ring] for ring in poly] for poly in rings_of(s, step, square)], f"array<{shapes.GEOM}>", useArrow=False)
     one = united(spans, keys).groupBy(*keys).agg(F.collect_list(F.struct("row", "x0", "x1")).alias("_s"))
     out = one.select(*keys, F.posexplode(trace("_s")).alias("part", "geom"))
     return out.withColumn("area", shapes.geom_area("geom"))

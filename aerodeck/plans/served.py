@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import codes, geo, shapes
 from ..functions.geo import rnd
 from ..operators import client, lookups, manifest, maps, measure, progress, select
-from ..operators.ordered import shared_folder
+from ..operators.ordered import durable, shared_folder
 from ..sources import geojson
 from ..streaming import feeds
 from . import views
 from .registry import query
 from .relational import STATS, km_sql
-from .scalar import SEGS, _case, r
+from .scalar import SEGS, _case, r, vertex_segments
+from .spatial import sd
 
 
 @query("P34_client_ids", "SELECT icao, layer, fid, CASE layer WHEN 'parkingstandlocation' THEN 23 WHEN 'asrnnode' THEN 40 WHEN 'runwayelement' THEN 0 WHEN 'taxiwayelement' THEN 14 ELSE 28 END * 1000000 + row_number() OVER (PARTITION BY icao, layer ORDER BY fid) AS client_id FROM b_feature")
@@ -206,3 +208,90 @@ def z03(t):
     feed = t.spark.sql(views.VIEWS["b_runlog"], events=source)
     feeds.run_changes(feeds.nearest_stream(feed, t.b_airport), f"{work}/out", f"{work}/state")
     return t.spark.read.schema(feeds.CHANGE).parquet(f"{work}/out")
+
+
+def pavement_rects(t):
+    """All pavement, turned to the axes and moved together, so that most of it overlaps."""
+    return t.b_pavement.select("icao", F.array(shapes.rect_along(F.floor(F.col("x") / 8).cast("double"), F.floor(F.col("y") / 8).cast("double"), F.lit(0.0), "len", "wid")).alias("geom"))
+
+
+def _slabs(p: str, v0: str, v1: str, u0: str, u1: str) -> str:
+    """Merged intervals of u in each slab between neighbouring ends of v: new length and whether a run begins."""
+    return f"""{p}e AS (SELECT icao, {v0} AS v FROM p UNION SELECT icao, {v1} FROM p), {p}s AS (SELECT icao, v, lead(v) OVER (PARTITION BY icao ORDER BY v) AS w FROM {p}e),
+{p}m AS (SELECT s.icao, w - v AS h, {u0} AS a, {u1} AS z, max({u1}) OVER (PARTITION BY s.icao, v ORDER BY {u0}, {u1} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM {p}s s JOIN p ON p.icao = s.icao AND {v0} <= v AND {v1} >= w),
+{p} AS (SELECT icao, sum(h * greatest(0, z - greatest(a, coalesce(reached, a)))) AS area, sum(CASE WHEN reached IS NULL OR reached < a THEN 2 * h ELSE 0 END) AS sides FROM {p}m GROUP BY icao)"""
+
+
+@query("Q09_outline", f"""WITH p AS (SELECT icao, floor(x/8) - wid/2 AS x0, floor(x/8) + wid/2 AS x1, floor(y/8) AS y0, floor(y/8) + len AS y1 FROM b_pavement), {_slabs('r', 'y0', 'y1', 'x0', 'x1')}, {_slabs('c', 'x0', 'x1', 'y0', 'y1')}
+SELECT r.icao, {r('r.area', 2)} AS area, {r('r.sides + c.sides', 2)} AS outline FROM r JOIN c ON c.icao = r.icao""")
+def q09(t):
+    parts = durable(maps.tile_parts(pavement_rects(t), square=True))
+    lines = maps.outline(parts)
+    w = W.partitionBy("icao", "tile_x", "tile_y", "line").orderBy("seq")
+    d = geo.dist("x", "y", F.lag("x").over(w), F.lag("y").over(w))
+    long = lines.withColumn("_d", d).groupBy("icao").agg(rnd(F.sum("_d"), 2).alias("outline"))
+    return parts.groupBy("icao").agg(rnd(F.sum("area"), 2).alias("area")).join(long, "icao")
+
+
+LABELS = f"""gl AS (SELECT icao, fid, round(sum(sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0))), 6) AS length FROM segs GROUP BY 1, 2), gm AS (SELECT icao, fid, (arg_min(x, seq) + arg_max(x, seq))/2 AS x, (arg_min(y, seq) + arg_max(y, seq))/2 AS y FROM b_vertex GROUP BY 1, 2),
+tw AS (SELECT icao, 'T' || fid % 10 AS label, length, x, y, row_number() OVER (PARTITION BY icao, fid % 10 ORDER BY length DESC, fid) AS rn FROM gl JOIN gm USING (icao, fid)),
+lm AS (SELECT icao, name AS label, x, y, row_number() OVER (PARTITION BY icao, name ORDER BY len*wid DESC, pid) AS rn FROM b_pavement WHERE name IS NOT NULL),
+lb AS (SELECT icao, 1 AS kind, label, x, y FROM tw WHERE rn = 1 AND length >= 40 UNION ALL SELECT icao, 2, ident0, x0 - sin(radians(hd))*55, y0 - cos(radians(hd))*55 FROM b_strip UNION ALL SELECT icao, 2, ident1, x1 - sin(radians(hd + 180))*55, y1 - cos(radians(hd + 180))*55 FROM b_strip
+ UNION ALL SELECT icao, 3, 'G' || sid % 40, x, y FROM b_stand UNION ALL SELECT icao, 4, label, x, y FROM lm WHERE rn = 1)"""
+
+
+def labels(t):
+    g = t.b_vertex.groupBy("icao", "fid").agg(F.min_by(F.struct("x", "y"), "seq").alias("a"), F.max_by(F.struct("x", "y"), "seq").alias("z"))
+    long = vertex_segments(t).groupBy("icao", "fid").agg(rnd(F.sum(geo.dist("ax", "ay", "bx", "by")), 6).alias("length"))
+    guides = long.join(g, ["icao", "fid"]).select("icao", "fid", F.concat(F.lit("T"), (F.col("fid") % 10).cast("string")).alias("idlin"), "length", ((F.col("a.x") + F.col("z.x")) / 2).alias("mid_x"), ((F.col("a.y") + F.col("z.y")) / 2).alias("mid_y"))
+    end = lambda n, x, y, turn: t.b_strip.select("icao", F.col(n).alias("idthr"), F.col(x).alias("x"), F.col(y).alias("y"), (F.col("hd") + turn).alias("brngtrue"))
+    stands = t.b_stand.select("icao", F.concat(F.lit("G"), (F.col("sid") % 40).cast("string")).alias("idstd"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    marks = t.b_pavement.select("icao", F.col("pid").alias("fid"), "name", (F.col("len") * F.col("wid")).alias("area"), "x", "y")
+    return maps.label_set(guides, end("ident0", "ax", "ay", 0).unionByName(end("ident1", "bx", "by", 180)), stands, marks)
+
+
+@query("Q10_label_set", f"WITH {SEGS}, {LABELS} SELECT icao, kind, label, {r('x')} AS x, {r('y')} AS y FROM lb")
+def q10(t):
+    return labels(t).select("icao", "kind", "label", rnd("x", 3).alias("x"), rnd("y", 3).alias("y"))
+
+
+def stretched(t):
+    return t.b_vertex.select("icao", "fid", "seq", (F.col("x") * 4).cast("double").alias("x"), (F.col("y") * 4).cast("double").alias("y"))
+
+
+@query("Q11_coarse_lines", f"""WITH q AS (SELECT icao, fid, seq, cast(x*4 AS double) AS px, cast(y*4 AS double) AS py, row_number() OVER w AS rn, cast(lag(x*4) OVER w AS double) AS x0, cast(lag(y*4) OVER w AS double) AS y0, cast(lead(x*4) OVER w AS double) AS x1, cast(lead(y*4) OVER w AS double) AS y1 FROM b_vertex WINDOW w AS (PARTITION BY icao, fid ORDER BY seq))
+SELECT icao, fid, count(*) AS kept, sum(px) AS sum_x, sum(py) AS sum_y FROM q WHERE NOT coalesce(x0 IS NOT NULL AND x1 IS NOT NULL AND rn % 2 = 0 AND {sd('px', 'py')} < 20, false) GROUP BY 1, 2""")
+def q11(t):
+    far = measure.thin(stretched(t), ["icao", "fid"], 20.0, passes=1)
+    return far.groupBy("icao", "fid").agg(F.count(F.lit(1)).alias("kept"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+
+
+def _slim_sql(extract: str) -> str:
+    words = ("idrwy", "idlin", "idapron", "name", "idstd", "idthr", "idhot", "iata")
+    have = (*words, "width", "length", "surftype", "plysttyp", "catstop", "brngtrue", "tora", "lda", "frq", "elev", "pntsttyp")
+    case = lambda n: f"CASE WHEN {n} IS NOT NULL THEN '\"{n}\":' || " + (f"'\"' || {n} || '\"'" if n in words else f"cast({n} AS varchar)") + " END"
+    rows = " ".join(f"WHEN '{k}' THEN concat_ws(',', {', '.join(case(n) for n in ns if n in have)})" for k, ns in maps.SLIM_PROPERTIES.items() if any(n in have for n in ns))
+    listed = ", ".join(f"'{n}'" for n in maps.SLIM_LAYERS[extract])
+    return f"SELECT '{extract}' AS extract, icao, layer, fid, '{{' || coalesce(CASE layer {rows} END, '') || '}}' AS value FROM b_attributes WHERE layer IN ({listed})"
+
+
+@query("K09_slim_extracts", f"{_slim_sql('viewer')} UNION ALL {_slim_sql('chart')}")
+def k09(t):
+    one = lambda n: maps.slim(t.b_attributes, n, ["fid"]).withColumn("extract", F.lit(n))
+    return one("viewer").unionByName(one("chart"))
+
+
+@query("K10_tile_extract", f"""WITH {SEGS}, {LABELS}, e AS (SELECT * FROM (WITH RECURSIVE v AS (SELECT icao, fid, cast(x*4 AS double) AS x, cast(y*4 AS double) AS y, row_number() OVER (PARTITION BY icao, fid ORDER BY seq) AS rn FROM b_vertex),
+k AS (SELECT icao, fid, rn, x AS lx, y AS ly, cast(0 AS double) AS len, cast(0 AS bigint) AS piece, true AS kept, false AS cut FROM v WHERE rn = 1 UNION ALL
+ SELECT icao, fid, rn, CASE WHEN d < 1 THEN lx ELSE x END, CASE WHEN d < 1 THEN ly ELSE y END, CASE WHEN d < 1 THEN len WHEN len + d >= 150 THEN 0 ELSE len + d END, CASE WHEN d >= 1 AND len + d >= 150 THEN piece + 1 ELSE piece END, d >= 1, d >= 1 AND len + d >= 150
+ FROM (SELECT v.*, k.lx, k.ly, k.len, k.piece, sqrt((v.x-k.lx)*(v.x-k.lx)+(v.y-k.ly)*(v.y-k.ly)) AS d FROM k JOIN v ON v.icao = k.icao AND v.fid = k.fid AND v.rn = k.rn + 1) j)
+ SELECT icao, fid, rn, lx AS x, ly AS y, CASE WHEN cut THEN piece - 1 ELSE piece END AS piece FROM k WHERE kept UNION ALL SELECT icao, fid, rn, lx, ly, piece FROM k WHERE cut) z),
+pc AS (SELECT icao, floor(arg_min(x, rn)/300) AS tx, floor(arg_min(y, rn)/300) AS ty, count(*) AS n, sum(round(x)) AS sx, min(round(x)) AS x0, min(round(y)) AS y0, max(round(x)) AS x1, max(round(y)) AS y1 FROM e GROUP BY icao, fid, piece HAVING count(*) > 1 AND max(greatest(abs(x), abs(y))) <= 20000),
+al AS (SELECT icao, tx, ty, 1 AS l, n, sx, 0 AS t, x0, y0, x1, y1 FROM pc UNION ALL SELECT icao, floor(x/300), floor(y/300), 0, 0, 0, 1, round(x), round(y), round(x), round(y) FROM lb)
+SELECT icao, cast(tx AS bigint) AS tile_x, cast(ty AS bigint) AS tile_y, cast(min(x0) AS bigint) AS min_x, cast(min(y0) AS bigint) AS min_y, cast(max(x1) AS bigint) AS max_x, cast(max(y1) AS bigint) AS max_y, cast(sum(l) AS bigint) AS lines, cast(sum(n) AS bigint) AS points, cast(sum(sx) AS bigint) AS sum_x, cast(sum(t) AS bigint) AS labels FROM al GROUP BY 1, 2, 3""")
+def k10(t):
+    pieces = measure.cut_pieces(stretched(t), ["icao", "fid"]).withColumn("layer", F.lit("guide"))
+    e = maps.tile_extract(pieces, labels(t))
+    points = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, p: a + F.size(p.points))
+    sum_x = F.aggregate(F.flatten(F.transform("lines", lambda p: p.points)), F.lit(0).cast("bigint"), lambda a, p: a + p.x)
+    return e.select("icao", "tile_x", "tile_y", "min_x", "min_y", "max_x", "max_y", F.size("lines").cast("bigint").alias("lines"), points.alias("points"), sum_x.alias("sum_x"), F.size("labels").cast("bigint").alias("labels"))
