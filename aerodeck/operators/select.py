@@ -133,16 +133,21 @@ def position_cells(df: DataFrame, lat: str, lon: str, deg: float, reach_km: floa
     if reach_km == 0:
         band, cell = _cell_of(lat, lon, deg)
         return df.withColumn("band", band).withColumn("cell", cell)
+    return _spread(df, lat, lon, F.lit(float(deg)), F.lit(float(reach_km)))
+
+
+def _spread(df: DataFrame, lat: str, lon: str, deg: Column, reach_km: Column) -> DataFrame:
+    n = F.round(360 / deg).cast("int")
     dlat = reach_km / 111.1 + 1e-9
     cols = df.withColumn("band", F.explode(F.sequence(F.floor((F.col(lat) - dlat + 90) / deg).cast("int"),
                                                       F.floor((F.col(lat) + dlat + 90) / deg).cast("int"))))
     far = F.least(F.abs(F.col(lat)) + dlat, F.lit(90.0))
     # Half-width in longitude of a cap of the given radius, exact on the sphere.
-    half = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(dlat))) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-9)))))
-    whole = (far >= 90.0) | F.lit(dlat >= 90.0)
+    half = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(dlat)) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-9)))))
+    whole = far >= 90.0
     lo = F.when(whole, 0).otherwise(F.floor((F.col(lon) - half + 180) / deg)).cast("int")
     hi = F.when(whole, n - 1).otherwise(F.floor((F.col(lon) + half + 180) / deg)).cast("int")
-    return cols.withColumn("cell", F.explode(F.sequence(lo, F.least(hi, lo + (n - 1))))).withColumn("cell", F.pmod("cell", F.lit(n)))
+    return cols.withColumn("cell", F.explode(F.sequence(lo, F.least(hi, lo + (n - 1))))).withColumn("cell", F.pmod("cell", n))
 
 
 FINE_LAT = 80.0
@@ -184,7 +189,9 @@ def nearest_candidates(points: DataFrame, index: DataFrame, radius_km: float = 6
     a = index.select("icao", F.col("lat").alias("alat"), F.col("lon").alias("alon")).filter("alat IS NOT NULL AND alon IS NOT NULL")
     p = points.select(pid, "lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL")
     top = len(rings)
-    spread = position_cells(a, "alat", "alon", widest, radius_km).withColumn("level", F.lit(top))
+    sizes = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(float(d)).alias("deg"), F.lit(float(r)).alias("reach")) for i, (d, r) in enumerate([*rings, (widest, radius_km)])])
+    each = a.withColumn("_l", F.explode(sizes)).filter((F.col("_l.level") == top) | (F.abs("alat") <= FINE_LAT))
+    spread = _spread(each, "alat", "alon", F.col("_l.deg"), F.col("_l.reach")).select("icao", "alat", "alon", F.col("_l.level").alias("level"), "band", "cell")
     if not rings:
         p = position_cells(p, "lat", "lon", widest).withColumn("level", F.lit(top)).withColumn("_reach", F.lit(float(radius_km)))
     else:
@@ -196,9 +203,6 @@ def nearest_candidates(points: DataFrame, index: DataFrame, radius_km: float = 6
         fine = fine.withColumn("level", F.when(inner, F.col("level")).otherwise(F.lit(top)))
         by_level = [F.struct(*[x.alias(n) for n, x in zip(("band", "cell"), _cell_of("lat", "lon", d), strict=True)]) for d in [*(d for d, _ in rings), widest]]
         p = fine.select(pid, "lat", "lon", "level", F.get(F.array(*by_level), F.col("level")).alias("_c"), F.get(reach, F.col("level")).alias("_reach")).select(pid, "lat", "lon", "level", "_reach", "_c.*")
-        near_equator = a.filter(F.abs("alat") <= FINE_LAT)
-        for level, (d, r) in enumerate(rings):
-            spread = spread.unionByName(position_cells(near_equator, "alat", "alon", d, r).withColumn("level", F.lit(level)))
     pairs = p.join(spread, ["level", "band", "cell"]).withColumn("km", haversine_km("lat", "lon", "alat", "alon"))
     return pairs.filter((F.col("km") <= radius_km) & (F.col("km") <= F.col("_reach"))).select(pid, "icao", "km")
 
