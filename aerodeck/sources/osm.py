@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tags as T
 from ..functions import text
 from ..operators.ordered import durable, rank, scan
+from ..operators.spatial import shuffled
 
 TAG_ROWS = "tag array<struct<_k:string,_v:string>>"
 XML_SCHEMAS = {
@@ -101,15 +102,15 @@ def assemble_rings(fragments: DataFrame, digits: int = 9, max_rounds: int = 40)
     half = durable(fwd.unionByName(bwd))
     nxt = half.select("grp", F.col("frag").alias("nf"), F.col("dir").alias("nd"), F.col("a").alias("b"))
     # At an end point with more than two fragments the smallest other one continues.
-    succ = half.join(nxt, ["grp", "b"]).filter("nf <> frag").groupBy("grp", "frag", "dir").agg(F.min(F.struct("nf", "nd")).alias("s"))
-    succ = half.select("grp", "frag", "dir").join(succ, ["grp", "frag", "dir"], "left").select("grp", "frag", "dir", "s.nf", "s.nd")
+    succ = half.join(shuffled(nxt), ["grp", "b"]).filter("nf <> frag").groupBy("grp", "frag", "dir").agg(F.min(F.struct("nf", "nd")).alias("s"))
+    succ = half.select("grp", "frag", "dir").join(shuffled(succ), ["grp", "frag", "dir"], "left").select("grp", "frag", "dir", "s.nf", "s.nd")
     # A fork could give one link two predecessors: keep the smallest so chains stay chains.
     back = succ.filter("nf IS NOT NULL").groupBy("grp", "nf", "nd").agg(F.min(F.struct("frag", "dir")).alias("w")).select("grp", "nf", "nd", F.col("w.frag").alias("frag"), F.col("w.dir").alias("dir"))
-    link = durable(half.select("grp", "frag", "dir").join(back, ["grp", "frag", "dir"], "left"))
+    link = durable(half.select("grp", "frag", "dir").join(shuffled(back), ["grp", "frag", "dir"], "left"))
 
     def double(state: DataFrame, carry: list[tuple[str, str]]) -> DataFrame:
         far = state.select("grp", F.col("frag").alias("nf"), F.col("dir").alias("nd"), F.col("nf").alias("_f"), F.col("nd").alias("_d"), *[F.col(n).alias(f"_{n}") for n, _ in carry])
-        j = state.join(far, ["grp", "nf", "nd"], "left")
+        j = state.join(shuffled(far), ["grp", "nf", "nd"], "left")
         merged = [(F.least(n, F.coalesce(f"_{n}", n)) if how == "min" else F.col(n) + F.coalesce(F.col(f"_{n}"), F.lit(0))).alias(n) for n, how in carry]
         return durable(j.select("grp", "frag", "dir", F.col("_f").alias("nf"), F.col("_d").alias("nd"), *merged))
 
@@ -123,7 +124,7 @@ def assemble_rings(fragments: DataFrame, digits: int = 9, max_rounds: int = 40)
 
     def _changes(a, b, carry):
         n = carry[0][0]
-        return a.select("grp", "frag", "dir", F.col(n).alias("_o")).join(b, ["grp", "frag", "dir"]).filter(F.col("_o") != F.col(n)).limit(1).count()
+        return a.select("grp", "frag", "dir", F.col(n).alias("_o")).join(shuffled(b), ["grp", "frag", "dir"]).filter(F.col("_o") != F.col(n)).limit(1).count()
 
     # The smallest link ahead: links that still have a successor afterwards lie on a loop.
     code = F.struct("frag", (-F.col("dir")).alias("d"))
@@ -131,25 +132,25 @@ def assemble_rings(fragments: DataFrame, digits: int = 9, max_rounds: int = 40)
     loops = low.filter("nf IS NOT NULL").select("grp", "frag", "dir", "low")
     # A loop comes twice, once per direction; keep the one whose smallest link runs forward.
     loop = loops.filter("low.d = -1")
-    cut = link.join(loop.select("grp", "frag", "dir", "low"), ["grp", "frag", "dir"], "left")
+    cut = link.join(shuffled(loop.select("grp", "frag", "dir", "low")), ["grp", "frag", "dir"], "left")
     open_ = F.col("low").isNotNull() & (F.col("nf") == F.col("low.frag")) & (F.col("nd") == -F.col("low.d"))
     cut = cut.withColumn("nf", F.when(~open_, F.col("nf"))).withColumn("nd", F.when(~open_, F.col("nd"))).drop("low")
-    cut = cut.join(loops.filter("low.d = 1").select("grp", "frag", "dir"), ["grp", "frag", "dir"], "left_anti")
+    cut = cut.join(shuffled(loops.filter("low.d = 1").select("grp", "frag", "dir")), ["grp", "frag", "dir"], "left_anti")
     # Distance to the end of the chain, and the chain's last link as its name.
     ranked = cut.withColumn("steps", F.when(F.col("nf").isNotNull(), 1).otherwise(0))
     tail = settle(ranked.withColumn("steps", F.col("steps")), [("steps", "sum")])
     ids = settle(cut.withColumn("low", code), [("low", "min")]).select("grp", "frag", "dir", F.col("low").alias("ahead"))
-    chain = tail.select("grp", "frag", "dir", "steps").join(ids, ["grp", "frag", "dir"])
+    chain = tail.select("grp", "frag", "dir", "steps").join(shuffled(ids), ["grp", "frag", "dir"])
     heads = cut.select("grp", "frag", "dir").join(cut.filter("nf IS NOT NULL").select("grp", F.col("nf").alias("frag"), F.col("nd").alias("dir")), ["grp", "frag", "dir"], "left_anti")
     # Every link learns its head: the head pushes its name along the chain by doubling.
     pred = cut.filter("nf IS NOT NULL").select("grp", F.col("nf").alias("frag"), F.col("nd").alias("dir"), F.col("frag").alias("pf"), F.col("dir").alias("pd"))
-    up = cut.select("grp", "frag", "dir").join(pred, ["grp", "frag", "dir"], "left").select("grp", "frag", "dir", F.col("pf").alias("nf"), F.col("pd").alias("nd"))
+    up = cut.select("grp", "frag", "dir").join(shuffled(pred), ["grp", "frag", "dir"], "left").select("grp", "frag", "dir", F.col("pf").alias("nf"), F.col("pd").alias("nd"))
     behind = settle(up.withColumn("low", code), [("low", "min")]).select("grp", "frag", "dir", F.col("low").alias("back"))
-    named = chain.join(behind, ["grp", "frag", "dir"]).withColumn("name", F.least("ahead", "back"))
+    named = chain.join(shuffled(behind), ["grp", "frag", "dir"]).withColumn("name", F.least("ahead", "back"))
     # An open chain also comes twice; its smallest fragment decides the direction, too.
     pick = named.filter("name.d = -1").select("grp", F.col("name.frag").alias("ring"), "frag", "dir", "steps")
     pick = pick.unionByName(own.select("grp", F.col("frag").alias("ring"), "frag", F.lit(1).alias("dir"), F.lit(0).alias("steps")))
-    v = fragments.join(pick, ["grp", "frag"]).withColumn("_s", F.when(F.col("dir") == 1, F.col("seq")).otherwise(-F.col("seq"))).withColumn("_k", -F.col("steps"))
+    v = fragments.join(shuffled(pick), ["grp", "frag"]).withColumn("_s", F.when(F.col("dir") == 1, F.col("seq")).otherwise(-F.col("seq"))).withColumn("_k", -F.col("steps"))
     v = scan(v, ["grp", "ring"], ["_k", "_s"], seq_=rank())
     # Joined fragments repeat their shared point: drop a vertex equal to the one before it.
     from ..operators.ordered import lag
@@ -159,7 +160,7 @@ def assemble_rings(fragments: DataFrame, digits: int = 9, max_rounds: int = 40)
     tips = v.groupBy("grp", "ring").agg(F.min_by(F.struct("x", "y"), "seq").alias("a"), F.max_by(F.struct("x", "y"), "seq").alias("z"), F.max("seq").alias("last"), F.count(F.lit(1)).alias("n"))
     shut = tips.filter("n >= 3 AND (abs(a.x - z.x) >= 1e-9 OR abs(a.y - z.y) >= 1e-9)").select("grp", "ring", (F.col("last") + 1).alias("seq"), F.col("a.x").alias("x"), F.col("a.y").alias("y"))
     good = tips.filter("n >= 3").select("grp", "ring")
-    return v.join(good, ["grp", "ring"], "left_semi").unionByName(shut)
+    return v.join(shuffled(good), ["grp", "ring"], "left_semi").unionByName(shut)
 
 
 def holes_to_outers(outers: DataFrame, inners: DataFrame) -> DataFrame:
