@@ -84,15 +84,15 @@ def rows(lines: DataFrame, *row_codes: int, need: int = 0) -> DataFrame:
 def headers(lines: DataFrame) -> DataFrame:
     """Header row plus key/value rows; of two values of one key the later wins.
 
-    A latitude without a longitude (or the reverse) is dropped.
+    A latitude without a longitude (or the reverse) is dropped; zero is a latitude and a longitude like any other.
     """
     h = lines.filter(F.col("code").isin(1, 16, 17)).select("icao", word(0).try_cast("double").alias("elev_ft"), tail(4).alias("name"))
     kv = rows(lines, 1302, need=2).select("icao", "line_no", word(0).alias("k"), tail(1).alias("v"))
     # A null ordering value leaves a row out of max_by, so one pass serves every key.
     m = kv.groupBy("icao").agg(*[F.max_by("v", F.when(F.col("k") == k, F.col("line_no"))).alias(k) for k in HEADER_KEYS])
     j = h.join(m, "icao", "left")
-    lat, lon = F.coalesce(F.col("datum_lat").try_cast("double"), F.lit(0.0)), F.coalesce(F.col("datum_lon").try_cast("double"), F.lit(0.0))
-    both = (lat != 0) & (lon != 0)
+    lat, lon = F.col("datum_lat").try_cast("double"), F.col("datum_lon").try_cast("double")
+    both = lat.isNotNull() & lon.isNotNull()
     return j.select("icao", F.col("iata_code").alias("iata"), F.col("faa_code").alias("faa"), "name", "city", "country", F.col("region_code").alias("region"), F.when(both, lat).alias("lat"), F.when(both, lon).alias("lon"),
                     "elev_ft", F.col("transition_alt").try_cast("double").alias("trans_alt_ft"), F.col("transition_level").alias("trans_level"))
 
