@@ -14,11 +14,10 @@ from ..functions.shapes import pt
 from .spatial import edges_of, shuffled
 
 
-def cover(polys: DataFrame, fid: list[str], cell: float = 1.0, key: str = "icao") -> DataFrame:
-    """Grid cells whose centre lies in the polygon: (key, fid, cx, cy); holes respected.
+def row_spans(polys: DataFrame, fid: list[str], cell: float = 1.0, key: str = "icao") -> DataFrame:
+    """Spans of grid cells whose centre lies in the polygon: (key, fid, cy, a, z), both ends inclusive; holes respected.
 
-    Row by row: the crossings of the cell row's centre line with the polygon edges, sorted,
-    pair up into spans, and only cells inside a span are produced, never those of the box.
+    Row by row: the crossings of the cell row's centre line with the polygon edges, sorted, pair up into spans.
     """
     e = edges_of(polys, [key, *fid]).filter(F.col("ay") != F.col("by"))
     lo, hi = F.least("ay", "by"), F.greatest("ay", "by")
@@ -29,27 +28,48 @@ def cover(polys: DataFrame, fid: list[str], cell: float = 1.0, key: str = "icao"
     rows = e.groupBy(key, *fid, "cy").agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("_xs") / 2).cast("int") - 1), lambda i: F.struct(
         F.ceil(F.get("_xs", i * 2) / cell - 0.5).cast("int").alias("a"), (F.ceil(F.get("_xs", i * 2 + 1) / cell - 0.5) - 1).cast("int").alias("z")))
-    spans = rows.filter(F.size("_xs") >= 2).select(key, *fid, "cy", F.explode(pairs).alias("_s")).filter("_s.z >= _s.a")
-    return spans.select(key, *fid, F.explode(F.sequence("_s.a", "_s.z")).alias("cx"), "cy")
+    return rows.filter(F.size("_xs") >= 2).select(key, *fid, "cy", F.explode(pairs).alias("_s")).filter("_s.z >= _s.a").select(key, *fid, "cy", "_s.a", "_s.z")
+
+
+def cover(polys: DataFrame, fid: list[str], cell: float = 1.0, key: str = "icao") -> DataFrame:
+    """Grid cells whose centre lies in the polygon: (key, fid, cx, cy); only cells inside a span are made, never those of the box."""
+    return row_spans(polys, fid, cell, key).select(key, *fid, F.explode(F.sequence("a", "z")).alias("cx"), "cy")
+
+
+def cover_bits(polys: DataFrame, fid: list[str], cell: float = 1.0, key: str = "icao") -> DataFrame:
+    """The cells of ``cover``, 64 columns of a row in the bits of one number: (key, fid, cy, block, bits)."""
+    s = row_spans(polys, fid, cell, key).withColumn("block", F.explode(F.sequence(F.shiftright("a", 6), F.shiftright("z", 6))))
+    lo, hi = F.greatest(F.col("a") - F.col("block") * 64, F.lit(0)), F.least(F.col("z") - F.col("block") * 64, F.lit(63))
+    bits = F.call_function("shiftleft", F.lit(-1).cast("bigint"), lo).bitwiseAND(F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), 63 - hi))
+    return s.select(key, *fid, "cy", "block", bits.alias("bits"))
+
+
+def distinct_shapes(polys: DataFrame, key: str = "icao") -> DataFrame:
+    return polys.select(key, "geom").withColumn("_id", F.xxhash64("geom")).dropDuplicates([key, "_id"])
 
 
 def cover_set(polys: DataFrame, cell: float = 1.0, key: str = "icao") -> DataFrame:
     """Distinct cells any polygon covers; copies of a polygon are collapsed first."""
-    one = polys.select(key, "geom").withColumn("_id", F.xxhash64("geom")).dropDuplicates([key, "_id"])
-    return cover(one, ["_id"], cell, key).select(key, "cx", "cy").distinct()
+    return cover(distinct_shapes(polys, key), ["_id"], cell, key).select(key, "cx", "cy").distinct()
+
+
+def union_bits(polys: DataFrame, cell: float = 1.0, key: str = "icao") -> DataFrame:
+    """The cells of ``cover_set`` as (key, cy, block, bits); united before the shuffle, so neither cells nor hot rows travel."""
+    return cover_bits(distinct_shapes(polys, key), ["_id"], cell, key).groupBy(key, "cy", "block").agg(F.bit_or("bits").alias("bits"))
 
 
 def covered_share(polys: DataFrame, others: DataFrame, fid: list[str], cell: float = 1.0, key: str = "icao") -> DataFrame:
     """Cells of each polygon, how many any polygon of the other set covers, and the share."""
-    own = cover(polys, fid, cell, key)
-    hit = cover_set(others, cell, key).withColumn("_hit", F.lit(1))
-    j = own.join(shuffled(hit), [key, "cx", "cy"], "left").groupBy(key, *fid).agg(F.count(F.lit(1)).alias("cells"), F.count("_hit").alias("covered"))
+    own = cover_bits(polys, fid, cell, key)
+    hit = union_bits(others, cell, key).withColumnRenamed("bits", "_hit")
+    both = F.bit_count(F.col("bits").bitwiseAND(F.coalesce("_hit", F.lit(0).cast("bigint"))))
+    j = own.join(shuffled(hit), [key, "cy", "block"], "left").groupBy(key, *fid).agg(F.sum(F.bit_count("bits")).alias("cells"), F.sum(both).alias("covered"))
     return j.withColumn("share", F.col("covered") / F.col("cells"))
 
 
 def union_area(polys: DataFrame, cell: float = 1.0, key: str = "icao") -> DataFrame:
     """Area of the union of all polygons of an airport, by cells."""
-    return cover_set(polys, cell, key).groupBy(key).agg((F.count(F.lit(1)) * (cell * cell)).alias("area"))
+    return union_bits(polys, cell, key).groupBy(key).agg((F.sum(F.bit_count("bits")) * (cell * cell)).alias("area"))
 
 
 def remainder(polys: DataFrame, minus: DataFrame, fid: list[str], cell: float = 1.0, key: str = "icao") -> DataFrame:
