@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import NM_KM, c, haversine_km, rnd
+from ..functions.geo import EARTH_KM, NM_KM, c, haversine_km, rnd
 from ..functions.text import continent_code
 from .ordered import rank, scan
+from .spatial import shuffled
 
 INTERNATIONAL = r"(?i)\b(international|intl|internacional|internationale|internazionale)\b"
 
@@ -120,91 +121,124 @@ def search_row(df: DataFrame) -> DataFrame:
     return df.select(F.col("icao").alias("idarpt"), "iata", elev.alias("elev"), F.coalesce("name", F.lit("")).alias("name"), "lat", "lon")
 
 
-def _cell_of(lat: str, lon: str, deg: float) -> tuple[Column, Column]:
-    return F.floor((F.col(lat) + 90) / deg).cast("int"), F.pmod(F.floor((F.col(lon) + 180) / deg).cast("int"), F.lit(int(round(360 / deg))))
+LEVELS = 6
+CHUNK = 256
 
 
-def position_cells(df: DataFrame, lat: str, lon: str, deg: float, reach_km: float = 0.0) -> DataFrame:
-    """Rows keyed by latitude band and longitude cell, spread over cells within ``reach_km``.
+def _rings(radius_km: float) -> list[tuple[float, float]]:
+    """(side, reach) in km of nested cubes, finest first; the last is the whole radius.
 
-    Longitude cells wrap; bands whose reach covers a pole take every longitude cell.
+    Cubes cut the sphere in space, so they are as wide at the poles as elsewhere and need no wrap. Sides are powers of
+    two; two points of a cube lie within a chord of 1.733 sides, so a cube that holds enough airports bounds the search.
     """
-    n = int(round(360 / deg))
-    if reach_km == 0:
-        band, cell = _cell_of(lat, lon, deg)
-        return df.withColumn("band", band).withColumn("cell", cell)
-    return _spread(df, lat, lon, F.lit(float(deg)), F.lit(float(reach_km)))
+    chord = 2 * EARTH_KM * math.sin(min(max(radius_km, 0.0) / (2 * EARTH_KM), math.pi / 2)) + 1e-6
+    side = 2.0 ** math.ceil(math.log2(max(chord, 0.01) / 1.733))
+    return [*((side / 2 ** i, 1.733 * side / 2 ** i) for i in range(LEVELS, 0, -1)), (side, chord)]
 
 
-def _spread(df: DataFrame, lat: str, lon: str, deg: Column, reach_km: Column) -> DataFrame:
-    n = F.round(360 / deg).cast("int")
-    dlat = reach_km / 111.1 + 1e-9
-    cols = df.withColumn("band", F.explode(F.sequence(F.floor((F.col(lat) - dlat + 90) / deg).cast("int"),
-                                                      F.floor((F.col(lat) + dlat + 90) / deg).cast("int"))))
-    far = F.least(F.abs(F.col(lat)) + dlat, F.lit(90.0))
-    # Half-width in longitude of a cap of the given radius, exact on the sphere.
-    half = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(dlat)) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-9)))))
-    whole = far >= 90.0
-    lo = F.when(whole, 0).otherwise(F.floor((F.col(lon) - half + 180) / deg)).cast("int")
-    hi = F.when(whole, n - 1).otherwise(F.floor((F.col(lon) + half + 180) / deg)).cast("int")
-    return cols.withColumn("cell", F.explode(F.sequence(lo, F.least(hi, lo + (n - 1))))).withColumn("cell", F.pmod("cell", n))
+def in_space(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Adds gx, gy, gz: the place on the sphere, in km from its centre."""
+    a, b = F.radians(lat), F.radians(lon)
+    return df.withColumns({"gx": EARTH_KM * F.cos(a) * F.cos(b), "gy": EARTH_KM * F.cos(a) * F.sin(b), "gz": EARTH_KM * F.sin(a)})
 
 
-FINE_LAT = 80.0
-LEVELS = 5
+CUBE = ["ix", "iy", "iz"]
 
 
-def _rings(radius_km: float) -> tuple[float, list[tuple[float, float]]]:
-    """Widest cell in degrees, and (degrees, reach in km) of the finer ones, finest first.
+def cube_of(side) -> list[Column]:
+    return [F.floor(F.col(f"g{n}") / side).cast("int").alias(f"i{n}") for n in "xyz"]
+
+
+def _up(level) -> list[Column]:
+    return [F.floor(F.col(n) / F.pow(F.lit(2.0), level)).cast("int").alias(n) for n in CUBE]
 
-    Cells halve from level to level and divide the circle evenly. Two points of a cell of d degrees lie within
-    1.46 d of each other (d up to 45), so a cell that holds enough airports bounds the search by that reach.
-    """
-    widest = 360 / 2 ** max(2, math.floor(math.log2(360 / max(radius_km / 111.1, 0.01))))
-    fine = [(widest / 2 ** i, 1.46 * 111.3 * widest / 2 ** i) for i in range(1, LEVELS + 3)]
-    return widest, sorted((d, r) for d, r in fine if r < radius_km)[-LEVELS:]
 
+def full_cubes(index: DataFrame, rings: list[tuple[float, float]], limit: int) -> DataFrame:
+    """(level, cube) of the cubes that hold ``limit`` airports; counted in the finest cubes and rolled up."""
+    held = index.groupBy(*cube_of(rings[0][0])).agg(F.count(F.lit(1)).alias("n"))
+    up = F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(rings) - 1)), lambda lv: F.struct(lv.alias("level"), *_up(lv))))
+    return held.select("n", up.alias("u")).groupBy("u.level", *[f"u.{n}" for n in CUBE]).agg(F.sum("n").alias("n")).filter(F.col("n") >= limit).drop("n")
 
-def _levels_of_cells(points: DataFrame, index: DataFrame, rings: list[tuple[float, float]], limit: int) -> DataFrame:
-    """(fine band, fine cell, level): the smallest cell round a finest cell that holds ``limit`` airports.
 
-    Airports are counted in the finest cells and rolled up, so each table is read once and no list is built.
+def airports_near_cubes(index: DataFrame, rings: list[tuple[float, float]]) -> DataFrame:
+    """(level, cube, near): airports within the reach of a level of any place of a cube.
+
+    ``near`` holds (icao, lat, lon) and the place in space; a cube near more than ``CHUNK`` airports gets several rows, so no row is large.
+    """
+    sizes = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(float(d)).alias("side"), F.lit(float(r)).alias("reach")) for i, (d, r) in enumerate(rings)])
+    a = index.withColumn("_l", F.explode(sizes)).select("icao", "lat", "lon", "gx", "gy", "gz", "_l.*")
+    gap, low, high = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+    for n in "xyz":
+        a = a.withColumn(f"i{n}", F.explode(F.sequence(*[F.floor((F.col(f"g{n}") + s * F.col("reach")) / F.col("side")).cast("int") for s in (-1, 1)])))
+        lo = F.col(f"i{n}") * F.col("side")
+        hi = lo + F.col("side")
+        off = F.greatest(lo - F.col(f"g{n}"), F.col(f"g{n}") - hi, F.lit(0.0))
+        inner = F.greatest(lo, -hi, F.lit(0.0))
+        gap, low, high = gap + off * off, low + inner * inner, high + F.greatest(lo * lo, hi * hi)
+        a = a.filter(gap <= F.col("reach") * F.col("reach") + 1e-6)
+    # Cubes that the sphere does not pass through hold no point.
+    a = a.filter((low <= EARTH_KM * EARTH_KM + 1e-3) & (high >= EARTH_KM * EARTH_KM - 1e-3)).select("level", *CUBE, "icao", "lat", "lon", "gx", "gy", "gz")
+    chunks = a.groupBy("level", *CUBE).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_n")).filter("_n > 1")
+    a = a.join(chunks, ["level", *CUBE], "left").withColumn("_part", F.pmod(F.xxhash64("icao"), F.coalesce("_n", F.lit(1))))
+    return a.groupBy("level", *CUBE, "_part").agg(F.collect_list(F.struct("icao", "lat", "lon", "gx", "gy", "gz")).alias("near")).drop("_part")
+
+
+PARTS = 4
+
+
+def pruned(near: Column, side: Column, limit: int) -> Column:
+    """Airports of ``near`` that can be among the nearest of a place of the cube (jx, jy, jz) of some side.
+
+    ``limit`` airports lie nearer to every place of the cube than some bound; who is farther than that from all of it goes.
     """
-    up = F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(rings) - 1)), lambda lv: F.struct(
-        lv.alias("level"), F.floor(F.col("band") / F.pow(F.lit(2.0), lv)).cast("int").alias("band"), F.floor(F.col("cell") / F.pow(F.lit(2.0), lv)).cast("int").alias("cell"))))
-    held = position_cells(index, "alat", "alon", rings[0][0]).groupBy("band", "cell").agg(F.count(F.lit(1)).alias("n"))
-    full = held.select("n", up.alias("u")).groupBy("u.level", "u.band", "u.cell").agg(F.sum("n").alias("n")).filter(F.col("n") >= limit)
-    mine = points.select("band", "cell").distinct().select(F.col("band").alias("_fb"), F.col("cell").alias("_fc"), up.alias("u")).select("_fb", "_fc", "u.*")
-    return mine.join(full, ["level", "band", "cell"]).groupBy("_fb", "_fc").agg(F.min("level").alias("level"))
+    def squared(a, far):
+        total = F.lit(0.0)
+        for n in "xyz":
+            low, high = F.col(f"j{n}") * side - a[f"g{n}"], a[f"g{n}"] - (F.col(f"j{n}") + 1) * side
+            off = F.greatest(-low, -high) if far else F.greatest(low, high, F.lit(0.0))
+            total = total + off * off
+        return total
+
+    bound = F.coalesce(F.get(F.array_sort(F.transform(near, lambda a: squared(a, True))), F.lit(limit - 1)), F.lit(float("inf")))
+    # The bound is bound to a variable, else it would be worked out again for each airport.
+    return F.get(F.transform(F.array(bound * (1 + 1e-9) + 1e-6), lambda u: F.filter(near, lambda a: squared(a, False) <= u)), F.lit(0))
+
+
+def placed(df: DataFrame) -> DataFrame:
+    return in_space(df.filter("lat IS NOT NULL AND lon IS NOT NULL"))
+
+
+def distances(lat: str, lon: str) -> Column:
+    """(km, icao) of each airport of ``near``."""
+    return F.transform("near", lambda a: F.struct(haversine_km(F.col(lat), F.col(lon), a.lat, a.lon).alias("km"), a.icao.alias("icao")))
 
 
 def nearest_candidates(points: DataFrame, index: DataFrame, radius_km: float = 60, limit: int = 16, pid: str = "pid") -> DataFrame:
     """Pairs (pid, icao, km) that hold the ``limit`` nearest airports within a radius of each point.
 
-    Each point searches the ring of the smallest cell round it that already holds ``limit`` airports, so the
-    pairs follow the density near the point and not the radius; where no cell does, the radius is the ring.
-    Beyond 80 degrees of latitude cells get narrow and the radius is searched. Rows without a position take no part.
+    Each point searches the ring of the smallest cube round it that already holds ``limit`` airports, so what is
+    compared follows the density near the point and not the radius; where no cube does, the radius is the ring.
+    A point meets the airports that can be nearest to its part of the cube in one row, or one row for each 256, and passes on ``limit`` of each.
+    Rows without a position take no part.
     """
-    widest, rings = _rings(radius_km)
-    a = index.select("icao", F.col("lat").alias("alat"), F.col("lon").alias("alon")).filter("alat IS NOT NULL AND alon IS NOT NULL")
-    p = points.select(pid, "lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL")
-    top = len(rings)
-    sizes = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(float(d)).alias("deg"), F.lit(float(r)).alias("reach")) for i, (d, r) in enumerate([*rings, (widest, radius_km)])])
-    each = a.withColumn("_l", F.explode(sizes)).filter((F.col("_l.level") == top) | (F.abs("alat") <= FINE_LAT))
-    spread = _spread(each, "alat", "alon", F.col("_l.deg"), F.col("_l.reach")).select("icao", "alat", "alon", F.col("_l.level").alias("level"), "band", "cell")
-    if not rings:
-        p = position_cells(p, "lat", "lon", widest).withColumn("level", F.lit(top)).withColumn("_reach", F.lit(float(radius_km)))
-    else:
-        fine = position_cells(p, "lat", "lon", rings[0][0])
-        levels = _levels_of_cells(fine, a, rings, limit)
-        fine = fine.withColumnsRenamed({"band": "_fb", "cell": "_fc"}).join(levels, ["_fb", "_fc"], "left")
-        reach = F.array(*[F.lit(float(r)) for _, r in rings], F.lit(float(radius_km)))
-        inner = F.abs("lat") + F.get(reach, F.col("level")) / 111.1 <= FINE_LAT
-        fine = fine.withColumn("level", F.when(inner, F.col("level")).otherwise(F.lit(top)))
-        by_level = [F.struct(*[x.alias(n) for n, x in zip(("band", "cell"), _cell_of("lat", "lon", d), strict=True)]) for d in [*(d for d, _ in rings), widest]]
-        p = fine.select(pid, "lat", "lon", "level", F.get(F.array(*by_level), F.col("level")).alias("_c"), F.get(reach, F.col("level")).alias("_reach")).select(pid, "lat", "lon", "level", "_reach", "_c.*")
-    pairs = p.join(spread, ["level", "band", "cell"]).withColumn("km", haversine_km("lat", "lon", "alat", "alon"))
-    return pairs.filter((F.col("km") <= radius_km) & (F.col("km") <= F.col("_reach"))).select(pid, "icao", "km")
+    rings = _rings(radius_km)
+    top = len(rings) - 1
+    a = placed(index.select("icao", "lat", "lon"))
+    p = placed(points.select(pid, "lat", "lon"))
+    fine = p.select("*", *cube_of(rings[0][0]))
+    levels = F.explode(F.transform(F.sequence(F.lit(0), F.lit(top)), lambda lv: F.struct(lv.alias("level"), *_up(lv))))
+    mine = fine.select(*CUBE).distinct().select(*[F.col(n).alias(f"_{n}") for n in CUBE], levels.alias("u")).select(*[f"_{n}" for n in CUBE], "u.*")
+    level = mine.join(shuffled(full_cubes(a, rings, limit)), ["level", *CUBE]).groupBy(*[F.col(f"_{n}").alias(n) for n in CUBE]).agg(F.min("level").alias("level"))
+    p = fine.join(shuffled(level), CUBE, "left").withColumn("level", F.coalesce("level", F.lit(top)))
+    # Points look into parts of their cube, and each part keeps the airports that can be nearest to a place of it.
+    side = F.get(F.array(*[F.lit(d / PARTS) for d, _ in rings]), F.col("level"))
+    part = ["level", "jx", "jy", "jz"]
+    p = p.select(pid, "lat", "lon", "level", *[F.floor(F.col(f"g{n}") / side).cast("int").alias(f"j{n}") for n in "xyz"])
+    used = p.select(*part).distinct().select(*part, *[F.floor(F.col(f"j{n}") / PARTS).cast("int").alias(f"i{n}") for n in "xyz"])
+    kept = pruned(F.col("near"), side, limit)
+    lists = used.join(shuffled(airports_near_cubes(a, rings)), ["level", *CUBE]).select(*part, F.transform(kept, lambda s: F.struct(s.icao, s.lat, s.lon)).alias("near"))
+    met = p.join(shuffled(lists), part).select(pid, F.filter(distances("lat", "lon"), lambda s: s.km <= radius_km).alias("_d"))
+    return met.select(pid, F.explode(F.slice(F.array_sort("_d"), 1, limit)).alias("_s")).select(pid, "_s.icao", "_s.km")
 
 
 def nearest_airports(points: DataFrame, index: DataFrame, radius_km: float = 60, limit: int = 16,

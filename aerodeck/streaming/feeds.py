@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.geo import haversine_km
-from ..operators.select import position_cells
+from ..operators import select
+from ..operators.spatial import shuffled
 
 
 def progress_stream(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -21,18 +21,23 @@ def progress_stream(events: DataFrame, size: str = "1 hour", late: str = "10 min
     return e.groupBy(F.window("ts", size), "status").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "status", "n")
 
 
-def airport_cells(index: DataFrame, reach_km: float, deg: float) -> DataFrame:
-    """Static side of the feed join: cell -> airports within reach of the cell."""
-    a = position_cells(index.select("icao", "lat", "lon"), "lat", "lon", deg, reach_km)
-    return a.groupBy("band", "cell").agg(F.collect_set(F.struct("icao", "lat", "lon")).alias("near"))
+def nearest_stream(positions: DataFrame, index: DataFrame, reach_km: float = 1500.0) -> DataFrame:
+    """Each position with its nearest airport within reach; stateless, so it never grows.
 
-
-def nearest_stream(positions: DataFrame, index: DataFrame, reach_km: float = 1500.0, deg: float = 15.0) -> DataFrame:
-    """Each position with its nearest airport within reach; stateless, so it never grows."""
-    p = position_cells(positions.withColumnsRenamed({"lat": "plat", "lon": "plon"}), "plat", "plon", deg)
-    j = p.join(airport_cells(index, reach_km, deg), ["band", "cell"], "left")
-    best = F.array_min(F.transform("near", lambda a: F.struct(haversine_km(F.col("plat"), F.col("plon"), a.lat, a.lon).alias("km"), a.icao.alias("icao"))))
-    j = j.withColumn("_b", best)
+    The finest cube round the position that holds an airport is looked up level by level, and its ring alone is searched.
+    A position in whose ring more than ``select.CHUNK`` airports lie meets them in one row.
+    """
+    rings = select._rings(reach_km)
+    a = select.placed(index.select("icao", "lat", "lon"))
+    full = select.full_cubes(a, rings, 1)
+    near = select.airports_near_cubes(a, rings).groupBy("level", *select.CUBE).agg(F.flatten(F.collect_list("near")).alias("near"))
+    p = select.in_space(positions.withColumnsRenamed({"lat": "plat", "lon": "plon"}), "plat", "plon").withColumn("level", F.lit(len(rings) - 1))
+    for i in reversed(range(len(rings) - 1)):
+        held = full.filter(F.col("level") == i).select(*select.CUBE, F.lit(i).alias("_held"))
+        p = p.withColumns(dict(zip(select.CUBE, select.cube_of(rings[i][0]), strict=True))).join(held, select.CUBE, "left").withColumn("level", F.coalesce("_held", "level")).drop("_held", *select.CUBE)
+    side = F.get(F.array(*[F.lit(float(d)) for d, _ in rings]), F.col("level"))
+    j = p.withColumns(dict(zip(select.CUBE, select.cube_of(side), strict=True))).join(shuffled(near), ["level", *select.CUBE], "left")
+    j = j.withColumn("_b", F.array_min(select.distances("plat", "plon")))
     hit = F.col("_b.km") <= reach_km
     return j.select(*[n for n in positions.columns if n not in ("lat", "lon")], F.when(hit, F.col("_b.icao")).alias("icao"), F.when(hit, F.col("_b.km")).alias("km"))
 

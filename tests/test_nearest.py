@@ -51,3 +51,9 @@ def test_empty_sides(spark):
     a = spark.createDataFrame([], "icao string, lat double, lon double")
     assert select.nearest_airports(p, a, 500, 4).count() == 0
     assert select.nearest_airports(p.filter("pid < 0"), spark.createDataFrame([("A", 1.0, 1.0)], "icao string, lat double, lon double"), 500, 4).count() == 0
+
+
+def test_candidates_follow_density_at_the_pole(spark):
+    airports = spark.range(9000).selectExpr("concat('A', id) AS icao", "81 + (id div 900) * 0.9 AS lat", "0.4 * (id % 900) AS lon")
+    points = spark.range(100).selectExpr("id AS pid", "81.3 + (id div 10) * 0.8 AS lat", "36.0 * (id % 10) AS lon")
+    assert select.nearest_candidates(points, airports, 2000, 4).count() <= 100 * 200
