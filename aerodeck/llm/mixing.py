@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import release, stored, table
 
 CELL = ["_source", "_lang", "_topic"]
 ADDED = ["_tokens", *CELL, "_weight", "_probability"]
@@ -62,17 +62,23 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
 
 
 def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFrame:
-    """``cells`` (the three dimensions, tokens) with ``weight``: the marginals of weight * tokens approach the targets."""
+    """``cells`` (the three dimensions, tokens) with ``weight``: the marginals of weight * tokens approach the targets.
+
+    The targets join the cells once. Joins are by a shuffle: the driver keeps a table for each broadcast, and there
+    are three joins a round.
+    """
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    cells = cells.withColumn("weight", F.lit(1.0))
-    targets = {dim: stored(t) for dim, t in targets.items()}
+    aims = {dim: f"_aim{dim}" for dim in targets}
+    for dim, target in targets.items():
+        cells = cells.join(target.withColumnRenamed("target", aims[dim]).hint("merge"), dim, "left")
+    cells = stored(cells.select(*CELL, "tokens", *aims.values(), F.lit(1.0).alias("weight")))
     for _ in range(rounds):
-        for dim, target in targets.items():
-            have = cells.groupBy(dim).agg(F.sum(F.col("weight") * F.col("tokens")).alias("have")).join(target, dim)
-            ratio = have.select(dim, F.when(F.col("have") > 0, F.col("target") * F.lit(total) / F.col("have")).otherwise(1.0).alias("ratio"))
-            cells = cells.join(ratio, dim, "left").select(*CELL, "tokens", (F.col("weight") * F.coalesce("ratio", F.lit(1.0))).alias("weight"))
-        cells = stored(cells)
-    return cells
+        for dim, aim in aims.items():
+            have = cells.groupBy(dim).agg(F.sum(F.col("weight") * F.col("tokens")).alias("have"), F.max(aim).alias("aim"))
+            ratio = have.select(dim, F.when(F.col("have") > 0, F.col("aim") * F.lit(total) / F.col("have")).otherwise(1.0).alias("ratio"))
+            before, cells = cells, stored(cells.join(ratio.hint("merge"), dim, "left").select(*CELL, "tokens", *aims.values(), (F.col("weight") * F.coalesce("ratio", F.lit(1.0))).alias("weight")))
+            release(before)
+    return cells.select(*CELL, "tokens", "weight")
 
 
 def solved(cells: DataFrame, s: Settings) -> float:

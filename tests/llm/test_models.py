@@ -224,3 +224,19 @@ def test_licence_query_against_brute_force(spark):
             assert (r.license, r.cosine) == (want[1], -want[0])
         else:
             assert r.how in (None, "inherited")
+
+
+def test_raking_broadcasts_nothing(spark, monkeypatch):
+    """Each broadcast of a round stays in the driver's memory; the rounds join by a shuffle."""
+    cells = spark.createDataFrame([("s1", "en", "note", 10.0), ("s1", "fr", "book", 30.0), ("s2", "en", "note", 60.0)], "_source string, _lang string, _topic string, tokens double")
+    plans, keep = [], mixing.stored
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(mixing, "stored", seen)
+    target = keep(spark.createDataFrame([("s1", 0.5), ("s2", 0.5)], "_source string, target double"))
+    got = {(r._source, r._lang): r.weight for r in mixing.raked(keep(cells), {"_source": target}, 2).collect()}
+    assert got == {("s1", "en"): 1.25, ("s1", "fr"): 1.25, ("s2", "en"): 50 / 60}
+    assert plans and not any("Broadcast" in p for p in plans)
