@@ -59,7 +59,7 @@ def vote_edge_name(points: DataFrame, edges: DataFrame, keys: list[str], max_d:
 
     ``edges``: icao, eid, name, wingspan, ax..by.
     """
-    hit = nearest(points, edges, max_d, ["name", "wingspan"], ["eid"], cell=max(max_d, 200.0)).filter(F.col("name").isNotNull())
+    hit = nearest(points, edges, max_d, ["name", "wingspan"], ["eid"], cell=max(max_d, 200.0), wide=True).filter(F.col("name").isNotNull())
     best = majority(hit, keys, "name").drop("votes")
     span = hit.groupBy(*keys, "name").agg(F.min_by("wingspan", "i").alias("wingspan"))
     return best.join(span, [*keys, "name"], "left").withColumnRenamed("name", "edge_name")
@@ -80,7 +80,7 @@ def classify_lines(facts: DataFrame, edges: DataFrame, rw: DataFrame) -> DataFra
     known = facts.withColumn("meaning", codes.line_meaning("line"))
     odd = known.filter("meaning = 'geometric' AND length >= 1")
     e = edges.withColumn("edge_dir", F.degrees(F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax"))))
-    h = nearest(odd.drop("dist", "at"), e, 4.0, ["eid", "edge_dir"], ["eid"], "mx", "my", cell=100.0).drop("at", "dist")
+    h = nearest(odd.drop("dist", "at"), e, 4.0, ["eid", "edge_dir"], ["eid"], "mx", "my", cell=100.0, wide=True).drop("at", "dist")
     axis = rw.select("icao", *SEG)
     by_rwy = within(h.select("icao", "lid", "mx", "my"), axis, 350.0, "left_semi", "mx", "my", strict=True).select("icao", "lid", F.lit(True).alias("_near"))
     h = h.join(by_rwy, ["icao", "lid"], "left")

@@ -112,7 +112,7 @@ def attach_stands(nodes: DataFrame, edges: DataFrame, stands: DataFrame, reach:
     result does not depend on the order of the stands. Adds node columns nodetype, idstd.
     """
     taxi = edges.filter(~F.col("edgetype").isin(RUNWAY, STAND))
-    s = nearest(stands, taxi.select("icao", "eid", "a", "b", "ax", "ay", "bx", "by"), reach, ["eid", "a", "b", "ax", "ay", "bx", "by"], ["eid"], "px", "py", cell=reach)
+    s = nearest(stands, taxi.select("icao", "eid", "a", "b", "ax", "ay", "bx", "by"), reach, ["eid", "a", "b", "ax", "ay", "bx", "by"], ["eid"], "px", "py", cell=reach, wide=True)
     s = s.filter(F.col("eid").isNotNull())
     spots = nodes.select("icao", "node", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"))
     close = near_pairs(s.select("icao", "idstd", "px", "py"), spots, 3.0, "px", "py").groupBy("icao", "idstd").agg(F.min(F.struct("dist", "node")).alias("n"))

@@ -60,19 +60,36 @@ def as_segments(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return df.withColumn("ax", c(x)).withColumn("ay", c(y)).withColumn("bx", c(x)).withColumn("by", c(y))
 
 
+def wide_cells(segs: DataFrame, cell: float, key: str = "icao", full: int = 4096) -> DataFrame:
+    """(key, cell): 8, 4 or 2 times ``cell`` where a key has few segments, ``cell`` from ``full`` of them on.
+
+    A segment is laid out in fewer rows in wide cells, and few segments meet a point even there. The steps quarter
+    ``full``, as an area does when its side is halved.
+    """
+    n = segs.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    wide = F.when(F.col("_n") < full // 16, 8.0).when(F.col("_n") < full // 4, 4.0).when(F.col("_n") < full, 2.0).otherwise(1.0)
+    return n.select(key, (wide * cell).alias("_cell"))
+
+
 def near_pairs(points: DataFrame, segs: DataFrame, d: float, x: str = "x", y: str = "y", cell: float | None = None,
-               key: str = "icao") -> DataFrame:
-    """Point-segment pairs within ``d`` of each other, with ``dist`` and ``at`` (0..1 along)."""
+               key: str = "icao", wide: bool = False) -> DataFrame:
+    """Point-segment pairs within ``d`` of each other, with ``dist`` and ``at`` (0..1 along).
+
+    ``wide``: segments are much longer than a cell, so cells follow their number (``wide_cells``).
+    """
     cell = cell or max(d, 100.0)
-    left = point_cells(points, x, y, cell)
-    right = segment_cells(segs, cell, d)
+    if wide:
+        size = shuffled(wide_cells(segs, cell, key))
+        points, segs, cell = points.join(size, key), segs.join(size, key), F.col("_cell")
+    left = point_cells(points, x, y, cell).drop("_cell")
+    right = segment_cells(segs, cell, d).drop("_cell")
     out = left.join(shuffled(right), [key, "cx", "cy"]).drop("cx", "cy")
     out = out.withColumn("dist", seg_dist(x, y, *SEG)).filter(F.col("dist") <= d)
     return out.withColumn("at", seg_param(x, y, *SEG))
 
 
 def nearest(points: DataFrame, segs: DataFrame, cap: float, values: list[str], tie: list[str], x: str = "x",
-            y: str = "y", cell: float | None = None, key: str = "icao", strict: bool = False) -> DataFrame:
+            y: str = "y", cell: float | None = None, key: str = "icao", strict: bool = False, wide: bool = False) -> DataFrame:
     """Left join of each point with its nearest segment within ``cap``; ties by ``tie``.
 
     Adds ``values``, ``dist`` and ``at``; null where nothing is near enough.
@@ -80,7 +97,7 @@ def nearest(points: DataFrame, segs: DataFrame, cap: float, values: list[str], t
     cols = list(dict.fromkeys([*tie, *values]))
     targets = (segs.groupBy(key, *SEG).agg(F.min(F.struct(*cols)).alias("_v")))
     spots = points.select(key, F.col(x).alias("_px"), F.col(y).alias("_py")).distinct()
-    pairs = near_pairs(spots, targets, cap, "_px", "_py", cell, key)
+    pairs = near_pairs(spots, targets, cap, "_px", "_py", cell, key, wide)
     if strict:
         pairs = pairs.filter(F.col("dist") < cap)
     best = pairs.groupBy(key, "_px", "_py").agg(F.min(F.struct("dist", "_v", "at")).alias("_b"))

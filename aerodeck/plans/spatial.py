@@ -209,7 +209,7 @@ def j17(t):
 @query("J18_stand_to_edge", f"""WITH {ST}, {EDGE_POS}, d AS (SELECT st.icao, sid, eid, {sd('st.x', 'st.y')} AS d FROM st JOIN ep ON ep.icao = st.icao AND restriction <> 'runway'), b AS (SELECT *, row_number() OVER (PARTITION BY icao, sid ORDER BY d, eid) AS rn FROM d WHERE d <= 250)
 SELECT icao, sid, eid, {r('d')} AS dist FROM b WHERE rn = 1""")
 def j18(t):
-    n = spatial.nearest(stands(t), edges_named(t), 250.0, ["eid"], ["eid"], cell=250.0)
+    n = spatial.nearest(stands(t), edges_named(t), 250.0, ["eid"], ["eid"], cell=250.0, wide=True)
     return n.filter("eid IS NOT NULL").select("icao", "sid", "eid", rnd("dist", 3).alias("dist"))
 
 
