@@ -103,9 +103,12 @@ def _plain(spec, keys, order) -> Column:
 
 
 def scan(df: DataFrame, keys: list[str], order: list, *, hot_rows: int = HOT_ROWS, chunks: int | None = None,
-         **specs) -> DataFrame:
-    """Add one column per spec, computed per key in ascending ``order`` (a unique order)."""
-    if not has_hot_key(df, keys, hot_rows):
+         hot: bool | None = None, **specs) -> DataFrame:
+    """Add one column per spec, computed per key in ascending ``order`` (a unique order).
+
+    ``hot`` says whether a key is hot, where the caller knows, so that rows are not counted again.
+    """
+    if not (has_hot_key(df, keys, hot_rows) if hot is None else hot):
         return df.select("*", *[_plain(s, keys, order).alias(n) for n, s in specs.items()])
 
     order = [c(o) for o in order]
@@ -168,6 +171,15 @@ def scan(df: DataFrame, keys: list[str], order: list, *, hot_rows: int = HOT_ROW
     return joined.select(*base, *out)
 
 
+def beside(df: DataFrame, keys: list[str], hot: bool, **aggs: Column) -> DataFrame:
+    """Add aggregates of each key to its rows: in a window, or joined back where a key is hot. Null keys are keys."""
+    if not hot:
+        return df.select("*", *[v.over(W.partitionBy(*keys)).alias(n) for n, v in aggs.items()])
+    total = df.groupBy(*keys).agg(*[v.alias(n) for n, v in aggs.items()]).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = reduce(lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return df.join(total, on).drop(*[f"_k_{k}" for k in keys])
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the smallest in ``order``; map-side combined, so hot keys are harmless."""
     rest = [n for n in df.columns if n not in keys and n not in order]

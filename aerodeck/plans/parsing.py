@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import codes, tags
@@ -57,14 +58,15 @@ def scenery_lines(t, wanted=None):
     add(st, 2, c("rid"), zero, F.when(c("rid") % 25 == 7, row("100", c("width_m"), "1", "x")).otherwise(full))
     add(st.filter("rid % 9 = 0"), 3, c("rid"), zero, row("101", c("width_m"), "0", F.lit("4"), deg(c("ay")), deg(c("ax")), F.lit("22"), deg(c("by")), deg(c("bx"))))
     add(st.filter("rid % 5 = 0"), 4, c("rid"), zero, row("102", "H1", deg(c("ay")), deg(c("ax")), c("hd"), "25", "bad", "2", "0", "0"))
-    v = t.b_vertex
-    add(v.groupBy("icao", "fid").agg(F.min("seq").alias("q")), 5, c("fid"), F.lit(-1), F.when(c("fid") % 4 == 0, "120").otherwise(row("120", "Line", c("fid"))))
-    last = v.groupBy("icao", "fid").agg(F.max("seq").alias("_last"))
-    vv = v.join(last, ["icao", "fid"])
+    vv = t.b_vertex.withColumn("_last", F.max("seq").over(W.partitionBy("icao", "fid")))
     is_last = c("seq") == c("_last")
     node = (F.when(is_last & (c("fid") % 3 == 0), row("113", deg(y), deg(x), c("line"), "101")).when(is_last, row("115", deg(y), deg(x)))
             .when(c("seq") == 2, row("112", deg(y), deg(x), deg(y + 5), deg(x + 7), c("line"), "102")).otherwise(row("111", deg(y), deg(x), c("line"))))
-    add(vv, 5, c("fid"), c("seq"), node)
+    head = F.when(c("fid") % 4 == 0, "120").otherwise(row("120", "Line", c("fid")))
+    one = lambda o2, line: F.struct(o2.cast("bigint").alias("o2"), line.alias("line"))
+    # The last node of a line brings the header row with it, so the vertices are read once.
+    painted = vv.select("icao", "fid", F.explode(F.when(is_last, F.array(one(F.lit(-1), head), one(c("seq"), node))).otherwise(F.array(one(c("seq"), node)))).alias("_l"))
+    add(painted, 5, c("fid"), c("_l.o2"), c("_l.line"))
     p = t.b_pavement
     add(p, 6, c("pid"), zero, row("110", c("surface"), "0.25", "0", F.coalesce("name", F.lit(""))))
     for i, (dx, dy) in enumerate([(0, 0), (50, 0), (50, 50), (0, 50)]):
@@ -161,8 +163,7 @@ def s08(t):
 
 @query("S08_painted_lines", """SELECT icao, CASE WHEN fid % 4 > 0 THEN 'Line ' || fid END AS name, count(*) AS nodes, fid % 3 = 0 AS closed, cast(sum(CASE WHEN seq = mx AND fid % 3 > 0 THEN 0 ELSE line END) AS bigint) AS codes FROM (SELECT *, max(seq) OVER (PARTITION BY icao, fid) AS mx FROM b_vertex) q GROUP BY icao, fid""")
 def s08b(t):
-    ln = lines(t, 5)
-    v = scenery.painted_lines(ln, scenery.rings(ln))
+    v = scenery.painted_lines(scenery.rings(lines(t, 5)))
     return v.groupBy("icao", "obj").agg(F.first("name").alias("name"), F.count(F.lit(1)).alias("nodes"), F.first("closed").alias("closed"), F.sum("line").alias("codes")).drop("obj")
 
 
@@ -175,8 +176,7 @@ def s08c(t):
 @query("S09_node_rows", f"""SELECT icao, {r('y/100000.0::double', 5)} AS lat, {r('x/100000.0::double', 5)} AS lon, CASE WHEN seq = 2 AND seq < mx THEN {r('(x+7)/100000.0::double', 5)} END AS ctrl_lon, CASE WHEN seq = mx AND fid % 3 > 0 THEN 0 ELSE line END AS line,
  CASE WHEN seq = mx AND fid % 3 = 0 THEN 101 WHEN seq = 2 AND seq < mx THEN 102 ELSE 0 END AS light FROM (SELECT *, max(seq) OVER (PARTITION BY icao, fid) AS mx FROM b_vertex) q""")
 def s09(t):
-    ln = lines(t, 5)
-    v = scenery.painted_lines(ln, scenery.rings(ln))
+    v = scenery.painted_lines(scenery.rings(lines(t, 5)))
     return v.select("icao", rnd("lat", 5).alias("lat"), rnd("lon", 5).alias("lon"), rnd("ctrl_lon", 5).alias("ctrl_lon"), "line", "light")
 
 

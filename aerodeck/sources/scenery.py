@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, text
-from ..operators.ordered import fill, keep_first, running, scan
+from ..operators.ordered import HOT_ROWS, beside, fill, has_hot_key, keep_first, running, scan
 
 RING_END = (113, 114, 115, 116)
 WITH_CONTROL = (112, 114, 116)
@@ -117,50 +117,54 @@ def helipads(lines: DataFrame) -> DataFrame:
                                            codes.scenery_surface(whole(6)).alias("surface"), F.lit("xplane").alias("source"))
 
 
-def node_fields(lines: DataFrame) -> DataFrame:
-    """Node rows: position, optional control, line code (< 100) and light code (>= 100), last value winning."""
+def node_fields() -> Column:
+    """A node row: position, optional control, line code (< 100) and light code (>= 100), last value winning.
+
+    Null for other rows and for rows with too few fields.
+    """
     has_ctrl = F.col("code").isin(*WITH_CONTROL)
     need = F.when(has_ctrl, 4).otherwise(2)
-    n = lines.filter(F.col("code").between(111, 116) & (F.size("f") >= need))
     extra = F.transform(F.slice("f", need + 1, F.greatest(F.size("f") - need, F.lit(0))), lambda v: F.coalesce(v.try_cast("double").cast("int"), F.lit(0)))
     closing = F.col("code").isin(115, 116)
     last = lambda a: F.when(closing, 0).otherwise(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))
-    return n.select("icao", "line_no", "code", num(0).alias("lat"), num(1).alias("lon"), F.when(has_ctrl, num(2)).alias("ctrl_lat"), F.when(has_ctrl, num(3)).alias("ctrl_lon"),
-                    last(F.filter(extra, lambda v: v < 100)).alias("line"), last(F.filter(extra, lambda v: v >= 100)).alias("light"))
+    fields = F.struct(num(0).alias("lat"), num(1).alias("lon"), F.when(has_ctrl, num(2)).alias("ctrl_lat"), F.when(has_ctrl, num(3)).alias("ctrl_lon"),
+                      last(F.filter(extra, lambda v: v < 100)).alias("line"), last(F.filter(extra, lambda v: v >= 100)).alias("light"))
+    return F.when(F.col("code").between(111, 116) & (F.size("f") >= need), fields)
 
 
-def rings(lines: DataFrame) -> DataFrame:
-    """Nodes with their object (header line), object code, ring number and closed flag.
+def rings(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Nodes with their object (header line), its code and fields, ring number and closed flag.
 
     The object of a node is the last non-node row before it; its ring is the number of ring
-    ends passed since.
+    ends passed since. Rows with too few fields end rings but are no nodes. The text is taken
+    apart once: all that later steps need travels in the one shuffle by airport.
     """
-    geo = lines.select("icao", "line_no", "code")
+    hot = has_hot_key(lines, ["icao"], hot_rows)
     is_node = F.col("code").between(111, 116)
-    marked = scan(geo.withColumn("_h", F.when(~is_node, F.struct("line_no", "code"))), ["icao"], ["line_no"], head=fill("_h"))
-    nodes = marked.filter(is_node & F.col("head.code").isin(110, 120, 130)).select("icao", "line_no", F.col("head.line_no").alias("obj"), F.col("head.code").alias("obj_code"), F.col("code").isin(*RING_END).cast("int").alias("_end"))
-    nodes = scan(nodes, ["icao", "obj"], ["line_no"], _ends=running("_end")).withColumn("ring", (F.col("_ends") - F.col("_end")).cast("int"))
-    n = nodes.join(node_fields(lines), ["icao", "line_no"])
-    closed = n.groupBy("icao", "obj", "ring").agg(F.max(F.col("code").isin(113, 114)).alias("closed"), F.count(F.lit(1)).alias("n_nodes"))
-    return n.join(closed, ["icao", "obj", "ring"]).drop("_end", "_ends")
+    geo = lines.select("icao", "line_no", "code", F.when(~is_node, F.struct("line_no", "code", F.when(F.col("code").isin(110, 120, 130), F.col("f")).alias("f"))).alias("_h"), node_fields().alias("_node"))
+    marked = scan(geo, ["icao"], ["line_no"], hot=hot, head=fill("_h"))
+    nodes = marked.filter(is_node & F.col("head.code").isin(110, 120, 130)).select("icao", "line_no", F.col("head.line_no").alias("obj"), F.col("head.code").alias("obj_code"), F.col("head.f").alias("obj_f"), "code", "_node", F.col("code").isin(*RING_END).cast("int").alias("_end"))
+    nodes = scan(nodes, ["icao", "obj"], ["line_no"], hot=hot, _ends=running("_end")).withColumn("ring", (F.col("_ends") - F.col("_end")).cast("int"))
+    n = nodes.filter("_node IS NOT NULL").select("icao", "line_no", "obj", "obj_code", "obj_f", "code", "ring", "_node.*")
+    n = beside(n, ["icao", "obj", "ring"], hot, closed=F.max(F.col("code").isin(113, 114)), n_nodes=F.count(F.lit(1)))
+    return beside(n, ["icao", "obj"], hot, n_outer=F.count_if(F.col("ring") == 0))
 
 
 def pavements(lines: DataFrame, ring_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pavement attributes and vertices; ring 0 is the outer one and needs three nodes."""
-    r = ring_rows.filter("obj_code = 110")
-    good = r.filter("ring = 0 AND n_nodes >= 3").select("icao", "obj").distinct()
+    r = ring_rows.filter("obj_code = 110 AND n_outer >= 3").drop("obj_f", "n_outer")
+    good = r.select("icao", "obj").distinct()
     h = rows(lines, 110).select("icao", F.col("line_no").alias("obj"), codes.scenery_surface(whole(0)).alias("surface"), tail(3).alias("name"), F.lit("xplane").alias("source"))
-    return h.join(good, ["icao", "obj"], "left_semi").withColumn("hint", text.pavement_hint("name")), r.join(good, ["icao", "obj"], "left_semi")
+    return h.join(good, ["icao", "obj"], "left_semi").withColumn("hint", text.pavement_hint("name")), r
 
 
-def painted_lines(lines: DataFrame, ring_rows: DataFrame) -> DataFrame:
-    names = rows(lines, 120).select("icao", F.col("line_no").alias("obj"), tail(0).alias("name"))
-    return ring_rows.filter("obj_code = 120").join(names, ["icao", "obj"])
+def painted_lines(ring_rows: DataFrame) -> DataFrame:
+    return ring_rows.filter("obj_code = 120").withColumnRenamed("obj_f", "f").withColumn("name", tail(0)).drop("f", "n_outer")
 
 
 def boundary(ring_rows: DataFrame) -> DataFrame:
     """Vertices of the first boundary ring of each airport."""
-    b = ring_rows.filter("obj_code = 130")
+    b = ring_rows.filter("obj_code = 130").drop("obj_f", "n_outer")
     first = b.groupBy("icao").agg(F.min(F.struct("obj", "ring")).alias("_f")).select("icao", "_f.*")
     return b.join(first, ["icao", "obj", "ring"], "left_semi")
 
@@ -225,5 +229,5 @@ def parse(blocks: DataFrame) -> dict[str, DataFrame]:
     rg = rings(ln)
     rw, warn = runways(ln)
     pv, pvv = pavements(ln, rg)
-    return {"headers": headers(ln), "runways": rw, "warnings": warn, "water_runways": water_runways(ln), "helipads": helipads(ln), "pavements": pv, "pavement_vertices": pvv, "painted_lines": painted_lines(ln, rg), "boundary": boundary(rg),
+    return {"headers": headers(ln), "runways": rw, "warnings": warn, "water_runways": water_runways(ln), "helipads": helipads(ln), "pavements": pv, "pavement_vertices": pvv, "painted_lines": painted_lines(rg), "boundary": boundary(rg),
             "beacons": beacons(ln), "windsocks": windsocks(ln), "signs": signs(ln), "visual_aids": visual_aids(ln), "frequencies": frequencies(ln), "route_nodes": route_nodes(ln), "route_edges": route_edges(ln), "active_zones": active_zones(ln), "stands": stands(ln)}
