@@ -31,18 +31,19 @@ def point_cells(df: DataFrame, x: str, y: str, cell: float) -> DataFrame:
 def segment_cells(df: DataFrame, cell: float, d: float = 0.0) -> DataFrame:
     """One row per cell within ``d`` of the segment (ax, ay)-(bx, by), column by column.
 
-    Only cells along the segment are produced, not those of its bounding box.
+    Only cells along the segment are produced, not those of its bounding box. What touches a cell
+    border counts for both sides, so that segments which meet there up to rounding share a cell.
     """
     x0, x1 = F.least("ax", "bx"), F.greatest("ax", "bx")
-    cols = df.withColumn("cx", F.explode(F.sequence(cell_no(x0 - d, cell), cell_no(x1 + d, cell))))
-    left = F.greatest(F.col("cx") * cell - d, x0)
-    right = F.least((F.col("cx") + 1) * cell + d, x1)
+    pad = d + 1e-6
+    cols = df.withColumn("cx", F.explode(F.sequence(cell_no(x0 - pad, cell), cell_no(x1 + pad, cell))))
+    left = F.greatest(F.col("cx") * cell - pad, x0)
+    right = F.least((F.col("cx") + 1) * cell + pad, x1)
     dx = F.col("bx") - F.col("ax")
     steep = F.abs(dx) < 1e-9
     slope = (F.col("by") - F.col("ay")) / F.when(steep, F.lit(1.0)).otherwise(dx)
     ya = F.when(steep, F.least("ay", "by")).otherwise(F.col("ay") + (F.least(left, x1) - F.col("ax")) * slope)
     yb = F.when(steep, F.greatest("ay", "by")).otherwise(F.col("ay") + (F.greatest(right, x0) - F.col("ax")) * slope)
-    pad = d + 1e-6
     return cols.withColumn("cy", F.explode(F.sequence(cell_no(F.least(ya, yb) - pad, cell), cell_no(F.greatest(ya, yb) + pad, cell))))
 
 
