@@ -83,15 +83,91 @@ def relation_vertices(relations: DataFrame, ways: DataFrame, nodes: DataFrame) -
     return m.join(way_vertices(used, nodes), "way")
 
 
-def assemble_rings(fragments: DataFrame, digits: int = 9, max_rounds: int = 40) -> DataFrame:
+SHARED_VERTICES = 50_000
+
+
+def assemble_rings(fragments: DataFrame, digits: int = 9, max_rounds: int = 40, shared: int = SHARED_VERTICES) -> DataFrame:
     """Rings from way fragments that share end points, for all groups at once.
 
     ``fragments``: grp, frag, seq, x, y. Every fragment is a link in both directions; at an
-    end point the next link is the smallest other fragment there. Pointer doubling finds the
-    loop each link belongs to and its position, in rounds logarithmic in the ring size.
-    Closed chains keep the direction of their smallest fragment; open chains of at least
-    three points are forced shut. Output: grp, ring (smallest fragment), seq, x, y.
+    end point the next link is the smallest other fragment there. Closed chains keep the
+    direction of their smallest fragment; open chains of at least three points are forced
+    shut. Output: grp, ring (smallest fragment), seq, x, y.
+
+    A group of up to ``shared`` vertices is put together in one row (``_rings_in_rows``); larger
+    ones by rounds over all their links (``_rings_in_rounds``), with the same rings.
     """
+    large = fragments.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > shared).select("grp")
+    if large.isEmpty():
+        return _rings_in_rows(fragments, digits)
+    same = F.col("grp").eqNullSafe(F.col("_large"))
+    large = durable(large.withColumnRenamed("grp", "_large"))
+    return _rings_in_rows(fragments.join(large, same, "left_anti"), digits).unionByName(_rings_in_rounds(fragments.join(large, same, "left_semi"), digits, max_rounds))
+
+
+def chains(ends: list[tuple[str, str]], counts: list[int]) -> list[tuple[int, int, int, int]]:
+    """(ring, fragment, direction, links to the end of its chain) of the fragments of one group, which are numbered in order."""
+    own = [i for i, (p, q) in enumerate(ends) if p == q and counts[i] >= 4]
+    closed = set(own)
+    half = {(i, d): (ends[i] if d > 0 else ends[i][::-1]) for i in range(len(ends)) if i not in closed for d in (-1, 1)}
+    starts: dict[str, list[tuple[int, int]]] = {}
+    for link in sorted(half):
+        starts.setdefault(half[link][0], []).append(link)
+    back: dict[tuple[int, int], tuple[int, int]] = {}
+    for link in sorted(half):  # a fork could give one link two predecessors: the smallest stays, so chains stay chains
+        after = next((n for n in starts.get(half[link][1], ()) if n[0] != link[0]), None)
+        if after is not None:
+            back.setdefault(after, link)
+    ahead = {link: after for after, link in back.items()}
+    picked, seen = [(i, i, 1, 0) for i in own], set()
+    for link in sorted(half):
+        if link in seen:
+            continue
+        first = link
+        while first in back and back[first] != link:
+            first = back[first]
+        loop = first in back
+        chain, at = [], link if loop else first
+        while at is not None and at not in seen:
+            seen.add(at)
+            chain.append(at)
+            at = ahead.get(at)
+        low = min((i, -d) for i, d in chain)
+        if low[1] != -1:
+            continue
+        if loop:
+            k = chain.index((low[0], -low[1]))
+            chain = chain[k:] + chain[:k]
+        picked += [(low[0], i, d, len(chain) - 1 - k) for k, (i, d) in enumerate(chain)]
+    return picked
+
+
+def _rings_in_rows(fragments: DataFrame, digits: int) -> DataFrame:
+    """Each group in one row: the vertices are shuffled once and no tables are written between."""
+    vertex = F.array_sort(F.collect_list(F.struct("seq", "x", "y")))
+    f = fragments.select("grp", "frag", "seq", "x", "y").repartition("grp").groupBy("grp", "frag").agg(vertex.alias("p"))
+    key = lambda v: F.concat_ws(",", F.round(v.x, digits).cast("string"), F.round(v.y, digits).cast("string"))
+    f = f.select("grp", F.struct("frag", "p", key(F.col("p")[0]).alias("kp"), key(F.element_at("p", -1)).alias("kq"), F.size("p").alias("n")).alias("f"))
+    g = f.groupBy("grp").agg(F.array_sort(F.collect_list("f")).alias("f"))
+    walk = F.udf(lambda kp, kq, n: chains(list(zip(kp, kq, strict=True)), n), "array<struct<ring:int,frag:int,dir:int,steps:int>>", useArrow=False)
+    g = g.withColumn("w", walk(F.transform("f", lambda v: v.kp), F.transform("f", lambda v: v.kq), F.transform("f", lambda v: v.n)))
+    rings = F.array_sort(F.array_distinct(F.transform("w", lambda w: w.ring)))
+    r = g.select("grp", "f", "w", F.explode(rings).alias("r"))
+    links = F.array_sort(F.transform(F.filter("w", lambda w: w.ring == F.col("r")), lambda w: F.struct((-w.steps).alias("k"), w.frag.alias("frag"), w.dir.alias("dir"))))
+    points = lambda w: F.transform(F.get("f", w.frag).p, lambda v: F.struct(v.x.alias("x"), v.y.alias("y")))
+    r = r.select("grp", F.get("f", F.col("r")).frag.alias("ring"), F.flatten(F.transform(links, lambda w: F.when(w.dir == 1, points(w)).otherwise(F.reverse(points(w))))).alias("v"))
+    # Joined fragments repeat their shared point: a vertex equal to the one before it is dropped.
+    near = lambda a, b: F.coalesce((F.abs(a.x - b.x) < 1e-9) & (F.abs(a.y - b.y) < 1e-9), F.lit(False))
+    numbered = F.transform("v", lambda v, i: F.struct((i + 1).alias("seq"), v.x.alias("x"), v.y.alias("y"), ((i > 0) & near(F.get("v", i - 1), v)).alias("again")))
+    r = r.select("grp", "ring", F.filter(numbered, lambda v: ~v.again).alias("v"))
+    a, z = F.col("v")[0], F.element_at("v", -1)
+    shut = F.when((F.abs(a.x - z.x) >= 1e-9) | (F.abs(a.y - z.y) >= 1e-9), F.array(F.struct((z.seq + 1).alias("seq"), a.x.alias("x"), a.y.alias("y"), F.lit(False).alias("again"))))
+    whole = F.when(F.size("v") >= 3, F.concat("v", F.coalesce(shut, F.slice("v", 1, 0))))  # a filter would work out the rings twice
+    return r.select("grp", "ring", F.explode(whole).alias("v")).select("grp", "ring", "v.seq", "v.x", "v.y")
+
+
+def _rings_in_rounds(fragments: DataFrame, digits: int, max_rounds: int) -> DataFrame:
+    """Pointer doubling finds the loop each link belongs to and its position, in rounds logarithmic in the ring size."""
     f = fragments.groupBy("grp", "frag").agg(F.min_by(F.struct("x", "y"), "seq").alias("p"), F.max_by(F.struct("x", "y"), "seq").alias("q"), F.count(F.lit(1)).alias("n"))
     key = lambda s: F.concat_ws(",", F.round(f"{s}.x", digits).cast("string"), F.round(f"{s}.y", digits).cast("string"))
     f = f.withColumn("kp", key("p")).withColumn("kq", key("q"))
