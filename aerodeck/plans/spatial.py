@@ -158,7 +158,7 @@ hit3 AS (SELECT DISTINCT icao, k AS pid FROM pr JOIN ov USING (pid) WHERE area >
 SELECT icao, pid FROM hit1 UNION SELECT icao, pid FROM hit2 UNION SELECT icao, pid FROM hit3""")
 def j13(t):
     p, s = pavement_polys(t), strip_polys(t)
-    return structures._features_near(p.select("icao", "pid", "geom"), ["pid"], s.select("icao", "geom"), 1.0)
+    return structures._features_near(p.select("icao", "pid", "geom"), ["pid"], s.select("icao", "geom"), 1.0, many=True)
 
 
 @query("J14_within_distance", f"""WITH {ST}, {SEGS} SELECT icao, sid FROM st WHERE EXISTS (SELECT 1 FROM segs s WHERE s.icao = st.icao AND {sd('st.x/3', 'st.y/3')} <= 20)""")
